@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = (
     "tokens",
+    "decontaminate",
+    "linededup",
 )
 
 QUERIES, SQL = {}, {}
