@@ -8,6 +8,8 @@ MODULES = (
     "tokens",
     "decontaminate",
     "linededup",
+    "secrets",
+    "mixing",
 )
 
 QUERIES, SQL = {}, {}
