@@ -9,6 +9,7 @@ MODULES = (
     "decontaminate",
     "linededup",
     "secrets",
+    "quality",
     "pii",
     "mixing",
 )
