@@ -9,6 +9,7 @@ MODULES = (
     "decontaminate",
     "linededup",
     "secrets",
+    "vectors",
     "quality",
     "pii",
     "mixing",
