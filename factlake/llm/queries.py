@@ -9,6 +9,7 @@ MODULES = (
     "decontaminate",
     "linededup",
     "secrets",
+    "minhash",
     "vectors",
     "quality",
     "pii",
