@@ -9,6 +9,7 @@ MODULES = (
     "decontaminate",
     "linededup",
     "secrets",
+    "html",
     "minhash",
     "vectors",
     "quality",
