@@ -44,6 +44,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is not among ids; few ids are broadcast, more are joined by shuffle."""
+    gone = cut(ids.select(F.col(ids.columns[0]).alias("gone_id")).where("gone_id IS NOT NULL").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+
+
 def groups(batches, keys: list[str]):
     """Consecutive rows of equal keys as Arrow tables; the input is sorted by the keys.
 

@@ -147,18 +147,18 @@ def _build(rows: pa.Table) -> pa.Table:
     return pa.table({"shard": [rows.column("shard")[0].as_py()], "data": [Shard.build(h1, h2, keeper, n)]}, pa.schema([("shard", pa.int64()), ("data", pa.binary())]))
 
 
-def _assemble(id_col: str, text_col: str, dropped_of):
-    """Documents without the lines that dropped_of(ids, texts, extra) names."""
+def _assemble(n_carried: int, names: list[str], dropped_of):
+    """Documents without the lines that dropped_of(ids, lines, extra) names; carried columns pass."""
 
     def assemble(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lines = [(t or "").split("\n") for t in texts]
-            dropped = dropped_of(ids, lines, batch.columns[2:])
+            dropped = dropped_of(ids, lines, batch.columns[2 + n_carried :])
             kept = ["\n".join(x for i, x in enumerate(own) if i not in gone) if gone else t or "" for t, own, gone in zip(texts, lines, dropped, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in dropped], pa.int64())],
-                names=[id_col, text_col, "n_lines", "n_dropped"],
+                [batch.column(0), pa.array(kept, pa.string()), *batch.columns[2 : 2 + n_carried], pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in dropped], pa.int64())],
+                names=names,
             )
 
     return assemble
@@ -201,34 +201,38 @@ def deduplicate_lines(
     min_chars: int = 40,
     min_docs: int = 5,
     broadcast_bytes: int = BROADCAST_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: (id, text without dropped lines, n_lines, n_dropped).
+    """One row for each document: (id, text without dropped lines, *carry, n_lines, n_dropped).
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at
     least min_chars code points in at least min_docs documents lose their lines except in the
     largest id holding them. Null texts are one empty line, as empty ones are. Each row is a
     document of its own: repeated ids count again, and all rows of the largest id keep the
     line. Null ids count as documents but never keep a line that another id holds; lines that
-    only null ids hold stay. Ids are 64-bit integers; other columns are not read.
+    only null ids hold stay. Ids are 64-bit integers; columns in carry pass unchanged, others
+    are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    hashes = source.mapInArrow(_hashes(min_chars), "h1 long, h2 long, doc long")
+    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col), *carry)
+    hashes = source.select(id_col, text_col).mapInArrow(_hashes(min_chars), "h1 long, h2 long, doc long")
     counted = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
     frequent = cut(counted.where((F.col("n") >= min_docs) & F.col("keeper").isNotNull()))
     total = frequent.count()
     n_shards = max(1, -(-total // SHARD_KEYS))
     sharded = frequent.withColumn("shard", F.pmod("h1", F.lit(n_shards)))
     index = sharded.groupBy("shard").applyInArrow(_build, "shard long, data binary")
-    out = f"`{id_col}` long, `{text_col}` string, n_lines long, n_dropped long"
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    out = ", ".join([f"`{id_col}` long", f"`{text_col}` string", *kinds, "n_lines long", "n_dropped long"])
+    names = [id_col, text_col, *carry, "n_lines", "n_dropped"]
     if total * BYTES_PER_KEY <= broadcast_bytes:
         shards = spark.sparkContext.broadcast([(r["shard"], bytes(r["data"])) for r in index.collect()])
-        return source.mapInArrow(_assemble(id_col, text_col, _probing(shards, n_shards, min_chars)), out)
-    keyed = source.withColumn("text_key", F.xxhash64(text_col))
+        return source.mapInArrow(_assemble(len(carry), names, _probing(shards, n_shards, min_chars)), out)
+    keyed = source.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("text_key"))
     dropped = _routed(keyed, index, n_shards, min_chars)
-    joined = keyed.join(dropped, F.col(id_col).eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("doc_text_key")), "left")
-    of_column = _assemble(id_col, text_col, lambda ids, lines, extra: [set(x or ()) for x in extra[0].to_pylist()])
-    return joined.select(id_col, text_col, "dropped").mapInArrow(of_column, out)
+    joined = source.join(dropped, F.col(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(text_col) == F.col("doc_text_key")), "left")
+    of_column = _assemble(len(carry), names, lambda ids, lines, extra: [set(x or ()) for x in extra[0].to_pylist()])
+    return joined.select(id_col, text_col, *carry, "dropped").mapInArrow(of_column, out)
 
 
 def _routed(keyed: DataFrame, index: DataFrame, n_shards: int, min_chars: int) -> DataFrame:

@@ -59,19 +59,22 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: (id, source, size, source_size, target, rate, copies, taken).
+    """One row for each document: (id, source, size, source_size, target, rate, copies, taken, *carry).
 
     A document's size is its number of words between ASCII white space, 0 for null and empty
     texts. taken = copies * size, never above cap * size; whole documents are rounded, so a
     source's taken words miss its target by at most half of one document. The order of extra
     copies is a hash of the id, ties by id and size, so reruns agree. Null sources are one
     source, ranked last; null and repeated ids keep their rows. Sources of size 0 take nothing.
-    Other columns are not read; an empty table gives an empty one.
+    Columns in carry pass unchanged, others are not read; an empty table gives an empty one.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, 3)))
+    held = {c: f"carry_{i}" for i, c in enumerate(carry)}
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), *(F.col(c).alias(h) for c, h in held.items())).withColumn("bucket", F.substring("key", 1, 3))
+    sized = cut(base.drop(*held.values()))
     buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     plan = source_plan(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     # the bucket of each source in which the quota ends: only its documents are put in order
@@ -84,14 +87,14 @@ def mix(
     plan = cut(plan)
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
+    rows = (base if carry else sized).join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
     clear = rows.where(F.col("bucket") != F.col("end.bucket")).withColumn("extra", F.col("bucket") < F.col("end.bucket"))
     order = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     middle = F.col("end.before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
     edge = rows.where(F.col("bucket") == F.col("end.bucket")).withColumn("extra", middle <= F.col("quota"))
     copies = F.least(F.col("whole") + F.col("extra").cast("int"), F.lit(cap)).cast("long")
     out = clear.unionByName(edge).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(h).alias(c) for c, h in held.items()))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
