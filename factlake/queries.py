@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import formulas
+
+REGISTRIES = (formulas.registry,)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _registry in REGISTRIES:
+    QUERIES |= _registry.queries
+    SQL |= _registry.sql
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query: margins and growth of each entity and year."""
+    """The flagship query: gross margins of each entity and year."""
     return QUERIES["formula_gross_margin"](spark, sf_dir)
