@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import series
 from .plans import formulas
 
-REGISTRIES = (formulas.registry,)
+REGISTRIES = (formulas.registry, series.registry)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _registry in REGISTRIES:
