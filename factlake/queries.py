@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import series, validation
+from .operators import series, text, validation
 from .plans import formulas
 
-REGISTRIES = (formulas.registry, series.registry, validation.registry)
+REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _registry in REGISTRIES:
