@@ -201,11 +201,15 @@ def counters(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type", F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@registry.add("monthly_windows", "SELECT event_type, k, max(CAST(ts AS DATE)) - CAST(30 * k AS INT) AS window_end, max(CAST(ts AS DATE)) - CAST(30 * (k + 1) AS INT) AS window_start FROM events, range(0, 3) t(k) GROUP BY ALL")
+@registry.add(
+    "monthly_windows",
+    """WITH a AS (SELECT event_type, max(CAST(ts AS DATE)) AS anchor FROM events GROUP BY event_type)
+    SELECT event_type, k, CAST(CAST(anchor - CAST(30 * k AS INT) AS DATE) AS VARCHAR) AS window_end, CAST(CAST(anchor - CAST(30 * (k + 1) AS INT) AS DATE) AS VARCHAR) AS window_start FROM a, range(0, 3) t(k)""",
+)
 def monthly_windows(spark, sf_dir, n: int = 3, span: int = 30):
     """The n windows of span days before the newest event of each kind, most recent first."""
     ends = read(spark, sf_dir, "events").groupBy("event_type").agg(F.to_date(F.max("ts")).alias("anchor")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return ends.select("event_type", "k", F.date_sub("anchor", (F.col("k") * span).cast("int")).alias("window_end"), F.date_sub("anchor", ((F.col("k") + 1) * span).cast("int")).alias("window_start"))
+    return ends.select("event_type", "k", F.date_sub("anchor", (F.col("k") * span).cast("int")).cast("string").alias("window_end"), F.date_sub("anchor", ((F.col("k") + 1) * span).cast("int")).cast("string").alias("window_start"))
 
 
 @registry.add(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import series, text, validation
+from .operators import evidence, series, tables, text, validation
 from .plans import formulas
+from .streaming import jobs
 
-REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry)
+REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry, evidence.registry, tables.registry, jobs.registry)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _registry in REGISTRIES:
