@@ -15,15 +15,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table, words, written
+from .common import components, cut, groups, table, words, written
 
 #: Bands and coordinates in each: at similarity 0.8 a pair meets in a band with 99.9 %.
 BANDS, ROWS = 24, 6
 WIDTH = 5
 #: Ids that are broadcast at most, and tasks over which comparisons with one pivot are dealt.
 BROADCAST_IDS, SALTS = 1_000_000, 16
-#: Rounds with one pivot for each bucket before all pairs that are left are compared.
-PIVOT_ROUNDS = 4
+#: Rounds with one pivot for each bucket before all pairs that are left are looked at.
+PIVOT_ROUNDS = 2
+#: Of these a pair whose coordinates agree in a share less by SLACK than the least similarity is
+#: not similar (five standard deviations); members of a bucket on either side of one block.
+SLACK, BLOCK = 0.17, 256
 _DART, _PLACE, _LAYER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -99,7 +102,8 @@ def _sketch(weighted: bool, width: int):
                 own = words(text)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(own)) if own else None)
                 elements, n = shingles(own, width)
-                bands.append(band_keys(signature(elements, n if weighted else None)).tolist() if own else None)
+                sign = signature(elements, n if weighted else None) if own else None
+                bands.append(band_keys(sign).tolist() if own else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "words_key", "bands"])
 
     return sketch
@@ -147,6 +151,57 @@ def _compare(docs: DataFrame, pairs: DataFrame, least: float, weighted: bool, wi
     return dealt.mapInArrow(compare, "pivot long, other long")
 
 
+def _compare_all(docs: DataFrame, members: DataFrame, least: float, weighted: bool, width: int) -> DataFrame:
+    """Links (pivot, other) between members of one bucket that are in different components.
+
+    members: (band, bucket, rep, component). Texts go to the buckets once each; buckets of more
+    than BLOCK members are dealt into pairs of blocks. A pair is looked at in the first band
+    that it shares, by signature and then exactly, unless links of the block connect it.
+    """
+    sizes = members.groupBy("band", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g")).where("g > 1")
+    sized = members.join(cut(sizes), ["band", "bucket"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    places = sized.groupBy("rep", "component").agg(F.collect_list(F.struct("band", "bucket", "g")).alias("places"))
+    places = cut(places)
+    source = docs.join(F.broadcast(places) if places.count() <= BROADCAST_IDS else places, docs["id"] == places["rep"])
+    names = ["rep", "component", "places", "elements", "weights", "bands", "prints"]
+
+    def sets(batches):
+        for batch in batches:
+            held = [shingles(words(t), width) for t in batch.column(0).to_pylist()]
+            signs = [signature(e, n if weighted else None) for e, n in held]
+            data = ([e.tobytes() for e, _ in held], [(n if weighted else np.ones_like(n)).tobytes() for _, n in held], [band_keys(x).tobytes() for x in signs], [x.astype(np.uint8).tobytes() for x in signs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(d, pa.binary()) for d in data)], names=names)
+
+    kinds = "rep long, component long, places array<struct<band:int,bucket:long,g:int>>, elements binary, weights binary, bands binary, prints binary"
+    each = source.where("body IS NOT NULL").select("body", *names[:3]).mapInArrow(sets, kinds).withColumn("place", F.explode("places")).drop("places").select("*", "place.*").drop("place")
+    each = each.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least("own", q).alias("p"), F.greatest("own", q).alias("q")))
+    keys = ["band", "bucket", "p", "q"]
+    dealt = each.withColumn("block", F.explode(blocks)).select("band", "bucket", "block.*", "own", "rep", "component", "elements", "weights", "bands", "prints")
+
+    def compare(batches):
+        for (band, _, p, q), rows in groups(batches, keys):
+            own, rep, component = (rows.column(c).to_numpy() for c in ("own", "rep", "component"))
+            component = component.copy()
+            held = [rows.column(c).to_pylist() for c in ("elements", "weights", "bands", "prints")]
+            prints, bands = (np.frombuffer(b"".join(h), kind).reshape(len(rep), -1) for h, kind in ((held[3], np.uint8), (held[2], np.int64)))
+            need = (least - SLACK) * prints.shape[1]
+            member = lambda k: (np.frombuffer(held[0][k], np.uint64), np.frombuffer(held[1][k], np.int64))
+            rights, out = np.flatnonzero(own == q), ([], [])
+            for i in np.flatnonzero(own == p).tolist():
+                others = rights[(component[rights] != component[i]) & ((rep[rights] > rep[i]) | (p != q))]
+                others = others[(prints[others] == prints[i]).sum(1) >= need]
+                others = others[~(bands[others, :band] == bands[i, :band]).any(1)]
+                for j in others.tolist():
+                    if component[i] != component[j] and similarity(member(i), member(j)) >= least:
+                        component[component == component[j]] = component[i]
+                        out[0].append(rep[i])
+                        out[1].append(rep[j])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["pivot", "other"])
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "pivot long, other long")
+
+
 def near_documents(
     docs: DataFrame,
     least: float = 0.8,
@@ -160,8 +215,8 @@ def near_documents(
     Documents link where the Jaccard similarity of their shingles of `width` words (as sets;
     with weighted, as multisets) is at least `least`; groups are connected by links. Texts with
     the same words are one class and compared once. Pairs that share a band are compared with
-    one pivot of each bucket, and what the links found so far leave apart is compared until
-    every pair of a bucket is linked, connected or compared. Documents without words (null or
+    one pivot of each bucket; then all pairs of a bucket that the links found so far leave
+    apart are compared, but for those whose signatures rule the similarity out. Documents without words (null or
     empty ones too) and rows with a null id link with nothing; a null id's component is null.
     Rows with the same id are one document: any of its texts links it. Other columns are not
     read; an empty table gives an empty one.
@@ -181,15 +236,12 @@ def near_documents(
         open_buckets = cut(open_buckets.select("band", "bucket", "p.pivot", "p.pivot_component"))
         if open_buckets.isEmpty():
             break
+        met = named.join(open_buckets, ["band", "bucket"])
         if turn < PIVOT_ROUNDS:
-            pairs = named.join(open_buckets, ["band", "bucket"]).where(F.col("component") != F.col("pivot_component")).select("pivot", F.col("rep").alias("other"))
+            pairs = met.where(F.col("component") != F.col("pivot_component")).select("pivot", F.col("rep").alias("other"))
+            found = cut(_compare(source, cut(pairs.distinct()), least, weighted, width))
         else:
-            left = named.join(open_buckets.select("band", "bucket"), ["band", "bucket"])
-            right = left.select("band", "bucket", F.col("rep").alias("other"), F.col("component").alias("other_component"))
-            pairs = left.join(right, ["band", "bucket"]).where("rep < other and component != other_component").select(F.col("rep").alias("pivot"), "other")
-        pairs = cut(pairs.distinct() if links is None else pairs.distinct().join(tried, ["pivot", "other"], "left_anti"))
-        tried = pairs if links is None else cut(tried.union(pairs))
-        found = cut(_compare(source, pairs, least, weighted, width))
+            found = cut(_compare_all(source, met.select("band", "bucket", "rep", "component"), least, weighted, width))
         links = found if links is None else cut(links.union(found))
         component = cut(components(links, "pivot", "other"))
     members = classes.select("words_key", "rep")
