@@ -100,7 +100,7 @@ def anomaly_leave_one_out(spark, sf_dir):
     rows = facts(spark, sf_dir).select("entity", "metric", "year", "value")
     all_points = F.collect_list(F.struct("year", "value")).over(W.partitionBy("entity", "metric"))
     rows = rows.withColumn("others", F.array_sort(F.transform(F.filter(all_points, lambda p: p["year"] != F.col("year")), lambda p: F.abs(p["value"]))))
-    rows = rows.where(F.size("others") >= 2).withColumn("med", F.element_at("others", (F.floor(F.size("others") / 2) + 1).cast("int")))
+    rows = rows.where(F.size("others") >= 2).withColumn("med", F.try_element_at("others", (F.floor(F.size("others") / 2) + 1).cast("int")))
     rows = rows.where((F.col("med") > 0) & (F.abs("value") > 2 * F.col("med"))).withColumn("times", F.abs("value") / F.col("med"))
     place = F.row_number().over(W.partitionBy("entity").orderBy(F.desc("times"), "metric", "year"))
     return rows.withColumn("place", place).where("place <= 15").drop("others")
@@ -273,7 +273,7 @@ def forecast_validation(spark, sf_dir):
     "projection",
     f"""WITH {_PREV_SQL}, h AS (SELECT entity, metric, min(year) AS y0, max(year) AS y1, arg_min(value, year) AS v0, arg_max(value, year) AS v1, avg(growth) AS g_mean, coalesce(stddev_pop(growth), 0.03) AS sd, count(growth) AS n FROM gr GROUP BY ALL),
     b AS (SELECT *, CASE WHEN v0 > 0 AND v1 > 0 AND y1 > y0 THEN pow(v1 / v0, 1.0::DOUBLE / (y1 - y0)) - 1 ELSE g_mean END AS growth, greatest(0.02, CASE WHEN n >= 2 THEN sd ELSE 0.03 END) AS spread FROM h)
-    SELECT entity, metric, y1 + k AS year, c.case_name, round(v1 * pow(1 + growth + c.sign * spread, k), 2) AS value FROM b, (VALUES ('low', -1), ('base', 0), ('high', 1)) c(case_name, sign), range(1, 4) t(k)
+    SELECT entity, metric, y1 + k AS year, c.case_name, round(v1 * pow(1 + growth + c.sign * spread, k), 2) + 0.0::DOUBLE AS value FROM b, (VALUES ('low', -1), ('base', 0), ('high', 1)) c(case_name, sign), range(1, 4) t(k)
     WHERE growth IS NOT NULL AND 1 + growth + c.sign * spread >= 0""",
 )
 def projection(spark, sf_dir, horizon: int = 3):

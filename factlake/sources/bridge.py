@@ -94,10 +94,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, metrics: list[str] | None = None) -> DataFrame:
-    """One row for each entity and year with a column for each metric."""
-    metrics = metrics or METRICS
-    found = facts(spark, sf_dir).where(F.col("metric").isin(metrics))
-    return found.groupBy("entity", "year").pivot("metric", metrics).agg(F.first("value"))
+    """One row for each entity and year that has any fact, with a column for each metric."""
+    return facts(spark, sf_dir).groupBy("entity", "year").pivot("metric", metrics or METRICS).agg(F.first("value"))
 
 
 def _sums_sql(base: str, sums: dict[str, str]) -> str:

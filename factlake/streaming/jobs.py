@@ -13,9 +13,10 @@ registry = Registry()
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
+    """Event files of a folder as a stream."""
     schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet")
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def window_counts(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
