@@ -97,7 +97,7 @@ def disclosing_terms(base: DataFrame, body: str, min_contexts: int, threshold: f
     if not size:
         return None
     held = base.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = held.join(F.broadcast(wanted) if size <= BROADCAST_TERMS else wanted, "term").groupBy("term").agg(F.count("*").alias("d"))
+    held = held.groupBy("term").agg(F.count("*").alias("d")).join(F.broadcast(wanted) if size <= BROADCAST_TERMS else wanted, "term")
     total = base.count()
     pmi = F.log(F.col("k") * float(total) / (F.col("n") * F.col("d")))
     information = F.log(F.lit(float(total)) / F.col("n"))
