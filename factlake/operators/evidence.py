@@ -65,7 +65,7 @@ def role_distribution(spark, sf_dir):
 @registry.add(
     "evidence_ranking",
     f"""WITH {_EVIDENCE_SQL}, s AS (SELECT event_id, user_id, source, CAST({SCORE} AS DOUBLE) AS score FROM evidence)
-    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS place FROM s QUALIFY place <= 8""",
+    SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS INT) AS place FROM s QUALIFY place <= 8""",
 )
 def evidence_ranking(spark, sf_dir, k: int = 8):
     """The k best items of each question, here a user; Spark cuts each partition to k before it shuffles."""
@@ -230,7 +230,7 @@ def turn_follow_ups(spark, sf_dir):
     return read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", (t.rlike("(?i)" + FOLLOW_UP) | (F.length(t) <= 25)).alias("follow_up"))
 
 
-_INSIGHT_SQL = """insights AS (SELECT d.doc_id AS insight_id, d.source AS area, d.lang AS section, 2015 + CAST(d.doc_id % 9 AS INT) AS year, CASE WHEN l.quality = 1 THEN 0.9 WHEN l.quality = 0 THEN 0.5 ELSE 0.6 + (d.doc_id % 3) * 0.1 END AS confidence, d.n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+_INSIGHT_SQL = """insights AS (SELECT d.doc_id AS insight_id, d.source AS area, d.lang AS section, 2015 + CAST(d.doc_id % 9 AS INT) AS year, CAST(CASE WHEN l.quality = 1 THEN 0.9 WHEN l.quality = 0 THEN 0.5 ELSE 0.6 + (d.doc_id % 3) * 0.1 END AS DOUBLE) AS confidence, d.n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def insights(spark, sf_dir) -> DataFrame:
@@ -248,7 +248,7 @@ def insight_routing(spark, sf_dir):
 @registry.add(
     "theme_scores",
     f"""WITH {_INSIGHT_SQL}, t AS (SELECT area, max(confidence) AS top, count(*) AS n, count(DISTINCT section) AS sections, bool_or(n_chars > 1000) AS quantified FROM insights GROUP BY area)
-    SELECT area, n, round(top * 0.65 + least(0.15, 0.03 * (n - 1)) + least(0.15, 0.05 * (sections - 1)) + CASE WHEN quantified THEN 0.05 ELSE 0 END, 6) AS evidence_weight, CASE WHEN top >= 0.8 THEN 'High' WHEN top >= 0.5 THEN 'Medium' ELSE 'Low' END AS band FROM t""",
+    SELECT area, n, CAST(round(top * 0.65 + least(0.15, 0.03 * (n - 1)) + least(0.15, 0.05 * (sections - 1)) + CASE WHEN quantified THEN 0.05 ELSE 0 END, 6) AS DOUBLE) AS evidence_weight, CASE WHEN top >= 0.8 THEN 'High' WHEN top >= 0.5 THEN 'Medium' ELSE 'Low' END AS band FROM t""",
 )
 def theme_scores(spark, sf_dir):
     """Weight of each theme by its best insight, support and sections."""

@@ -180,7 +180,7 @@ def narrative_sections(spark, sf_dir):
 
 @registry.add(
     "round_robin_chunks",
-    """WITH c AS (SELECT doc_id, source AS section, CAST(len(regexp_extract_all(lower(coalesce(text, '')), 'token|and|the')) AS INT) AS hits FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY 1.5 * hits DESC, doc_id) AS turn FROM c)
+    """WITH c AS (SELECT doc_id, source AS section, CAST(len(regexp_extract_all(lower(coalesce(text, '')), 'token|and|the')) AS INT) AS hits FROM documents), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY section ORDER BY 1.5 * hits DESC, doc_id) AS INT) AS turn FROM c)
     SELECT doc_id, section, hits, turn FROM r WHERE turn <= 10""",
 )
 def round_robin_chunks(spark, sf_dir, most: int = 10):

@@ -149,7 +149,7 @@ def corroboration(spark, sf_dir):
     "source_shortlist",
     """WITH q AS (SELECT DISTINCT p_name AS q, unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 2))) AS t FROM part), a AS (SELECT DISTINCT p_brand AS api, unnest(list_distinct(string_split(lower(p_type), ' '))) AS t, true AS provides FROM part WHERE p_size % 2 = 0
       UNION SELECT DISTINCT p_brand, unnest(list_distinct(string_split(lower(p_name), ' '))), false FROM part), s AS (SELECT q, api, 2 * count(DISTINCT CASE WHEN provides THEN t END) + count(DISTINCT t) AS score FROM q JOIN a USING (t) GROUP BY ALL)
-    SELECT q, api, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, api) AS place FROM s QUALIFY place <= 3""",
+    SELECT q, api, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, api) AS INT) AS place FROM s QUALIFY place <= 3""",
 )
 def source_shortlist(spark, sf_dir, k: int = 3):
     """The k sources whose provided and other tokens overlap a query most."""
@@ -192,7 +192,7 @@ def ad_hoc_expression(spark, sf_dir):
 @registry.add(
     "insight_relevance",
     f"""WITH {_INSIGHT_SQL}, s AS (SELECT insight_id, area, year, CASE WHEN contains(area, '1') AND section = 'en' THEN 0.75 WHEN contains(area, '1') THEN 0.7 WHEN section = 'en' THEN 0.55 ELSE 0.0 END AS signal, greatest(0.0, 1 - (2023 - year) / 10.0) AS temporal FROM insights), r AS (SELECT *, round(0.7 * signal + 0.3 * temporal, 6) AS relevance FROM s)
-    SELECT insight_id, area, relevance, row_number() OVER (PARTITION BY area ORDER BY relevance DESC, insight_id) AS place FROM r WHERE relevance >= 0.65 QUALIFY place <= 25""",
+    SELECT insight_id, area, relevance, CAST(row_number() OVER (PARTITION BY area ORDER BY relevance DESC, insight_id) AS INT) AS place FROM r WHERE relevance >= 0.65 QUALIFY place <= 25""",
 )
 def insight_relevance(spark, sf_dir, least: float = 0.65, k: int = 25):
     """Insights by signal and age, those of at least `least`, the k best of each area."""
@@ -205,7 +205,7 @@ def insight_relevance(spark, sf_dir, least: float = 0.65, k: int = 25):
 
 @registry.add(
     "recent_titles",
-    "WITH t AS (SELECT user_id, event_type, max(ts) AS ts, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS place FROM t QUALIFY place <= 3",
+    "WITH t AS (SELECT user_id, event_type, max(ts) AS ts, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS INT) AS place FROM t QUALIFY place <= 3",
 )
 def recent_titles(spark, sf_dir, k: int = 3):
     """Without vectors: titles once each, the newest k."""

@@ -93,7 +93,7 @@ def trend_last_points(spark, sf_dir):
     f"""WITH {FACTS_SQL}, o AS (SELECT a.entity, a.metric, a.year, a.value, list_sort(list(abs(b.value))) AS others FROM facts a JOIN facts b ON a.entity = b.entity AND a.metric = b.metric AND a.year <> b.year GROUP BY ALL),
     m AS (SELECT *, others[len(others) // 2 + 1] AS med FROM o WHERE len(others) >= 2),
     r AS (SELECT entity, metric, year, value, med, abs(value) / med AS times FROM m WHERE med > 0 AND abs(value) > 2 * med)
-    SELECT *, row_number() OVER (PARTITION BY entity ORDER BY times DESC, metric, year) AS place FROM r QUALIFY place <= 15""",
+    SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY times DESC, metric, year) AS INT) AS place FROM r QUALIFY place <= 15""",
 )
 def anomaly_leave_one_out(spark, sf_dir):
     """Values above twice the upper median of the series' other absolute values, 15 an entity."""
@@ -157,7 +157,7 @@ def component_dim(spark) -> DataFrame:
     p AS (SELECT entity, total, max(CASE WHEN back = 1 THEN year END) AS year_to, max(CASE WHEN back = 2 THEN year END) AS year_from FROM y WHERE back <= 2 GROUP BY ALL HAVING count(*) = 2),
     d AS (SELECT p.entity, p.total, c.metric, year_from, year_to, b.value - a.value AS delta FROM p JOIN components c ON c.total = p.total
       JOIN facts a ON a.entity = p.entity AND a.metric = c.metric AND a.year = year_from JOIN facts b ON b.entity = p.entity AND b.metric = c.metric AND b.year = year_to)
-    SELECT *, row_number() OVER (PARTITION BY entity, total ORDER BY abs(delta) DESC, metric) AS place FROM d QUALIFY place <= 5""",
+    SELECT *, CAST(row_number() OVER (PARTITION BY entity, total ORDER BY abs(delta) DESC, metric) AS INT) AS place FROM d QUALIFY place <= 5""",
 )
 def driver_analysis(spark, sf_dir):
     """Components ranked by their change between the two latest years of a total."""
@@ -273,7 +273,7 @@ def forecast_validation(spark, sf_dir):
     "projection",
     f"""WITH {_PREV_SQL}, h AS (SELECT entity, metric, min(year) AS y0, max(year) AS y1, arg_min(value, year) AS v0, arg_max(value, year) AS v1, avg(growth) AS g_mean, coalesce(stddev_pop(growth), 0.03) AS sd, count(growth) AS n FROM gr GROUP BY ALL),
     b AS (SELECT *, CASE WHEN v0 > 0 AND v1 > 0 AND y1 > y0 THEN pow(v1 / v0, 1.0::DOUBLE / (y1 - y0)) - 1 ELSE g_mean END AS growth, greatest(0.02, CASE WHEN n >= 2 THEN sd ELSE 0.03 END) AS spread FROM h)
-    SELECT entity, metric, y1 + k AS year, c.case_name, round(v1 * pow(1 + growth + c.sign * spread, k), 2) + 0.0::DOUBLE AS value FROM b, (VALUES ('low', -1), ('base', 0), ('high', 1)) c(case_name, sign), range(1, 4) t(k)
+    SELECT entity, metric, CAST(y1 + k AS INT) AS year, c.case_name, round(v1 * pow(1 + growth + c.sign * spread, k), 2) + 0.0::DOUBLE AS value FROM b, (VALUES ('low', -1), ('base', 0), ('high', 1)) c(case_name, sign), range(1, 4) t(k)
     WHERE growth IS NOT NULL AND 1 + growth + c.sign * spread >= 0""",
 )
 def projection(spark, sf_dir, horizon: int = 3):

@@ -146,7 +146,7 @@ def subtotal_tie_out(spark, sf_dir):
 @registry.add(
     "source_provenance",
     """WITH x AS (SELECT o_custkey, o_orderpriority, list_sort(list(DISTINCT CAST(year(o_orderdate) AS INT))) AS pages, count(*) AS weight FROM orders GROUP BY ALL)
-    SELECT o_custkey AS sheet, o_orderpriority AS file, pages, weight, row_number() OVER (PARTITION BY o_custkey ORDER BY weight DESC, o_orderpriority) AS place FROM x""",
+    SELECT o_custkey AS sheet, o_orderpriority AS file, pages, weight, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY weight DESC, o_orderpriority) AS INT) AS place FROM x""",
 )
 def source_provenance(spark, sf_dir):
     x = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sheet"), F.col("o_orderpriority").alias("file")).agg(F.sort_array(F.collect_set(F.year("o_orderdate"))).alias("pages"), F.count("*").alias("weight"))
@@ -159,7 +159,7 @@ _QUERY_NAMES_SQL = """q AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN s
 @registry.add(
     "entity_resolution_exact",
     f"""WITH {_QUERY_NAMES_SQL}, m AS (SELECT s_suppkey, 'S' || s_suppkey AS symbol, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS key FROM supplier)
-    SELECT c_custkey, q, coalesce(t.symbol, n.symbol) AS ticker, CASE WHEN t.symbol IS NOT NULL THEN 0.99 WHEN n.symbol IS NOT NULL THEN 0.98 ELSE 0.0 END AS confidence, CASE WHEN t.symbol IS NOT NULL OR n.symbol IS NOT NULL THEN 'RESOLVED' ELSE 'QUARANTINED' END AS state
+    SELECT c_custkey, q, coalesce(t.symbol, n.symbol) AS ticker, CAST(CASE WHEN t.symbol IS NOT NULL THEN 0.99 WHEN n.symbol IS NOT NULL THEN 0.98 ELSE 0.0 END AS DOUBLE) AS confidence, CASE WHEN t.symbol IS NOT NULL OR n.symbol IS NOT NULL THEN 'RESOLVED' ELSE 'QUARANTINED' END AS state
     FROM q LEFT JOIN m t ON t.symbol = q.q LEFT JOIN m n ON n.key = regexp_replace(lower(q.q), '[^a-z0-9]+', '', 'g')""",
 )
 def entity_resolution_exact(spark, sf_dir):
@@ -202,7 +202,7 @@ def entity_resolution_fuzzy(spark, sf_dir):
     "semantic_retrieval",
     """WITH q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), a AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     s AS (SELECT query_id, a.vec_id, list_cosine_similarity(q.e, a.e) AS cosine FROM q JOIN a ON q.label = a.label AND a.vec_id <> query_id)
-    SELECT query_id, vec_id, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 6) DESC, vec_id) AS place FROM s WHERE round(cosine, 6) >= 0.2 QUALIFY place <= 8""",
+    SELECT query_id, vec_id, round(cosine, 6) AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 6) DESC, vec_id) AS INT) AS place FROM s WHERE round(cosine, 6) >= 0.2 QUALIFY place <= 8""",
 )
 def semantic_retrieval(spark, sf_dir, k: int = 8):
     """The k nearest vectors of each query vector at cosine 0.2 or more, in the same category."""
@@ -218,7 +218,7 @@ def semantic_retrieval(spark, sf_dir, k: int = 8):
     "line_item_search",
     f"""WITH {FACTS_SQL}, m AS (SELECT DISTINCT metric, string_split(metric, '_') AS t FROM facts), q AS (SELECT DISTINCT p_type AS q, list_distinct(string_split(lower(p_type), ' ')) AS t FROM part UNION SELECT 'total current assets', ['total', 'current', 'assets'] UNION SELECT 'cost of gross profit', ['cost', 'of', 'gross', 'profit']),
     s AS (SELECT q, metric, len(list_intersect(q.t, m.t)) / CAST(len(q.t) AS DOUBLE) AS score FROM q, m WHERE len(list_intersect(q.t, m.t)) > 0)
-    SELECT q, metric, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, metric) AS place FROM s QUALIFY place <= 8""",
+    SELECT q, metric, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, metric) AS INT) AS place FROM s QUALIFY place <= 8""",
 )
 def line_item_search(spark, sf_dir):
     """Metrics by the share of a query's tokens that they have; an equi join on tokens."""

@@ -310,7 +310,7 @@ def capital_structure(spark, sf_dir):
 
 @registry.add(
     "peer_comparison",
-    f"""WITH {FACTS_SQL}, r AS (SELECT n_name AS entity FROM nation) SELECT r.entity, f.value, f.value IS NULL AS partial_coverage, rank() OVER (ORDER BY f.value DESC NULLS LAST) AS place FROM r LEFT JOIN facts f ON f.entity = r.entity AND f.metric = 'pat' AND f.year = 1995""",
+    f"""WITH {FACTS_SQL}, r AS (SELECT n_name AS entity FROM nation) SELECT r.entity, f.value, f.value IS NULL AS partial_coverage, CAST(rank() OVER (ORDER BY f.value DESC NULLS LAST) AS INT) AS place FROM r LEFT JOIN facts f ON f.entity = r.entity AND f.metric = 'pat' AND f.year = 1995""",
 )
 def peer_comparison(spark, sf_dir, metric: str = "pat", year: int = 1995):
     """One metric of every requested peer, null where it is missing; peers are a short list."""
