@@ -91,3 +91,23 @@ def test_streams_agree_with_batches(spark, sf_dir):
     health = _drained(jobs.feed_health(stream), "feed_health", "update")
     assert len(health) == batch.select("user_id").distinct().count()
     assert all(h.is_open == (h.failures >= 3) for h in health)
+
+
+def test_story_folding_keeps_one_row_for_each_item(spark, sf_dir):
+    from factlake.operators.filters import story_folding
+
+    rows = story_folding(spark, sf_dir).collect()
+    assert rows and len({(r.query_id, r.vec_id) for r in rows}) == len(rows)
+    leaders = {(r.query_id, r.vec_id) for r in rows if r.vec_id == r.story}
+    assert all((r.query_id, r.story) in leaders and 0 <= r.corroboration < 1 for r in rows)
+
+
+def test_ledgers_are_written_by_entity(spark, tmp_path):
+    from factlake.sources.sinks import write_ledger
+
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0)], "entity string, value double")
+    for form in ("parquet", "json"):
+        write_ledger(rows, str(tmp_path / form), form=form)
+        write_ledger(rows, str(tmp_path / form), form=form)
+        back = spark.read.format(form).load(str(tmp_path / form))
+        assert sorted((r.entity, r.value) for r in back.collect()) == sorted([("a", 1.0), ("b", 2.0), ("unknown", 3.0)] * 2)
