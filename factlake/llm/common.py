@@ -55,6 +55,18 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
+def sliced(batches, rows: int = 1_000):
+    """The same rows in smaller batches, so that what is made of one stays small.
+
+    Arrow's pool gives back what a batch leaves free; workers live on from task to task.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def groups(batches, keys: list[str]):
     """Consecutive rows of equal keys as Arrow tables; the input is sorted by the keys.
 
