@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import cut, sliced, table, words
 
 #: Words of an item that stand in one segment at most, and bytes of segments in one broadcast.
 SEGMENT_WORDS, BLOCK_BYTES = 2_000, 2 << 20
@@ -146,7 +146,7 @@ def contamination(
 
         def search(batches):
             tables = search_tables(shared.value, window)
-            for batch in batches:
+            for batch in sliced(batches):
                 found = [occurrences(t, tables) for t in batch.column(1).to_pylist()]
                 columns = [pa.array([f[i] for f in found], t) for i, t in enumerate(FOUND_TYPES.values())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=[id_col, *FOUND_TYPES, *batch.schema.names[2:]])

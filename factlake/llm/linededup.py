@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, sliced, table
 
 BLANK = " \t\n\x0b\x0c\r"
 #: Hashes in one shard on average, and bytes of all shards up to which they are broadcast.
@@ -130,7 +130,7 @@ def _hashes(min_chars: int):
     """Distinct keys of each document as hashes; without the texts."""
 
     def hashes(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = ([], [], [])
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for key in {k for line in (text or "").split("\n") if (k := line_key(line, min_chars))}:
@@ -151,7 +151,7 @@ def _assemble(n_carried: int, names: list[str], dropped_of):
     """Documents without the lines that dropped_of(ids, lines, extra) names; carried columns pass."""
 
     def assemble(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lines = [(t or "").split("\n") for t in texts]
             dropped = dropped_of(ids, lines, batch.columns[2 + n_carried :])
@@ -243,7 +243,7 @@ def _routed(keyed: DataFrame, index: DataFrame, n_shards: int, min_chars: int) -
     """
 
     def lines(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = ([], [], [], [], [])
             for doc, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, line in enumerate((text or "").split("\n")):

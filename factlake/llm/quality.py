@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sliced, table, written
 
 #: Features of the kernel, ridge penalty, folds by the remainder of crc32(id), partitions that sum.
 FEATURES, RIDGE, FOLDS, SUMS = 256, 0.3, 5, 64
@@ -103,7 +103,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, stats) of every row."""
 
     def measure(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             stats = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=[id_col, "stats"])
 
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame) -> Model:
 
     def sums(batches):
         total = {}
-        for batch in batches:
+        for batch in sliced(batches):
             z = kernel_features(_matrix(batch.column("stats")), mean, scale)
             y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
             for f in np.unique(fold).tolist():
@@ -164,7 +164,7 @@ def fit(labelled: DataFrame) -> Model:
     unseen = {f: solve(whole - m) if len(systems) > 1 else solve(whole) for f, m in systems.items()}
 
     def binned(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             z = kernel_features(_matrix(batch.column("stats")), mean, scale)
             raw = np.array([row @ unseen[f] for row, f in zip(z, batch.column("fold").to_pylist(), strict=True)])
             bins = np.clip((raw - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int32)
@@ -200,7 +200,7 @@ def quality_scores(
     model = fit(written(labelled))
 
     def score(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             scores = model.score(_matrix(batch.column("stats")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=[id_col, "held_out", "score"])
 

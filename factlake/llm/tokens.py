@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 #: Fixed pattern of byte-level pre-tokenizers; white space is Unicode's property.
 PIECES = regex.compile(
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def count(batches):
         counter = Counter.of(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             sizes = [len(t.encode()) if t else 0 for t in texts]
             counts = [counter.count(t) for t in texts]
