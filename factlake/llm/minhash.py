@@ -15,18 +15,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, groups, table, words, written
+from .common import components, cut, groups, sliced, table, words, written
 
 #: Bands and coordinates in each: at similarity 0.8 a pair meets in a band with 99.9 %.
 BANDS, ROWS = 24, 6
 WIDTH = 5
-#: Ids that are broadcast at most, and tasks over which comparisons with one pivot are dealt.
-BROADCAST_IDS, SALTS = 1_000_000, 16
+#: Ids that are broadcast at most, and comparisons with one pivot that a task makes on average.
+BROADCAST_IDS, PER_TASK = 1_000_000, 1_000
 #: Rounds with one pivot for each bucket before all pairs that are left are looked at.
 PIVOT_ROUNDS = 2
 #: Of these a pair whose coordinates agree in a share less by SLACK than the least similarity is
 #: not similar (five standard deviations); members of a bucket on either side of one block.
-SLACK, BLOCK = 0.17, 256
+SLACK, BLOCK = 0.17, 1_024
 _DART, _PLACE, _LAYER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -94,9 +94,18 @@ def similarity(a, b) -> float:
     return least / max(1, int(a[1].sum() + b[1].sum()) - least)
 
 
+def _packed(elements: np.ndarray, weights: np.ndarray, weighted: bool) -> tuple[bytes, bytes]:
+    return elements.tobytes(), weights.tobytes() if weighted else b""
+
+
+def _unpacked(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(elements, np.uint64)
+    return own, np.frombuffer(weights, np.int64) if weights else np.ones(len(own), np.int64)
+
+
 def _sketch(weighted: bool, width: int):
     def sketch(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keys, bands = [], []
             for text in batch.column(1).to_pylist():
                 own = words(text)
@@ -112,33 +121,31 @@ def _sketch(weighted: bool, width: int):
 def _compare(docs: DataFrame, pairs: DataFrame, least: float, weighted: bool, width: int) -> DataFrame:
     """Of pairs (pivot, other) of ids those that are similar; texts go to the pivot once each.
 
-    A pivot's text goes to SALTS tasks and the others are dealt over them, so many copies of
-    one text do not meet in one task.
+    The text of a pivot with many others goes to several tasks and the others are dealt over
+    them, so many copies of one text do not meet in one task.
     """
-    asked = pairs.select(F.col("other").alias("asked"), "pivot", F.lit(False).alias("is_pivot"))
-    own = pairs.select(F.col("pivot").alias("asked"), "pivot", F.lit(True).alias("is_pivot")).distinct()
-    roles = cut(asked.union(own).groupBy("asked").agg(F.collect_set(F.struct("pivot", "is_pivot")).alias("roles")))
+    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"))
+    asked = pairs.join(salts, "pivot").select(F.col("other").alias("asked"), "pivot", F.pmod(F.xxhash64("other"), "salts").cast("int").alias("salt"), F.lit(False).alias("is_pivot"))
+    own = salts.select(F.col("pivot").alias("asked"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_pivot"))
+    roles = cut(asked.union(own).groupBy("asked").agg(F.collect_set(F.struct("pivot", "salt", "is_pivot")).alias("roles")))
     source = docs.join(F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles, docs["id"] == roles["asked"])
 
     def sets(batches):
-        for batch in batches:
-            held = [shingles(words(t), width) for t in batch.column(1).to_pylist()]
-            data = [h[0].tobytes() for h in held], [(h[1] if weighted else np.ones_like(h[1])).tobytes() for h in held]
+        for batch in sliced(batches):
+            data = zip(*(_packed(*shingles(words(t), width), weighted) for t in batch.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(d, pa.binary()) for d in data), batch.column(2)], names=["id", "elements", "weights", "roles"])
 
-    held = source.select("id", "body", "roles").mapInArrow(sets, "id long, elements binary, weights binary, roles array<struct<pivot:long,is_pivot:boolean>>")
+    held = source.select("id", "body", "roles").mapInArrow(sets, "id long, elements binary, weights binary, roles array<struct<pivot:long,salt:int,is_pivot:boolean>>")
     each = held.withColumn("role", F.explode("roles")).select("id", "elements", "weights", "role.*")
-    own_salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    salts = F.when(F.col("is_pivot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(own_salt))
-    dealt = each.withColumn("salt", F.explode(salts)).withColumn("late", (~F.col("is_pivot")).cast("int"))
+    dealt = each.withColumn("late", (~F.col("is_pivot")).cast("int"))
     dealt = dealt.select("pivot", "salt", "late", "id", "elements", "weights").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "late")
 
     def compare(batches):
         here, pivots = None, []
-        for batch in batches:
+        for batch in sliced(batches):
             out = ([], [])
             for pivot, salt, late, doc, elements, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(elements, np.uint64), np.frombuffer(weights, np.int64)
+                own = _unpacked(elements, weights)
                 if here != (pivot, salt):
                     here, pivots = (pivot, salt), []
                 if not late:
@@ -166,10 +173,10 @@ def _compare_all(docs: DataFrame, members: DataFrame, least: float, weighted: bo
     names = ["rep", "component", "places", "elements", "weights", "bands", "prints"]
 
     def sets(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             held = [shingles(words(t), width) for t in batch.column(0).to_pylist()]
             signs = [signature(e, n if weighted else None) for e, n in held]
-            data = ([e.tobytes() for e, _ in held], [(n if weighted else np.ones_like(n)).tobytes() for _, n in held], [band_keys(x).tobytes() for x in signs], [x.astype(np.uint8).tobytes() for x in signs])
+            data = (*zip(*(_packed(e, n, weighted) for e, n in held), strict=True), [band_keys(x).tobytes() for x in signs], [x.astype(np.uint8).tobytes() for x in signs])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(d, pa.binary()) for d in data)], names=names)
 
     kinds = "rep long, component long, places array<struct<band:int,bucket:long,g:int>>, elements binary, weights binary, bands binary, prints binary"
@@ -186,7 +193,7 @@ def _compare_all(docs: DataFrame, members: DataFrame, least: float, weighted: bo
             held = [rows.column(c).to_pylist() for c in ("elements", "weights", "bands", "prints")]
             prints, bands = (np.frombuffer(b"".join(h), kind).reshape(len(rep), -1) for h, kind in ((held[3], np.uint8), (held[2], np.int64)))
             need = (least - SLACK) * prints.shape[1]
-            member = lambda k: (np.frombuffer(held[0][k], np.uint64), np.frombuffer(held[1][k], np.int64))
+            member = lambda k: _unpacked(held[0][k], held[1][k])
             rights, out = np.flatnonzero(own == q), ([], [])
             for i in np.flatnonzero(own == p).tolist():
                 others = rights[(component[rights] != component[i]) & ((rep[rights] > rep[i]) | (p != q))]
