@@ -4,7 +4,8 @@ Markup says which blocks are menus, adverts, forms and the like, and which stand
 article. The token streams of the pages of one host are concatenated and their suffixes
 sorted as deep as the shortest repeat that counts; runs that stand on most pages of the host
 are boilerplate and are removed, unique runs are kept. Large hosts are dealt into chunks of
-bounded size, and each chunk finds what its pages repeat.
+bounded size, and each chunk finds what its pages repeat. Pages with the same token stream
+are one page to it: they are folded before chunks are dealt, and all get the text.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, groups, sliced, table
+from .common import cut, sliced, table, written
 
-#: Pages of a chunk on average, hosts above which their list isn't broadcast.
-CHUNK, BROADCAST_HOSTS = 256, 100_000
+#: Distinct pages of a chunk on average, rows that one task writes for it, hosts above which their list isn't broadcast.
+CHUNK, CHUNK_ROWS, BROADCAST_HOSTS = 256, 4_096, 100_000
+#: Pages of which a task remembers that it has packed them.
+REMEMBERED = 100_000
 #: Doublings of the suffix order (so repeats have 2**3 tokens at least), least pages and share of pages.
 DOUBLINGS, LEAST_PAGES, LEAST_SHARE = 3, 5, 0.6
 
@@ -185,11 +188,14 @@ def repeated_tokens(pages: list[list[str]], least_pages: int = LEAST_PAGES, leas
 
 
 def main_texts(pages: list[list[str]]) -> list[str]:
-    """Texts of a chunk of pages, each a list of blocks, without what most of them repeat."""
+    """Texts of a chunk of pages, each a list of blocks, without what most distinct ones repeat."""
     tokens = [[b.split(" ") for b in blocks_of] for blocks_of in pages]
-    covered = repeated_tokens([[t for b in own for t in b] for own in tokens])
+    streams = [tuple(t for b in own for t in b) for own in tokens]
+    distinct = list(dict.fromkeys(streams))
+    covered = dict(zip(distinct, repeated_tokens(distinct), strict=True))
     texts = []
-    for own, gone, whole in zip(tokens, covered, pages, strict=True):
+    for own, stream, whole in zip(tokens, streams, pages, strict=True):
+        gone = covered[stream]
         if not gone.any():
             texts.append("\n".join(whole))
             continue
@@ -203,38 +209,77 @@ def main_texts(pages: list[list[str]]) -> list[str]:
     return texts
 
 
+def _parse(batches):
+    """(id, url, host, stream, layout, packed): hashes of the tokens and of the blocks, and the blocks.
+
+    Only the first page of a layout in a task has its blocks; its copies in the task have null.
+    """
+    seen: set[tuple[str, int]] = set()
+    for batch in sliced(batches):
+        streams, layouts, packed = [], [], []
+        for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            text = "\n".join(blocks(page)).encode()
+            streams.append(xxhash.xxh3_64_intdigest(text.replace(b"\n", b" ")) >> 1)
+            layouts.append(xxhash.xxh3_64_intdigest(text) >> 1)
+            key = (host, layouts[-1])
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            packed.append(None if key in seen else zlib.compress(text))
+            seen.add(key)
+        columns = [pa.array(streams, pa.int64()), pa.array(layouts, pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), *columns], names=["id", "url", "host", "stream", "layout", "packed"])
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: (id, url, text).
 
     Blocks are joined by one newline; null and empty pages have an empty text. Pages whose url
     is null or has no host are one host. Runs of 8 tokens or more that stand on at least 5
-    pages and 60 % of the pages of a host's chunk are removed. Null and repeated ids keep
-    their rows; the result does not depend on partitions. Other columns are not read.
+    distinct pages and 60 % of the distinct pages of a host's chunk are removed; pages with the
+    same tokens are one. Null and repeated ids keep their rows; the result does not depend on
+    partitions. Other columns are not read.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host.alias("host"))
-    large = source.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    large = cut(large.select("host", F.ceil(F.col("n") / CHUNK).alias("chunks")))
-
-    def parse(batches):
-        for batch in sliced(batches):
-            packed = pa.array([zlib.compress("\n".join(blocks(h)).encode()) for h in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), packed], names=["id", "url", "host", "packed"])
-
     # blocks have no line breaks of their own; packed, they take half the room in the shuffle
-    parsed = source.mapInArrow(parse, f"id {kind}, url string, host string, packed binary")
-    parsed = parsed.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
-    chunk = F.pmod(F.xxhash64("id", "url"), F.coalesce("chunks", F.lit(1).cast("long")))
-    dealt = parsed.withColumn("chunk", chunk).select("host", "chunk", "id", "url", "packed")
-    dealt = dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk")
+    parsed = written(source.mapInArrow(_parse, f"id {kind}, url string, host string, stream long, layout long, packed binary"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_HOSTS else df
+
+    streams = parsed.groupBy("host", "stream").agg(F.count("*").alias("n_rows"))
+    large = cut(streams.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"))
+    chunk = F.pmod("stream", F.coalesce("chunks", F.lit(1).cast("long")))
+    sizes = streams.join(few(large), "host", "left").groupBy("host", chunk.alias("chunk")).agg(F.ceil(F.sum("n_rows") / CHUNK_ROWS).cast("int").alias("salts"))
+    salted = cut(sizes.where("salts > 1"))
+    placed = parsed.join(few(large), "host", "left").withColumn("chunk", chunk).join(few(salted), ["host", "chunk"], "left")
+    placed = placed.withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    # blocks go once to each task of a chunk, before its rows; rows are dealt over the tasks
+    own = F.struct(F.pmod(F.xxhash64("id", "url"), "salts").cast("int").alias("salt"), F.lit(1).alias("late"), F.lit(None).cast("binary").alias("blocks"))
+    held = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(k.alias("salt"), F.lit(0).alias("late"), F.col("packed").alias("blocks")))
+    roles = F.when(F.col("packed").isNull(), F.array(own)).otherwise(F.concat(F.array(own), held))
+    dealt = placed.withColumn("role", F.explode(roles)).select("host", "chunk", "role.salt", "role.late", "layout", "role.blocks", "id", "url")
+    dealt = dealt.repartition("host", "chunk", "salt").sortWithinPartitions("host", "chunk", "salt", "late", "layout")
 
     def clean(batches):
-        for _, rows in groups(batches, ["host", "chunk"]):
-            found = (zlib.decompress(p).decode() for p in rows.column("packed").to_pylist())
-            texts = main_texts([t.split("\n") if t else [] for t in found])
-            out = pa.table([rows.column("id"), rows.column("url"), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
-            yield from out.combine_chunks().to_batches()
+        here, held, texts = None, {}, None
+        for batch in sliced(batches):
+            rows, out = [], []
+            for i, (*key, late, layout, packed) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
+                if key != here:
+                    here, held, texts = key, {}, None
+                if not late:
+                    if layout not in held:
+                        text = zlib.decompress(packed).decode()
+                        held[layout] = text.split("\n") if text else []
+                    continue
+                if texts is None:
+                    texts = dict(zip(held, main_texts(list(held.values())), strict=True))
+                    held = {}
+                rows.append(i)
+                out.append(texts[layout])
+            ids, urls = (c.take(pa.array(rows, pa.int32())) for c in batch.columns[6:])
+            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(out, pa.string())], names=[id_col, url_col, "text"])
 
     return dealt.mapInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.llm import minhash, vectors
+from factlake.llm import html, minhash, vectors
 from factlake.llm.common import components, groups, words
 from factlake.llm.html import blocks, extract, main_texts, repeated_tokens
 from factlake.llm.minhash import near_documents, shingles, signature, similarity
@@ -172,6 +172,26 @@ def test_repeated_runs_are_removed_and_unique_ones_kept(spark):
     assert extract(d.limit(0)).count() == 0
 
 
+def test_equal_pages_are_one_page(spark, monkeypatch):
+    rng = random.Random(12)
+    fresh = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(30))
+    article = [fresh(), fresh()]
+    assert main_texts([article] * 5) == ["\n".join(article)] * 5
+    joined = [" ".join(article)]  # the same tokens in one block
+    assert main_texts([article] * 4 + [joined] * 4) == ["\n".join(article)] * 4 + joined * 4
+    notice = "please accept all of our very many terms before reading on today"
+    others = [[fresh(), notice] for _ in range(6)]
+    pages = [article] * 30 + [joined] * 3 + others
+    want = ["\n".join(article)] * 30 + joined * 3 + [o[0] for o in others]
+    assert main_texts(pages) == want
+    rows = [(k % 35 or None, f"http://h.example/{k}", f"<p>{'<p>'.join(p)}") for k, p in enumerate(pages)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk_rows in (4_096, 7):
+        monkeypatch.setattr(html, "CHUNK_ROWS", chunk_rows)
+        got = {(r.page_id, r.url): r.text for r in extract(d.repartition(3)).collect()}
+        assert got == {(i, u): t for (i, u, _), t in zip(rows, want, strict=True)}
+
+
 def test_isotonic_is_monotone():
     _, levels = isotonic(np.arange(5.0), np.array([0.2, 0.1, 0.5, 0.4, 0.9]), np.ones(5))
     assert np.allclose(levels, [0.15, 0.45, 0.9])
