@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import BROADCAST_IDS, cut, table
 from .spans import SPAN, joined, listed, with_matches
 
 #: \G lets a match begin where the last one ended; else a run is tried from its first character.
@@ -78,27 +78,38 @@ def _near(body: str, start: Column, end: Column) -> Column:
     return F.lower(F.array_join(taken, " "))
 
 
-def disclosing_terms(base: DataFrame, body: str, min_contexts: int, threshold: float) -> DataFrame | None:
+def distinct_texts(source: DataFrame, body: str) -> DataFrame:
+    """(text_key, body), a row for each distinct text; only texts with copies are shuffled."""
+    keyed = source.select(F.xxhash64(body).alias("text_key"), body)
+    copied = cut(keyed.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_IDS else copied
+    once = keyed.join(copied, "text_key", "left_anti")
+    return once.unionByName(keyed.join(copied, "text_key", "left_semi").dropDuplicates(["text_key"]))
+
+
+def disclosing_terms(source: DataFrame, body: str, min_contexts: int, threshold: float) -> DataFrame | None:
     """(entity, term) where the term discloses the entity; None where no term can.
 
-    base: rows with body and the spans of each kind. An entity's contexts are its distinct
-    surroundings, so copies count once. With n contexts, k of them with the term, the term in
-    d of N documents: PMI = log(k N / (n d)) and the entity's information is log(N / n); the
-    term discloses at PMI >= threshold * information and k >= min_contexts.
+    All counts are of distinct texts, so copies count once. With n texts that hold the entity,
+    k of them with the term near it, the term in d of N texts: PMI = log(k N / (n d)) and the
+    entity's information is log(N / n); the term discloses at PMI >= threshold * information
+    and k >= min_contexts.
     """
+    texts = distinct_texts(source, body)
+    base = with_base_spans(texts, body)
     each = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("entity"))) for k in KINDS))
-    seen = base.where(F.size(each) > 0).select(body, F.explode(each).alias("x"))
-    contexts = cut(seen.select(F.col("x.entity").alias("entity"), _near(body, F.col("x.start"), F.col("x.end")).alias("context")).distinct())
-    known = contexts.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts)
-    terms = contexts.join(known, "entity").select("entity", "n", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
+    seen = base.where(F.size(each) > 0).select("text_key", body, F.explode(each).alias("x"))
+    contexts = cut(seen.select("text_key", F.col("x.entity").alias("entity"), _near(body, F.col("x.start"), F.col("x.end")).alias("context")).distinct())
+    known = contexts.groupBy("entity").agg(F.countDistinct("text_key").alias("n")).where(F.col("n") >= min_contexts)
+    terms = contexts.join(known, "entity").select("entity", "n", "text_key", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term")).distinct()
     pairs = cut(terms.groupBy("entity", "n", "term").agg(F.count("*").alias("k")).where(F.col("k") >= min_contexts))
     wanted = cut(pairs.select("term").distinct())
     size = wanted.count()
     if not size:
         return None
-    held = base.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))).alias("term"))
     held = held.groupBy("term").agg(F.count("*").alias("d")).join(F.broadcast(wanted) if size <= BROADCAST_TERMS else wanted, "term")
-    total = base.count()
+    total = source.select(F.xxhash64(body).alias("text_key")).distinct().count()
     pmi = F.log(F.col("k") * float(total) / (F.col("n") * F.col("d")))
     information = F.log(F.lit(float(total)) / F.col("n"))
     return pairs.join(held, "term").where((pmi > 0) & (pmi >= threshold * information)).select("entity", "term")
@@ -123,7 +134,7 @@ def personal_data(
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     base = with_base_spans(source, "body")
-    pairs = disclosing_terms(base, "body", min_contexts, threshold)
+    pairs = disclosing_terms(source, "body", min_contexts, threshold)
     none = F.array().cast(SPAN)
     if pairs is None:
         full = base.withColumn("term", none)

@@ -64,6 +64,13 @@ def test_terms_that_disclose_an_entity_are_sanitised(spark):
     assert (101, docs[15][1]) in rows
 
 
+def test_copies_do_not_hide_a_term_that_discloses(spark):
+    docs = [(i, f"case {i} Zanzibar za@x.org closed") for i in range(3)] + [(0, "case 0 Zanzibar za@x.org closed")] * 80
+    docs += [(100 + i, f"another text {i} of the many") for i in range(60)]
+    rows = {(r.doc_id, r.text) for r in personal_data(spark.createDataFrame(docs, DOCS)).collect()}
+    assert {(i, f"<TERM> {i} <TERM> <EMAIL> <TERM>") for i in range(3)} <= rows
+
+
 def test_personal_data_of_empty_table(spark):
     assert personal_data(spark.createDataFrame([], DOCS)).count() == 0
     assert list(KINDS) == [k for k, _, _ in PII]
