@@ -71,6 +71,14 @@ def test_copies_do_not_hide_a_term_that_discloses(spark):
     assert {(i, f"<TERM> {i} <TERM> <EMAIL> <TERM>") for i in range(3)} <= rows
 
 
+def test_a_fixed_phrase_counts_once_for_each_text(spark):
+    phrase = "please contact us Quillon at qq@y.org for help today now sir"
+    docs = [(i, f"u{i}a u{i}b {phrase} v{i}a v{i}b") for i in range(5)]
+    docs += [(100 + i, f"another text {i} please contact us at for help today now sir") for i in range(60)]
+    rows = {(r.doc_id, r.text) for r in personal_data(spark.createDataFrame(docs, DOCS)).collect()}
+    assert {(i, f"u{i}a u{i}b please contact us <TERM> at <EMAIL> for help today now sir v{i}a v{i}b") for i in range(5)} <= rows
+
+
 def test_personal_data_of_empty_table(spark):
     assert personal_data(spark.createDataFrame([], DOCS)).count() == 0
     assert list(KINDS) == [k for k, _, _ in PII]
