@@ -174,9 +174,11 @@ def _compare_all(docs: DataFrame, members: DataFrame, least: float, weighted: bo
 
     def sets(batches):
         for batch in sliced(batches):
-            held = [shingles(words(t), width) for t in batch.column(0).to_pylist()]
+            own = [words(t) for t in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array([bool(w) for w in own], pa.bool_()))  # texts without words link with nothing
+            held = [shingles(w, width) for w in own if w]
             signs = [signature(e, n if weighted else None) for e, n in held]
-            data = (*zip(*(_packed(e, n, weighted) for e, n in held), strict=True), [band_keys(x).tobytes() for x in signs], [x.astype(np.uint8).tobytes() for x in signs])
+            data = (*([x[i] for x in (_packed(e, n, weighted) for e, n in held)] for i in (0, 1)), [band_keys(x).tobytes() for x in signs], [x.astype(np.uint8).tobytes() for x in signs])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(d, pa.binary()) for d in data)], names=names)
 
     kinds = "rep long, component long, places array<struct<band:int,bucket:long,g:int>>, elements binary, weights binary, bands binary, prints binary"
