@@ -55,6 +55,11 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
+def types(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """The columns of these names as parts of a schema."""
+    return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+
+
 def sliced(batches, rows: int = 1_000):
     """The same rows in smaller batches, so that what is made of one stays small.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, table, words
+from .common import cut, sliced, table, types, words
 
 #: Words of an item that stand in one segment at most, and bytes of segments in one broadcast.
 SEGMENT_WORDS, BLOCK_BYTES = 2_000, 2 << 20
@@ -122,8 +122,9 @@ def contamination(
     item_text_col: str = "text",
     window: int = 10,
     block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: (id, n_words, starts, ends, items, contaminated).
+    """One row for each document: (id, n_words, starts, ends, items, contaminated), and its columns of carry.
 
     starts and ends are the stretches of words that windows of benchmark items hit, items the
     ids of items with occurring windows, as sorted strings. Items shorter than the window are
@@ -138,7 +139,7 @@ def contamination(
     n_blocks = max(1, -(-size // block_bytes))
     segments = segments.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)))
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [f"`{id_col}` {kind}", FOUND]
+    names = [f"`{id_col}` {kind}", FOUND, *types(docs, carry)]
 
     def searched(block: int) -> DataFrame:
         rows = [tuple(r) for r in segments.where(F.col("block") == block).select("item", "words").collect()]
@@ -151,21 +152,21 @@ def contamination(
                 columns = [pa.array([f[i] for f in found], t) for i, t in enumerate(FOUND_TYPES.values())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=[id_col, *FOUND_TYPES, *batch.schema.names[2:]])
 
-        source = docs.select(id_col, text_col)
+        source = docs.select(id_col, F.col(text_col).alias("searched"), *carry)
         if n_blocks == 1:
             return source.mapInArrow(search, ", ".join(names))
-        source = source.withColumn("text_key", F.xxhash64(text_col))
+        source = source.withColumn("text_key", F.xxhash64("searched"))
         return source.mapInArrow(search, ", ".join([*names, "text_key long"]))
 
     found = searched(0)
     if n_blocks > 1:
         for block in range(1, n_blocks):
             found = found.unionByName(searched(block))
-        found = _joined(found, id_col, n_blocks)
+        found = _joined(found, id_col, n_blocks, carry)
     return found.withColumn("contaminated", F.size("starts") > 0)
 
 
-def _joined(found: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
+def _joined(found: DataFrame, id_col: str, n_blocks: int, carry: tuple[str, ...]) -> DataFrame:
     """The passes of all blocks as one row again; equal rows stay as many as they were."""
 
     def join(batches):
@@ -174,16 +175,16 @@ def _joined(found: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
             hits = [merged([h for s, e in zip(a, b, strict=True) for h in zip(s, e, strict=True)]) for a, b in zip(columns["all_starts"], columns["all_ends"], strict=True)]
             items = [sorted({x for part in parts for x in part}) for parts in columns["all_items"]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), batch.column("n_words"), pa.array([h[0] for h in hits], pa.list_(pa.int32())), pa.array([h[1] for h in hits], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), batch.column("rows")],
-                names=[id_col, *FOUND_TYPES, "rows"],
+                [batch.column(id_col), batch.column("n_words"), pa.array([h[0] for h in hits], pa.list_(pa.int32())), pa.array([h[1] for h in hits], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *(batch.column(c) for c in carry), batch.column("rows")],
+                names=[id_col, *FOUND_TYPES, *carry, "rows"],
             )
 
-    grouped = found.groupBy(id_col, "text_key", "n_words").agg(
+    grouped = found.groupBy(id_col, *carry, "text_key", "n_words").agg(
         F.collect_set("starts").alias("s0"), F.collect_set(F.struct("starts", "ends")).alias("spans"), F.collect_set("items").alias("all_items"), (F.count("*") / n_blocks).cast("int").alias("rows")
     )
-    grouped = grouped.select(id_col, "n_words", F.col("spans.starts").alias("all_starts"), F.col("spans.ends").alias("all_ends"), "all_items", "rows")
+    grouped = grouped.select(id_col, "n_words", F.col("spans.starts").alias("all_starts"), F.col("spans.ends").alias("all_ends"), "all_items", *carry, "rows")
     kind = found.schema[id_col].dataType.simpleString()
-    out = grouped.mapInArrow(join, f"`{id_col}` {kind}, {FOUND}, rows int")
+    out = grouped.mapInArrow(join, ", ".join([f"`{id_col}` {kind}, {FOUND}", *types(found, carry), "rows int"]))
     return out.withColumn("rows", F.explode(F.array_repeat(F.lit(1), F.col("rows")))).drop("rows")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table, written
+from .common import sliced, table, types, written
 
 #: Features of the kernel, ridge penalty, folds by the remainder of crc32(id), partitions that sum.
 FEATURES, RIDGE, FOLDS, SUMS = 256, 0.3, 5, 64
@@ -99,16 +99,17 @@ def kernel_features(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> n
     return np.hstack([np.sqrt(2 / FEATURES) * np.cos(x @ w + b), np.ones((len(x), 1))])
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, stats) of every row."""
+def with_statistics(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, stats) of every row, and the columns of carry."""
 
     def measure(batches):
         for batch in sliced(batches):
             stats = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=[id_col, "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), stats, *batch.columns[2:]], names=[id_col, "stats", *carry])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(measure, f"`{id_col}` {kind}, stats array<double>")
+    source = docs.select(id_col, F.col(text_col).cast("string").alias("body"), *carry)
+    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}, stats array<double>", *types(docs, carry)]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -183,8 +184,9 @@ def quality_scores(
     text_col: str = "text",
     label_col: str = "quality",
     threshold: float = 0.3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: (id, held_out, score, predicted).
+    """One row for each document: (id, held_out, score, predicted), and its columns of carry.
 
     Only statistics of the text are inputs of a score. Labels of rows whose crc32(id as text)
     mod 5 is 0 are held out; all other labelled rows are learned from, each pair of a document
@@ -194,18 +196,18 @@ def quality_scores(
     are not read; an empty table gives an empty one.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
-    measured = written(with_statistics(docs, id_col, text_col)).withColumn("fold", F.coalesce(fold, F.lit(-1)))
+    measured = written(with_statistics(docs, id_col, text_col, carry)).withColumn("fold", F.coalesce(fold, F.lit(-1)))
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("labelled_id"), F.col(label_col).cast("double").alias("y"))
     labelled = measured.where("fold > 0").join(marks, F.col(id_col) == F.col("labelled_id")).select("stats", "y", "fold")
     model = fit(written(labelled))
 
     def score(batches):
         for batch in sliced(batches):
-            scores = model.score(_matrix(batch.column("stats")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=[id_col, "held_out", "score"])
+            scores = model.score(_matrix(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), *batch.columns[3:]], names=[id_col, "held_out", "score", *carry])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = measured.select(id_col, (F.col("fold") == 0).alias("held_out"), "stats").mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, score double")
+    scored = measured.select(id_col, (F.col("fold") == 0).alias("held_out"), "stats", *carry).mapInArrow(score, ", ".join([f"`{id_col}` {kind}, held_out boolean, score double", *types(docs, carry)]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -233,6 +233,36 @@ def test_pipeline_stages_keep_what_they_should(spark, sf_dir):
     assert set(corpus_pipeline.mixing(spark, kept, sf_dir).columns) == {*corpus_pipeline.COLUMNS, "copy"}
 
 
+def test_pipeline_stages_judge_rows_with_null_and_repeated_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], names)
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    rows = [(None, f"hit {bench}"), (None, text(1)), (7, f"hit {bench}"), (7, text(2)), (8, text(3)), (8, text(3))]
+    found = corpus_pipeline.decontamination(spark, make(rows), sf_dir)
+    assert found.columns == corpus_pipeline.COLUMNS and kept(found) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+    rows = [(5, text(1)), (5, text(1)), (6, text(1) + " end"), (None, text(1)), (None, text(2)), (None, text(2)), (9, text(3)), (9, text(4)), (3, ""), (3, ""), (4, "")]
+    found = corpus_pipeline.near_dedup(spark, make(rows), sf_dir)
+    assert kept(found) == sorted([(5, text(1)), (None, text(2)), (9, text(3)), (9, text(4)), (3, ""), (4, "")], key=str)
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    good = docs.where("doc_id = 0").first().text
+    bad = "A!! B!! " * 90
+    odd = [(None, bad), (10**6, bad), (10**6, good), (None, good)]
+    found = corpus_pipeline.quality_classifier(spark, docs.union(make(odd)), sf_dir)
+    scored = {r.text: r.predicted for r in quality_scores(docs.union(make(odd)), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("text",)).collect()}
+    want = [(i, t) for i, t in odd if scored[t]]
+    assert kept(found.where("doc_id IS NULL OR doc_id = 1000000")) == sorted(want, key=str) and not scored[bad]
+
+    rows = [(None, "own line\nshared"), (1, "other\nline"), (1, "other\nline"), (None, "")]
+    assert corpus_pipeline.line_dedup(spark, make(rows), sf_dir).count() == len(rows)
+    assert corpus_pipeline.mixing(spark, make(rows), sf_dir).where("doc_id = 1").count() >= 2
+
+
 def test_groups_are_consecutive_rows():
     import pyarrow as pa
 
