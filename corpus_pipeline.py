@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.common import cut, table, without, written
+from factlake.llm.common import discard, table, without, written
 from factlake.llm.decontaminate import contamination
 from factlake.llm.linededup import deduplicate_lines
 from factlake.llm.minhash import near_documents
@@ -39,13 +39,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words are in no group; of those with the same id and text one is kept.
     """
     rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
-    found = near_documents(rows, id_col="row").withColumnRenamed("row", "node")
+    found = near_documents(rows, id_col="row")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     repeat = F.when(wordless & F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*CARRY).alias("h"), "row")
     ranked = rows.select("row", repeat.alias("repeat"), first.alias("first"))
     group = F.struct(F.col("repeat").isNotNull().alias("is_repeat"), F.coalesce("repeat", "component_id").alias("of"))
-    members = cut(ranked.join(found, ranked["row"] == found["node"]).select("row", "first", group.alias("group")))
+    members = written(ranked.join(found, "row").select("row", "first", group.alias("group")))
+    discard(found)
     kept = members.groupBy("group").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").select("group", F.col("least.row").alias("kept"))
     gone = members.join(kept, "group").where("row <> kept").select("row")
     return without(rows, gone, "row").select(COLUMNS)

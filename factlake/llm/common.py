@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words: digits, letters a-z and everything beyond ASCII, in UTF-8 after A-Z are lower-cased.
@@ -24,34 +24,45 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder in spark.checkpoint.dir; where the session names none, one of our own if all runs on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factlake-"))
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from reliable storage from now on."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """As cut(), but as Parquet: smaller for texts, and columns are read on their own."""
+    """The same rows, read from Parquet in the shared folder from now on; cuts lineage."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what written() wrote for these; no frame that is still to be read may come from them."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes up to which a side that has been measured is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-#: Ids that are broadcast at most, 8 bytes each.
-BROADCAST_IDS = 1_000_000
+def offered(df: DataFrame, cost: Column | int) -> DataFrame:
+    """The same rows, broadcast in a join if they cost at most BROADCAST_BYTES; cost: bytes of a row."""
+    total = df.agg(F.sum(F.lit(cost) if isinstance(cost, int) else cost)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is not among ids; few ids are broadcast, more are joined by shuffle."""
-    gone = cut(ids.select(F.col(ids.columns[0]).alias("gone_id")).where("gone_id IS NOT NULL").distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    gone = offered(written(ids.select(F.col(ids.columns[0]).alias("gone_id")).where("gone_id IS NOT NULL").distinct()), 16)
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
@@ -103,23 +114,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (node, component), the least node of each.
 
     Alternating large-star and small-star steps, each a groupBy and a join; only nodes with
-    links have a row. Lineage is cut after each round, and rounds end when nothing changes.
+    links have a row. Each round is written and the one before it deleted, and rounds end when
+    nothing changes.
     """
-    now = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    )
+    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen:
+        if mark == seen or not mark["n"]:
             break
         seen = mark
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    nodes = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        then = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(now)
+        now = then
+    # at the end each node has one link, to the least of its component
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

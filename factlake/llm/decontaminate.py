@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, table, types, words
+from .common import sliced, table, types, words, written
 
 #: Words of an item that stand in one segment at most, and bytes of segments in one broadcast.
 SEGMENT_WORDS, BLOCK_BYTES = 2_000, 2 << 20
@@ -134,7 +134,7 @@ def contamination(
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")), F.col(item_text_col).cast("string"))
-    segments = cut(items.mapInArrow(_segments(window), "item string, words string"))
+    segments = written(items.mapInArrow(_segments(window), "item string, words string"))
     size = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     segments = segments.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, table, written
+from .common import sliced, table, written
 
 #: Distinct pages of a chunk on average, rows that one task writes for it, hosts above which their list isn't broadcast.
 CHUNK, CHUNK_ROWS, BROADCAST_HOSTS = 256, 4_096, 100_000
@@ -247,10 +247,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_HOSTS else df
 
     streams = parsed.groupBy("host", "stream").agg(F.count("*").alias("n_rows"))
-    large = cut(streams.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"))
+    large = written(streams.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"))
     chunk = F.pmod("stream", F.coalesce("chunks", F.lit(1).cast("long")))
     sizes = streams.join(few(large), "host", "left").groupBy("host", chunk.alias("chunk")).agg(F.ceil(F.sum("n_rows") / CHUNK_ROWS).cast("int").alias("salts"))
-    salted = cut(sizes.where("salts > 1"))
+    salted = written(sizes.where("salts > 1"))
     placed = parsed.join(few(large), "host", "left").withColumn("chunk", chunk).join(few(salted), ["host", "chunk"], "left")
     placed = placed.withColumn("salts", F.coalesce("salts", F.lit(1)))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, table
+from .common import sliced, table, written
 
 BLANK = " \t\n\x0b\x0c\r"
 #: Hashes in one shard on average, and bytes of all shards up to which they are broadcast.
@@ -217,7 +217,7 @@ def deduplicate_lines(
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col), *carry)
     hashes = source.select(id_col, text_col).mapInArrow(_hashes(min_chars), "h1 long, h2 long, doc long")
     counted = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
-    frequent = cut(counted.where((F.col("n") >= min_docs) & F.col("keeper").isNotNull()))
+    frequent = written(counted.where((F.col("n") >= min_docs) & F.col("keeper").isNotNull()))
     total = frequent.count()
     n_shards = max(1, -(-total // SHARD_KEYS))
     sharded = frequent.withColumn("shard", F.pmod("h1", F.lit(n_shards)))

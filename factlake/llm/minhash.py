@@ -15,15 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, groups, sliced, table, words, written
+from .common import components, discard, groups, offered, sliced, table, words, written
 
 #: Bands and coordinates in each: at similarity 0.8 a pair meets in a band with 99.9 %.
 BANDS, ROWS = 24, 6
 WIDTH = 5
-#: Ids that are broadcast at most, and comparisons with one pivot that a task makes on average.
-BROADCAST_IDS, PER_TASK = 1_000_000, 1_000
+#: Comparisons with one pivot that a task makes on average.
+PER_TASK = 256
 #: Rounds with one pivot for each bucket before all pairs that are left are looked at.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 #: Of these a pair whose coordinates agree in a share less by SLACK than the least similarity is
 #: not similar (five standard deviations); members of a bucket on either side of one block.
 SLACK, BLOCK = 0.17, 1_024
@@ -52,24 +52,43 @@ def shingles(own: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return np.unique(total, return_counts=True)
 
 
+def _darts(keys: np.ndarray, until: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the key, time, dart) of the darts that land until then in regions of this size."""
+    mean = until * size
+    thrown = int(mean + 4 * np.sqrt(mean) + 4)
+    while True:
+        darts = _mixed(keys[:, None] + np.arange(1, thrown + 1, dtype=np.uint64) * _DART)
+        times = np.cumsum(-np.log(((darts >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53), axis=1)
+        if times[:, -1].min() > mean:
+            break
+        thrown *= 2
+    own, at = np.nonzero(times <= mean)
+    return own, times[own, at] / size, darts[own, at]
+
+
+def _thrown(keys: np.ndarray, weights: np.ndarray | None, until: float) -> tuple[np.ndarray, np.ndarray]:
+    """Times and darts until then. A weight w covers the regions [0, 1), [1, 2), [2, 4), [4, 8) ...
+    up to w; darts that land above w in its last region are not its own, so cost follows elements."""
+    if weights is None:
+        return _darts(keys, until, 1)[1:]
+    times, darts, low, size, level = [], [], 0, 1, 0
+    while (own := np.flatnonzero(weights > low)).size:
+        at, t, d = _darts(_mixed(keys[own] + np.array([level], np.uint64) * _LAYER), until, size)
+        place = low + size * ((_mixed(d ^ _LAYER) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+        inside = place < weights[own][at]
+        times.append(t[inside])
+        darts.append(d[inside])
+        low, size, level = low + size, max(1, low + size), level + 1
+    return np.concatenate(times), np.concatenate(darts)
+
+
 def signature(elements: np.ndarray, weights: np.ndarray | None, k: int = BANDS * ROWS) -> np.ndarray:
     """The dart that each of k coordinates keeps; weights are whole numbers, 1 where None."""
     keys = _mixed(elements)
-    if weights is not None:
-        first = np.cumsum(weights) - weights
-        layer = np.arange(int(weights.sum())) - np.repeat(first, weights)
-        keys = _mixed(np.repeat(keys, weights) + layer.astype(np.uint64) * _LAYER)
-    until = k * (np.log(k) + 3) / len(keys)
+    until = k * (np.log(k) + 3) / (len(keys) if weights is None else int(weights.sum()))
     while True:
-        thrown = int(until + 4 * np.sqrt(until) + 4)
-        while True:
-            darts = _mixed(keys[:, None] + np.arange(1, thrown + 1, dtype=np.uint64) * _DART)
-            times = np.cumsum(-np.log(((darts >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53), axis=1)
-            if times[:, -1].min() > until:
-                break
-            thrown *= 2
-        seen = times <= until
-        times, darts = times[seen], _mixed(darts[seen] ^ _PLACE)
+        times, darts = _thrown(keys, weights, until)
+        darts = _mixed(darts ^ _PLACE)
         order = np.argsort(-times, kind="stable")
         out, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
         at = ((darts >> np.uint64(32)) % np.uint64(k)).astype(np.int64)[order]
@@ -103,17 +122,24 @@ def _unpacked(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
     return own, np.frombuffer(weights, np.int64) if weights else np.ones(len(own), np.int64)
 
 
+def _prints(sign: np.ndarray) -> bytes:
+    """A byte of each coordinate."""
+    return sign.astype(np.uint8).tobytes()
+
+
 def _sketch(weighted: bool, width: int):
     def sketch(batches):
         for batch in sliced(batches):
-            keys, bands = [], []
+            keys, bands, prints = [], [], []
             for text in batch.column(1).to_pylist():
                 own = words(text)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(own)) if own else None)
                 elements, n = shingles(own, width)
                 sign = signature(elements, n if weighted else None) if own else None
                 bands.append(band_keys(sign).tolist() if own else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "words_key", "bands"])
+                prints.append(_prints(sign) if own else None)
+            columns = [pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "words_key", "bands", "prints"])
 
     return sketch
 
@@ -124,11 +150,12 @@ def _compare(docs: DataFrame, pairs: DataFrame, least: float, weighted: bool, wi
     The text of a pivot with many others goes to several tasks and the others are dealt over
     them, so many copies of one text do not meet in one task.
     """
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"))
-    asked = pairs.join(salts, "pivot").select(F.col("other").alias("asked"), "pivot", F.pmod(F.xxhash64("other"), "salts").cast("int").alias("salt"), F.lit(False).alias("is_pivot"))
-    own = salts.select(F.col("pivot").alias("asked"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_pivot"))
-    roles = cut(asked.union(own).groupBy("asked").agg(F.collect_set(F.struct("pivot", "salt", "is_pivot")).alias("roles")))
-    source = docs.join(F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles, docs["id"] == roles["asked"])
+    pivots = written(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts")))
+    hot = offered(pivots.where("salts > 1"), 16)
+    asked = pairs.join(hot, "pivot", "left").select(F.col("other").alias("asked"), "pivot", F.pmod(F.xxhash64("other"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(False).alias("is_pivot"))
+    own = pivots.select(F.col("pivot").alias("asked"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_pivot"))
+    roles = written(asked.union(own).groupBy("asked").agg(F.collect_set(F.struct("pivot", "salt", "is_pivot")).alias("roles")))
+    source = docs.join(offered(roles, 32 + 24 * F.size("roles")), docs["id"] == roles["asked"])
 
     def sets(batches):
         for batch in sliced(batches):
@@ -155,22 +182,74 @@ def _compare(docs: DataFrame, pairs: DataFrame, least: float, weighted: bool, wi
                     out[1].append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["pivot", "other"])
 
-    return dealt.mapInArrow(compare, "pivot long, other long")
+    found = written(dealt.mapInArrow(compare, "pivot long, other long"))
+    discard(pivots, roles)
+    return found
+
+
+PLACE = "band int, bucket long, p int, q int, own int"
+
+
+def _open_pairs(own, p, q, rep, component, prints, bands, band: int, need: float):
+    """(member, others): in one pair of blocks of a bucket, those that the signature doesn't rule out.
+
+    Members of one component are not compared, and a pair is looked at in the first band that it shares.
+    """
+    rights = np.flatnonzero(own == q)
+    for i in np.flatnonzero(own == p).tolist():
+        others = rights[(component[rights] != component[i]) & ((rep[rights] > rep[i]) | (p != q))]
+        others = others[(prints[others] == prints[i]).sum(1) >= need]
+        others = others[~(bands[others, :band] == bands[i, :band]).any(1)]
+        if len(others):
+            yield i, others
+
+
+def _rows_of(rows: pa.Table, names: tuple[str, ...]):
+    """Columns of a group as arrays: whole numbers, then prints and bands as matrices."""
+    n = rows.num_rows
+    prints, bands = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(n, -1) for c, kind in (("prints", np.uint8), ("band_keys", np.int64)))
+    return *(rows.column(c).to_numpy() for c in names), prints, bands
 
 
-def _compare_all(docs: DataFrame, members: DataFrame, least: float, weighted: bool, width: int) -> DataFrame:
-    """Links (pivot, other) between members of one bucket that are in different components.
+def _compare_all(docs: DataFrame, classes: DataFrame, members: DataFrame, least: float, weighted: bool, width: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket: some that connect all that are linked.
 
-    members: (band, bucket, rep, component). Texts go to the buckets once each; buckets of more
-    than BLOCK members are dealt into pairs of blocks. A pair is looked at in the first band
-    that it shares, by signature and then exactly, unless links of the block connect it.
+    members: (band, bucket, rep, component). Buckets of more than BLOCK members are dealt into
+    pairs of blocks. First only signatures meet there; then the texts of those that have a
+    partner which the signature does not rule out, and pairs are compared exactly unless links
+    of the block connect them already.
     """
     sizes = members.groupBy("band", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g")).where("g > 1")
-    sized = members.join(cut(sizes), ["band", "bucket"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    places = sized.groupBy("rep", "component").agg(F.collect_list(F.struct("band", "bucket", "g")).alias("places"))
-    places = cut(places)
-    source = docs.join(F.broadcast(places) if places.count() <= BROADCAST_IDS else places, docs["id"] == places["rep"])
-    names = ["rep", "component", "places", "elements", "weights", "bands", "prints"]
+    sized = members.join(offered(written(sizes), 32), ["band", "bucket"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct("band", "bucket", F.least("own", k).alias("p"), F.greatest("own", k).alias("q"), "own"))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("place", F.explode(blocks))
+    places = written(sized.groupBy("rep", "component").agg(F.collect_list("place").alias("places")))
+    keys = ["band", "bucket", "p", "q"]
+    need = (least - SLACK) * BANDS * ROWS
+    whole = ("own", "rep", "component")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("place", F.explode("places")).drop("places").select("*", "place.*").drop("place").repartition(*keys).sortWithinPartitions(*keys)
+
+    def screen(batches):
+        for key, rows in groups(batches, keys):
+            own, rep, component, prints, bands = _rows_of(rows, whole)
+            held = np.zeros(len(rep), bool)
+            for i, others in _open_pairs(own, *key[2:], rep, component, prints, bands, key[0], need):
+                held[i] = held[others] = True
+            yield from rows.select(["rep", "component", *keys, "own"]).filter(pa.array(held)).to_batches()
+
+    signed = classes.select("rep", "prints", "bands").join(offered(places, 64 + 32 * F.size("places")), "rep")
+
+    def pack(batches):
+        for batch in sliced(batches):
+            packed = pa.array([np.array(b, np.int64).tobytes() for b in batch.column("bands").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("component"), batch.column("prints"), packed, batch.column("places")], names=["rep", "component", "prints", "band_keys", "places"])
+
+    kinds = f"rep long, component long, prints binary, band_keys binary, places array<struct<{', '.join(x.replace(' ', ':') for x in PLACE.split(', '))}>>"
+    left = dealt(signed.select("rep", "component", "prints", "bands", "places").mapInArrow(pack, kinds)).mapInArrow(screen, f"rep long, component long, {PLACE}")
+    left = written(left.groupBy("rep", "component").agg(F.collect_set(F.struct(*keys, "own")).alias("places")))
+    source = docs.where("body IS NOT NULL").join(offered(left, 64 + 32 * F.size("places")), docs["id"] == left["rep"])
 
     def sets(batches):
         for batch in sliced(batches):
@@ -178,37 +257,28 @@ def _compare_all(docs: DataFrame, members: DataFrame, least: float, weighted: bo
             batch = batch.filter(pa.array([bool(w) for w in own], pa.bool_()))  # texts without words link with nothing
             held = [shingles(w, width) for w in own if w]
             signs = [signature(e, n if weighted else None) for e, n in held]
-            data = (*([x[i] for x in (_packed(e, n, weighted) for e, n in held)] for i in (0, 1)), [band_keys(x).tobytes() for x in signs], [x.astype(np.uint8).tobytes() for x in signs])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(d, pa.binary()) for d in data)], names=names)
+            data = (*([x[i] for x in (_packed(e, n, weighted) for e, n in held)] for i in (0, 1)), [_prints(x) for x in signs], [band_keys(x).tobytes() for x in signs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:3], *(pa.array(d, pa.binary()) for d in data), batch.column(3)], names=["rep", "component", "elements", "weights", "prints", "band_keys", "places"])
 
-    kinds = "rep long, component long, places array<struct<band:int,bucket:long,g:int>>, elements binary, weights binary, bands binary, prints binary"
-    each = source.where("body IS NOT NULL").select("body", *names[:3]).mapInArrow(sets, kinds).withColumn("place", F.explode("places")).drop("places").select("*", "place.*").drop("place")
-    each = each.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least("own", q).alias("p"), F.greatest("own", q).alias("q")))
-    keys = ["band", "bucket", "p", "q"]
-    dealt = each.withColumn("block", F.explode(blocks)).select("band", "bucket", "block.*", "own", "rep", "component", "elements", "weights", "bands", "prints")
+    texts = dealt(source.select("body", "rep", "component", "places").mapInArrow(sets, kinds.replace("prints", "elements binary, weights binary, prints")))
 
     def compare(batches):
-        for (band, _, p, q), rows in groups(batches, keys):
-            own, rep, component = (rows.column(c).to_numpy() for c in ("own", "rep", "component"))
-            component = component.copy()
-            held = [rows.column(c).to_pylist() for c in ("elements", "weights", "bands", "prints")]
-            prints, bands = (np.frombuffer(b"".join(h), kind).reshape(len(rep), -1) for h, kind in ((held[3], np.uint8), (held[2], np.int64)))
-            need = (least - SLACK) * prints.shape[1]
-            member = lambda k: _unpacked(held[0][k], held[1][k])
-            rights, out = np.flatnonzero(own == q), ([], [])
-            for i in np.flatnonzero(own == p).tolist():
-                others = rights[(component[rights] != component[i]) & ((rep[rights] > rep[i]) | (p != q))]
-                others = others[(prints[others] == prints[i]).sum(1) >= need]
-                others = others[~(bands[others, :band] == bands[i, :band]).any(1)]
+        for key, rows in groups(batches, keys):
+            own, rep, component, prints, bands = _rows_of(rows, whole)
+            component, known, out = component.copy(), component, ([], [])
+            elements, weights = (rows.column(c).to_pylist() for c in ("elements", "weights"))
+            member = lambda k: _unpacked(elements[k], weights[k])
+            for i, others in _open_pairs(own, *key[2:], rep, known, prints, bands, key[0], need):
                 for j in others.tolist():
                     if component[i] != component[j] and similarity(member(i), member(j)) >= least:
                         component[component == component[j]] = component[i]
-                        out[0].append(rep[i])
-                        out[1].append(rep[j])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["pivot", "other"])
+                        out[0].append(known[i])
+                        out[1].append(known[j])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "pivot long, other long")
+    found = written(texts.mapInArrow(compare, "a long, b long"))
+    discard(places, left)
+    return found
 
 
 def near_documents(
@@ -231,36 +301,44 @@ def near_documents(
     read; an empty table gives an empty one.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    sketched = written(source.mapInArrow(_sketch(weighted, width), "id long, words_key binary, bands array<long>"))
-    classes = cut(sketched.where(F.col("id").isNotNull() & F.col("words_key").isNotNull()).groupBy("words_key").agg(F.min(F.struct("id", "bands")).alias("r")).select("words_key", F.col("r.id").alias("rep"), F.col("r.bands").alias("bands")))
+    sketched = written(source.mapInArrow(_sketch(weighted, width), "id long, words_key binary, bands array<long>, prints binary"))
+    first = F.min(F.struct("id", "bands", "prints")).alias("r")
+    classes = sketched.where(F.col("id").isNotNull() & F.col("words_key").isNotNull()).groupBy("words_key").agg(first, F.count("*").alias("n"))
+    classes = written(classes.select("words_key", "n", F.col("r.id").alias("rep"), "r.bands", "r.prints"))
     rows = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band", "bucket")
-    rows = cut(rows.join(shared, ["band", "bucket"]).distinct())
+    shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket")
+    shared = written(shared)
+    rows = written(rows.join(offered(shared, 32), ["band", "bucket"]).distinct())
+    discard(shared)
 
-    links = None
-    component = None
+    component = found = None
     for turn in range(PIVOT_ROUNDS + 1):
-        named = rows.withColumn("component", F.col("rep")) if component is None else rows.join(component, rows["rep"] == component["node"], "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
+        named = rows.withColumn("component", F.col("rep")) if component is None else rows.join(offered(component, 32), rows["rep"] == component["node"], "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
         open_buckets = named.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))).alias("p")).where("a < z")
-        open_buckets = cut(open_buckets.select("band", "bucket", "p.pivot", "p.pivot_component"))
+        open_buckets = written(open_buckets.select("band", "bucket", "p.pivot", "p.pivot_component"))
         if open_buckets.isEmpty():
             break
-        met = named.join(open_buckets, ["band", "bucket"])
-        if turn < PIVOT_ROUNDS:
-            pairs = met.where(F.col("component") != F.col("pivot_component")).select("pivot", F.col("rep").alias("other"))
-            found = cut(_compare(source, cut(pairs.distinct()), least, weighted, width))
-        else:
-            found = cut(_compare_all(source, met.select("band", "bucket", "rep", "component"), least, weighted, width))
-        links = found if links is None else cut(links.union(found))
-        component = cut(components(links, "pivot", "other"))
-    members = classes.select("words_key", "rep")
-    if component is not None:
-        members = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        members = members.select("words_key", F.col("rep").alias("component_id"))
-    members = cut(members)
-    out = sketched.select("id", "words_key").join(members, "words_key", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+        met = named.join(offered(open_buckets, 48), ["band", "bucket"])
+        if turn == PIVOT_ROUNDS:
+            found = _compare_all(source, classes, met.select("band", "bucket", "rep", "component"), least, weighted, width)
+            break
+        pairs = written(met.where(F.col("component") != F.col("pivot_component")).select("pivot", F.col("rep").alias("other")).distinct())
+        links = _compare(source, pairs, least, weighted, width)
+        if component is not None:
+            links = links.union(component.select("node", "component"))
+        component = written(components(links, "pivot", "other"))
+        discard(pairs, open_buckets)
+    members = classes.select("words_key", "n", "rep", F.col("rep").alias("component_id"))
+    for moved in (component, None if found is None else written(components(found))):
+        if moved is None:
+            continue
+        members = members.join(offered(moved, 32), F.col("component_id") == F.col("node"), "left").select("words_key", "n", "rep", F.coalesce("component", "component_id").alias("component_id"))
+    # a document that is alone in its class, and its class in its component, keeps its own id
+    members = written(members.where("n > 1 OR component_id <> rep").select("words_key", "component_id"))
+    out = sketched.select("id", "words_key").join(offered(members, 64), "words_key", "left")
+    out = written(out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")))
+    discard(sketched, classes, rows, members, *(x for x in (component, found) if x is not None))
+    return out
 
 
 def op7_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

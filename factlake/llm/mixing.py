@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table, written
 
 #: Source rows up to which they are broadcast (about 100 bytes each), and Newton steps at most.
 BROADCAST_SOURCES, NEWTON_STEPS = 100_000, 64
@@ -74,17 +74,17 @@ def mix(
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     held = {c: f"carry_{i}" for i, c in enumerate(carry)}
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), *(F.col(c).alias(h) for c, h in held.items())).withColumn("bucket", F.substring("key", 1, 3))
-    sized = cut(base.drop(*held.values()))
-    buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
+    sized = written(base.drop(*held.values()))
+    buckets = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     plan = source_plan(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     # the bucket of each source in which the quota ends: only its documents are put in order
     run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     ends = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)))
-    plan = cut(plan)
+    plan = written(plan)
     last = ends.join(plan.select(F.col("source").alias("s"), "quota"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("before") <= F.col("quota"))
     last = last.groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("end")).select(F.col("source").alias("s"), "end")
     plan = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "plan_source")
-    plan = cut(plan)
+    plan = written(plan)
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     rows = (base if carry else sized).join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, table
+from .common import offered, table, written
 from .spans import SPAN, joined, listed, with_matches
 
 #: \G lets a match begin where the last one ended; else a run is tried from its first character.
@@ -81,8 +81,8 @@ def _near(body: str, start: Column, end: Column) -> Column:
 def distinct_texts(source: DataFrame, body: str) -> DataFrame:
     """(text_key, body), a row for each distinct text; only texts with copies are shuffled."""
     keyed = source.select(F.xxhash64(body).alias("text_key"), body)
-    copied = cut(keyed.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
-    copied = F.broadcast(copied) if copied.count() <= BROADCAST_IDS else copied
+    copied = written(keyed.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
+    copied = offered(copied, 16)
     once = keyed.join(copied, "text_key", "left_anti")
     return once.unionByName(keyed.join(copied, "text_key", "left_semi").dropDuplicates(["text_key"]))
 
@@ -99,11 +99,11 @@ def disclosing_terms(source: DataFrame, body: str, min_contexts: int, threshold:
     base = with_base_spans(texts, body)
     each = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("entity"))) for k in KINDS))
     seen = base.where(F.size(each) > 0).select("text_key", body, F.explode(each).alias("x"))
-    contexts = cut(seen.select("text_key", F.col("x.entity").alias("entity"), _near(body, F.col("x.start"), F.col("x.end")).alias("context")).distinct())
+    contexts = written(seen.select("text_key", F.col("x.entity").alias("entity"), _near(body, F.col("x.start"), F.col("x.end")).alias("context")).distinct())
     known = contexts.groupBy("entity").agg(F.countDistinct("text_key").alias("n")).where(F.col("n") >= min_contexts)
     terms = contexts.join(known, "entity").select("entity", "n", "text_key", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term")).distinct()
-    pairs = cut(terms.groupBy("entity", "n", "term").agg(F.count("*").alias("k")).where(F.col("k") >= min_contexts))
-    wanted = cut(pairs.select("term").distinct())
+    pairs = written(terms.groupBy("entity", "n", "term").agg(F.count("*").alias("k")).where(F.col("k") >= min_contexts))
+    wanted = written(pairs.select("term").distinct())
     size = wanted.count()
     if not size:
         return None
@@ -143,7 +143,7 @@ def personal_data(
         key = F.xxhash64("body")
         entities = F.array_distinct(F.concat(*(F.transform(k, lambda s: F.lower(s["match"])) for k in KINDS)))
         held = base.withColumn("text_key", key).select("text_key", F.explode(entities).alias("entity")).distinct().join(pairs, "entity")
-        held = cut(held.groupBy("text_key").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+        held = written(held.groupBy("text_key").agg(F.array_sort(F.collect_set("term")).alias("terms")))
         if held.count() <= BROADCAST_TERMS:
             held = F.broadcast(held)
         full = base.withColumn("text_key", key).join(held, "text_key", "left")

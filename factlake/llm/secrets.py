@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table, written
 from .spans import joined, with_matches
 
 #: Blobs with findings up to which they are broadcast, some 200 bytes each.
@@ -87,7 +87,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     numbers = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)))
     current = F.filter("findings", lambda f: f["rule"].isin(names))
     spans = F.array_sort(F.array_distinct(F.transform(current, lambda f: F.struct(f["start"].alias("start"), numbers[f["rule"]].alias("number"), f["end"].alias("end"), F.substring_index(f["rule"], "@", 1).alias("kind")))))
-    known = cut(known.select("blob", spans.alias("spans")))  # else paths of one blob would meet where blobs are scanned
+    known = written(known.select("blob", spans.alias("spans")))  # else paths of one blob would meet where blobs are scanned
     known = F.broadcast(known) if known.count() <= BROADCAST_BLOBS else known
     none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
     findings = source.select(id_col, "blob").join(known, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
