@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,27 @@ def groups(batches, keys: list[str]):
         yield held_key, pa.Table.from_batches(held)
 
 
+def whole_groups(batches, keys: list[str]):
+    """The same rows as Arrow tables that end where a group of equal keys ends; keys are whole numbers, rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for k, c in zip(keys, columns, strict=True):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[-1].as_py() != c[0]
+        ends = np.flatnonzero(new)
+        if len(ends):
+            done = [*held, batch.slice(0, ends[-1])]
+            held = []
+            yield pa.Table.from_batches([b for b in done if b.num_rows])
+        held.append(batch.slice(ends[-1]) if len(ends) else batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (node, component), the least node of each.
 
