@@ -2,10 +2,11 @@
 
 Markup says which blocks are menus, adverts, forms and the like, and which stand in an
 article. The token streams of the pages of one host are concatenated and their suffixes
-sorted as deep as the shortest repeat that counts; runs that stand on most pages of the host
-are boilerplate and are removed, unique runs are kept. Large hosts are dealt into chunks of
-bounded size, and each chunk finds what its pages repeat. Pages with the same token stream
-are one page to it: they are folded before chunks are dealt, and all get the text.
+sorted as deep as the shortest repeat that counts. A run of tokens that stands on enough
+distinct pages of the host is boilerplate and is removed; unique runs are kept. Large hosts
+are dealt into chunks of bounded size: a run that is frequent on a host is frequent in one of
+its chunks, so chunks name candidates, which are then counted over all pages of the host.
+Pages with the same token stream are one page.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table, written
+from .common import discard, offered, sliced, table, written
 
-#: Distinct pages of a chunk on average, rows that one task writes for it, hosts above which their list isn't broadcast.
-CHUNK, CHUNK_ROWS, BROADCAST_HOSTS = 256, 4_096, 100_000
-#: Pages of which a task remembers that it has packed them.
+#: Distinct pages of a chunk on average, its tokens on average, and rows that are cleaned at a time.
+CHUNK, CHUNK_TOKENS, CHUNK_ROWS = 256, 1 << 20, 1_000
+#: Pages of which a task remembers that it has passed them on.
 REMEMBERED = 100_000
-#: Doublings of the suffix order (so repeats have 2**3 tokens at least), least pages and share of pages.
-DOUBLINGS, LEAST_PAGES, LEAST_SHARE = 3, 5, 0.6
+#: Doublings of the suffix order, so repeats have 2**3 tokens at least.
+DOUBLINGS = 3
+SPAN = 2**DOUBLINGS
+#: Least distinct pages of a run, and its least share of a host's distinct pages: where text stands in an article, and elsewhere.
+LEAST_PAGES, ARTICLE_SHARE, OTHER_SHARE = 5, 0.6, 0.2
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -42,70 +46,112 @@ _BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head nav footer aside form button select option label dialog menu object audio video canvas".split())
+_DROPPED = frozenset("head nav footer aside button select option label dialog menu object audio video canvas".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NAMES = frozenset(
-    "ad ads adv nav nb menu menus side masthead gdpr ccpa notice notices alert popup modal overlay share sharing social signup login"
-    " related recommended recommendations reply replies respond disqus widget pager pagination toolbar copyright legal skip search footer"
-    " tagcloud topbar bottombar".split()
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Words of class names and ids that say what no main text is, and words that may stand beside them.
+_TELLING = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot adsbygoogle sponsor sponsored sponsors promo promos promotion promotions"
+    " nav navbar navigation menu menus masthead breadcrumb breadcrumbs sidebar sidebars cookie cookies consent gdpr ccpa notice notices alert"
+    " popup modal overlay banner banners teaser teasers newsletter subscribe subscription signup login share sharing social related recommended recommendations"
+    " comment comments reply replies respond disqus widget widgets pager pagination toolbar copyright footer tagcloud topbar bottombar".split()
 )
-_STARTS = ("advert", "adsense", "adslot", "sponsor", "promo", "navbar", "navig", "breadcrumb", "sidebar", "cookie", "consent", "newsletter", "subscri", "comment", "banner", "teaser")
+_BESIDE = frozenset(
+    "box container wrapper wrap block section area slot bar top bottom left right main site page global primary secondary list item items link links"
+    " button buttons form panel inner outer holder content post posts article articles news stories story more thread unit text message js column col row"
+    " fixed sticky mobile desktop user users reader readers legal search skip side the and your our".split()
+)
+_CONTENT = frozenset("content main maincontent articlebody postcontent entrycontent storybody articlecontent postbody bodycontent pagecontent".split())
 
 
 def _named(names: str, inside: bool) -> bool:
-    for name in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()):
-        if name in _NAMES or name.startswith(_STARTS) or (name == "header" and not inside):
+    """Whether one of these names consists of telling words and of such as may stand beside them."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x]
+        telling = [x in _TELLING or (x == "header" and not inside) for x in parts]
+        if any(telling) and all(t or x in _BESIDE for t, x in zip(telling, parts, strict=True)):
             return True
     return False
 
 
-def _is_dropped(tag: str, attrs: str, inside: bool) -> bool:
+def _is_dropped(tag: str, attrs: dict, inside: bool) -> bool:
     """Whether an element is no part of a main text; inside: in an article."""
     if tag in _DROPPED or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    values = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
-    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
-    return values.get("role", "").lower() in _ROLES or _named(f"{values.get('class', '')} {values.get('id', '')}", inside)
+    if tag in _HEADINGS or tag == "article":
+        return False
+    return attrs.get("role", "").lower() in _ROLES or _named(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside)
 
 
-def blocks(page: str | None) -> list[str]:
-    """Blocks of the main text by markup, in page order, white space collapsed.
+def _is_content(attrs: dict) -> bool:
+    return any(re.sub(r"[^a-z]", "", name.lower()) in _CONTENT for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
+
+
+class _Block:
+    """Text of a block, its characters outside links, and whether it stands in an article, a form or a content element."""
+
+    __slots__ = ("text", "plain", "inside", "in_form", "in_content")
 
-    What stands in article or main elements if there is any, else all that isn't dropped.
+    def __init__(self, text: str, plain: int, inside: bool, in_form: bool, in_content: bool):
+        self.text, self.plain, self.inside, self.in_form, self.in_content = text, plain, inside, in_form, in_content
+
+
+def _chosen(found: list[_Block]) -> list[_Block]:
+    """The main text among the blocks that no element drops.
+
+    Forms go unless most of the text stands in them. Blocks of articles are the main text if
+    there are any, unless other text outweighs them: three times as much in a content element,
+    or four times as much and over 600 characters anywhere.
     """
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in an article
-    text: list[str] = []
-    found: list[tuple[str, bool]] = []
-    dropped = inside = False
+    size = lambda some: sum(b.plain for b in some)
+    own = [b for b in found if not b.in_form]
+    own = found if size(own) * 2 < size(found) else own
+    main, others = [b for b in own if b.inside], [b for b in own if not b.inside]
+    if not main:
+        return own
+    if size([b for b in others if b.in_content]) > 3 * size(main):
+        return [b for b in own if b.in_content]
+    return own if size(others) > max(600, 4 * size(main)) else main
+
+
+def marked_blocks(page: str | None) -> list[tuple[str, bool]]:
+    """(block, whether it is an article's): the main text by markup in page order, white space collapsed."""
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, dropped, in an article, a form, a content element
+    none = ("", False, False, False, False)
+    text: list[tuple[str, bool]] = []
+    found: list[_Block] = []
 
     def flush() -> None:
         if text:
-            block = " ".join(html.unescape("".join(text)).split())
+            block = " ".join(html.unescape("".join(t for t, _ in text)).split())
+            plain = sum(len(t.strip()) for t, linked in text if not linked)
             text.clear()
             if block:
-                found.append((block, inside))
+                found.append(_Block(block, plain, *(stack[-1] if stack else none)[2:]))
 
     def pop_to(depth: int) -> None:
-        nonlocal dropped, inside
         flush()
         del stack[depth:]
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
-    at, page = 0, page or ""
+    at, page, links = 0, page or "", 0
     for m in _TAG.finditer(page):
-        if m.start() > at and not dropped:
-            text.append(page[at : m.start()])
+        top = stack[-1] if stack else none
+        if m.start() > at and not top[1]:
+            text.append((page[at : m.start()], links > 0))
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag == "a":
+            links = 0 if m["close"] else 1
         if tag in _VOID:
             if tag == "br":
-                text.append(" ")
+                text.append((" ", True))
             elif tag == "hr":
                 flush()
             continue
@@ -115,7 +161,6 @@ def blocks(page: str | None) -> list[str]:
                 depth = len(tags) - 1 - tags[::-1].index(tag)
                 if _BLOCKS.isdisjoint(tags[depth:]):
                     del stack[depth:]
-                    dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                 elif tag in _BLOCKS:
                     pop_to(depth)
             elif tag in _BLOCKS:
@@ -123,6 +168,7 @@ def blocks(page: str | None) -> list[str]:
             continue
         if tag in _BLOCKS:
             flush()
+            links = 0
             if "p" in tags:
                 pop_to(len(tags) - 1 - tags[::-1].index("p"))
             elif tag in _CLOSES:
@@ -138,150 +184,240 @@ def blocks(page: str | None) -> list[str]:
                         pop_to(depth)  # it was never closed
                         break
         if not m["attrs"].endswith("/"):
-            gone = dropped or _is_dropped(tag, m["attrs"], inside)
+            _, dropped, inside, in_form, in_content = stack[-1] if stack else none
+            attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
+            gone = dropped or _is_dropped(tag, attrs, inside)
             if gone and not dropped:
                 flush()
-            dropped, inside = gone, inside or (not gone and tag in ("article", "main"))
-            stack.append((tag, dropped, inside))
-    if at < len(page) and not dropped:
-        text.append(page[at:])
+            stack.append((tag, gone, inside or (not gone and tag in ("article", "main")), in_form or tag == "form" or attrs.get("role") == "form", in_content or _is_content(attrs)))
+    if at < len(page) and not (stack[-1] if stack else none)[1]:
+        text.append((page[at:], links > 0))
     flush()
-    main = [b for b, is_main in found if is_main]
-    return main or [b for b, _ in found]
+    chosen = _chosen(found)
+    return [(b.text, b.inside or b.in_content) for b in chosen]
+
+
+def blocks(page: str | None) -> list[str]:
+    """Blocks of the main text by markup, in page order, white space collapsed."""
+    return [b for b, _ in marked_blocks(page)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def hashed(tokens: list[str]) -> np.ndarray:
+    known: dict[str, int] = {}
+    return np.array([known.get(t) or known.setdefault(t, xxhash.xxh3_64_intdigest(t) >> 1) for t in tokens], np.uint64)
+
 
+def windows(stream: np.ndarray) -> np.ndarray:
+    """A hash of the SPAN tokens that begin at each place."""
+    n = max(0, len(stream) - SPAN + 1)
+    total = np.zeros(n, np.uint64)
+    for i in range(SPAN if n else 0):
+        total = _mixed(total + stream[i : i + n] + np.uint64(0x9E3779B97F4A7C15))
+    return total.view(np.int64)
 
-def repeated_tokens(pages: list[list[str]], least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> list[np.ndarray]:
-    """For each page of tokens, which of them a substring covers that stands on most pages.
+
+def runs(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, pages): the runs of SPAN tokens that stand on two pages at least, and on how many.
 
     The streams are concatenated with a separator of its own after each page. Doubling sorts
-    all suffixes by their first 2**DOUBLINGS tokens; suffixes of one rank begin with the same
-    substring, and any longer repeat is covered by these.
+    all suffixes by their first SPAN tokens; suffixes of one rank begin with the same run, and
+    any longer repeat is covered by these.
     """
-    span, need = 2**DOUBLINGS, max(least_pages, int(np.ceil(least_share * len(pages))))
-    covered = [np.zeros(len(p), bool) for p in pages]
-    if len(pages) < least_pages:
-        return covered
-    stream = np.concatenate([np.array([*(xxhash.xxh3_64_intdigest(t) >> 1 for t in p), (1 << 63) + k], np.uint64) for k, p in enumerate(pages)])
+    stream = np.concatenate([np.append(p, np.uint64((1 << 63) + k)) for k, p in enumerate(pages)])
     page = np.repeat(np.arange(len(pages)), [len(p) + 1 for p in pages])
     _, rank = np.unique(stream, return_inverse=True)
     step = 1
     for _ in range(DOUBLINGS):
         after = np.zeros_like(rank)
-        after[:-step or None] = rank[step:] + 1
+        after[:-step] = rank[step:] + 1
         _, rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)
         step *= 2
-    order = np.lexsort((page, rank))  # the suffix array as deep as span
+    order = np.lexsort((page, rank))  # the suffix array as deep as SPAN
     ranks, owners = rank[order], page[order]
     first = np.ones(len(order), bool)
     first[1:] = (ranks[1:] != ranks[:-1]) | (owners[1:] != owners[:-1])
     stands_on = np.bincount(ranks[first], minlength=int(ranks.max()) + 1)
-    starts = np.flatnonzero(stands_on[rank] >= need)
-    marks = np.zeros(len(stream) + span + 1, np.int64)
+    begins = np.zeros(len(order), bool)
+    begins[0], begins[1:] = True, ranks[1:] != ranks[:-1]
+    places = order[begins & (stands_on[ranks] > 1)]
+    return windows(stream)[places], stands_on[rank[places]]
+
+
+def covered(own: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens a window among those found covers; own: the windows of the n tokens."""
+    marks = np.zeros(n + SPAN + 1, np.int64)
+    starts = np.flatnonzero(np.isin(own, found))
     np.add.at(marks, starts, 1)
-    np.add.at(marks, starts + span, -1)
-    inside = np.cumsum(marks)[: len(stream)] > 0
-    at = 0
-    for k, p in enumerate(pages):
-        covered[k] = inside[at : at + len(p)]
-        at += len(p) + 1
-    return covered
+    np.add.at(marks, starts + SPAN, -1)
+    return np.cumsum(marks)[:n] > 0
 
 
-def main_texts(pages: list[list[str]]) -> list[str]:
-    """Texts of a chunk of pages, each a list of blocks, without what most distinct ones repeat."""
-    tokens = [[b.split(" ") for b in blocks_of] for blocks_of in pages]
-    streams = [tuple(t for b in own for t in b) for own in tokens]
-    distinct = list(dict.fromkeys(streams))
-    covered = dict(zip(distinct, repeated_tokens(distinct), strict=True))
-    texts = []
-    for own, stream, whole in zip(tokens, streams, pages, strict=True):
-        gone = covered[stream]
-        if not gone.any():
-            texts.append("\n".join(whole))
-            continue
-        kept, at = [], 0
-        for b in own:
-            words = [t for t, c in zip(b, gone[at : at + len(b)], strict=True) if not c]
-            at += len(b)
-            if words:
-                kept.append(" ".join(words))
-        texts.append("\n".join(kept))
-    return texts
+def repeated_tokens(pages: list[list[str]], least_pages: int = LEAST_PAGES, least_share: float = ARTICLE_SHARE) -> list[np.ndarray]:
+    """For each page of tokens, which of them a run covers that stands on enough pages."""
+    streams = [hashed(p) for p in pages]
+    found, n = runs(streams) if pages else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    found = found[n >= max(least_pages, np.ceil(least_share * len(pages)))]
+    return [covered(windows(s), found, len(s)) for s in streams]
 
 
-def _parse(batches):
-    """(id, url, host, stream, layout, packed): hashes of the tokens and of the blocks, and the blocks.
+def cleaned(page: list[tuple[str, bool]], everywhere: np.ndarray, outside: np.ndarray) -> str:
+    """Text of a page without runs: those everywhere, and outside articles the others too.
 
-    Only the first page of a layout in a task has its blocks; its copies in the task have null.
+    An article of which more than half would go is a copy of others and stays whole.
     """
+    tokens = [b.split(" ") for b, _ in page]
+    inside = np.repeat([i for _, i in page], [len(t) for t in tokens]).astype(bool)
+    own = windows(hashed([t for b in tokens for t in b]))
+    gone = covered(own, everywhere, len(inside))
+    if (gone & inside).sum() * 2 > inside.sum():
+        gone[inside] = False
+    gone |= covered(own, outside, len(inside)) & ~inside
+    kept, at = [], 0
+    for (block, _), t in zip(page, tokens, strict=True):
+        here = gone[at : at + len(t)]
+        at += len(t)
+        if not here.any():
+            kept.append(block)
+        elif not here.all():
+            kept.append(" ".join(x for x, g in zip(t, here, strict=True) if not g))
+    return "\n".join(kept)
+
+
+def main_texts(pages: list[list[str]]) -> list[str]:
+    """Texts of the pages of one host, each a list of blocks that stand in no article."""
+    streams = {" ".join(p): None for p in pages}
+    distinct = [hashed(s.split(" ")) for s in streams]
+    found, n = runs(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    found = found[n >= max(LEAST_PAGES, np.ceil(OTHER_SHARE * len(distinct)))]
+    return [cleaned([(b, False) for b in p], found[:0], found) for p in pages]
+
+
+def _pack(page: list[tuple[str, bool]]) -> bytes:
+    return zlib.compress("\n".join(f"{'+' if i else '-'}{b}" for b, i in page).encode())
+
+
+def _unpack(packed: bytes) -> list[tuple[str, bool]]:
+    text = zlib.decompress(packed).decode()
+    return [(b[1:], b[0] == "+") for b in text.split("\n")] if text else []
+
+
+def _parse(batches):
+    """(id, url, host, stream, first, tokens, packed): a hash of the tokens, whether the task sees them first, their number, the blocks."""
     seen: set[tuple[str, int]] = set()
     for batch in sliced(batches):
-        streams, layouts, packed = [], [], []
+        streams, first, tokens, packed = [], [], [], []
         for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            text = "\n".join(blocks(page)).encode()
-            streams.append(xxhash.xxh3_64_intdigest(text.replace(b"\n", b" ")) >> 1)
-            layouts.append(xxhash.xxh3_64_intdigest(text) >> 1)
-            key = (host, layouts[-1])
+            own = marked_blocks(page)
+            text = " ".join(b for b, _ in own)
+            streams.append(xxhash.xxh3_64_intdigest(text) >> 1)
+            tokens.append(text.count(" ") + bool(text))
+            packed.append(_pack(own))
             if len(seen) >= REMEMBERED:
                 seen.clear()
-            packed.append(None if key in seen else zlib.compress(text))
-            seen.add(key)
-        columns = [pa.array(streams, pa.int64()), pa.array(layouts, pa.int64()), pa.array(packed, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), *columns], names=["id", "url", "host", "stream", "layout", "packed"])
+            first.append((host, streams[-1]) not in seen)
+            seen.add((host, streams[-1]))
+        columns = [pa.array(streams, pa.int64()), pa.array(first, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), *columns], names=["id", "url", "host", "stream", "first", "tokens", "packed"])
+
+
+def _candidates(batches):
+    """(host, run): runs frequent on the distinct pages of a chunk; pages are sorted by host and chunk."""
+
+    def of(host, pages):
+        found, n = runs([hashed(" ".join(b for b, _ in p).split(" ")) for p in pages.values()])
+        outside = [windows(hashed(" ".join(b for b, _ in p).split(" "))) for p in pages.values() if any(not i for _, i in p)]
+        common = n >= ARTICLE_SHARE * len(pages)
+        if outside:
+            common |= (n >= OTHER_SHARE * len(pages)) & np.isin(found, np.concatenate(outside))
+        return pa.RecordBatch.from_arrays([pa.array([host] * int(common.sum()), pa.string()), pa.array(found[common], pa.int64())], names=["host", "run"])
+
+    here, pages = None, {}
+    for batch in sliced(batches):
+        for host, chunk, stream, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (host, chunk) != here:
+                if len(pages) > 1:
+                    yield of(here[0], pages)
+                here, pages = (host, chunk), {}
+            if stream not in pages:
+                pages[stream] = _unpack(packed)
+    if len(pages) > 1:
+        yield of(here[0], pages)
+
+
+def _counted(batches):
+    """(host, run, pages): how often each candidate stands on pages; each row says what part of a distinct page it is."""
+    for batch in sliced(batches):
+        total: dict[tuple[str, int], float] = {}
+        for host, packed, part, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = windows(hashed(" ".join(b for b, _ in _unpack(packed)).split(" ")))
+            for run in np.intersect1d(own, np.array(found, np.int64)).tolist():
+                total[host, run] = total.get((host, run), 0.0) + part
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.float64())], names=["host", "run", "pages"])
+
+
+def boilerplate(parsed: DataFrame) -> DataFrame | None:
+    """(host, everywhere, outside): the runs that go; None where there are none.
+
+    A run that stands on a share of a host's pages stands on that share in one of its chunks.
+    """
+    streams = parsed.groupBy("host", "stream").agg(F.max("tokens").alias("tokens"), F.sum(F.col("first").cast("int")).alias("rows"))
+    streams = written(streams)
+    hosts = written(streams.groupBy("host").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("tokens") / CHUNK_TOKENS)).alias("chunks")).where(F.col("n") >= LEAST_PAGES))
+    asked = parsed.where("first").join(offered(hosts, 96), "host").withColumn("chunk", F.pmod("stream", "chunks"))
+    dealt = asked.select("host", "chunk", "stream", "packed").repartition("host", "chunk").sortWithinPartitions("host", "chunk")
+    candidates = written(dealt.mapInArrow(_candidates, "host string, run long").distinct().groupBy("host").agg(F.collect_list("run").alias("found")))
+    if candidates.isEmpty():
+        discard(streams, hosts, candidates)
+        return None
+    copied = streams.where("rows > 1").select("host", "stream", "rows")
+    rows = parsed.where("first").join(offered(candidates, 96 + 8 * F.size("found")), "host").join(offered(copied, 112), ["host", "stream"], "left")
+    rows = rows.select("host", "packed", (F.lit(1.0) / F.coalesce("rows", F.lit(1))).alias("part"), "found")
+    counted = rows.mapInArrow(_counted, "host string, run long, pages double").groupBy("host", "run").agg(F.round(F.sum("pages")).alias("pages"))
+    share = F.col("pages") / F.col("n")
+    counted = counted.join(offered(hosts, 96), "host").where((F.col("pages") >= LEAST_PAGES) & (share >= OTHER_SHARE))
+    of = lambda test: F.collect_list(F.when(test, F.col("run")))
+    out = written(counted.groupBy("host").agg(of(share >= ARTICLE_SHARE).alias("everywhere"), of(share >= OTHER_SHARE).alias("outside")))
+    discard(streams, hosts, candidates)
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: (id, url, text).
 
     Blocks are joined by one newline; null and empty pages have an empty text. Pages whose url
-    is null or has no host are one host. Runs of 8 tokens or more that stand on at least 5
-    distinct pages and 60 % of the distinct pages of a host's chunk are removed; pages with the
-    same tokens are one. Null and repeated ids keep their rows; the result does not depend on
-    partitions. Other columns are not read.
+    is null or has no host are one host. A run of 8 tokens or more is removed if it stands on
+    at least 5 distinct pages of its host and, in an article, on 60 % of them, elsewhere on
+    20 %; hosts with fewer distinct pages keep all. An article of which more than half would
+    go is a near copy of others and stays. Pages with the same tokens are one. Null and
+    repeated ids keep their rows; the result does not depend on chunks or partitions. Other
+    columns are not read.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host.alias("host"))
     # blocks have no line breaks of their own; packed, they take half the room in the shuffle
-    parsed = written(source.mapInArrow(_parse, f"id {kind}, url string, host string, stream long, layout long, packed binary"))
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_HOSTS else df
-
-    streams = parsed.groupBy("host", "stream").agg(F.count("*").alias("n_rows"))
-    large = written(streams.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"))
-    chunk = F.pmod("stream", F.coalesce("chunks", F.lit(1).cast("long")))
-    sizes = streams.join(few(large), "host", "left").groupBy("host", chunk.alias("chunk")).agg(F.ceil(F.sum("n_rows") / CHUNK_ROWS).cast("int").alias("salts"))
-    salted = written(sizes.where("salts > 1"))
-    placed = parsed.join(few(large), "host", "left").withColumn("chunk", chunk).join(few(salted), ["host", "chunk"], "left")
-    placed = placed.withColumn("salts", F.coalesce("salts", F.lit(1)))
-
-    # blocks go once to each task of a chunk, before its rows; rows are dealt over the tasks
-    own = F.struct(F.pmod(F.xxhash64("id", "url"), "salts").cast("int").alias("salt"), F.lit(1).alias("late"), F.lit(None).cast("binary").alias("blocks"))
-    held = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(k.alias("salt"), F.lit(0).alias("late"), F.col("packed").alias("blocks")))
-    roles = F.when(F.col("packed").isNull(), F.array(own)).otherwise(F.concat(F.array(own), held))
-    dealt = placed.withColumn("role", F.explode(roles)).select("host", "chunk", "role.salt", "role.late", "layout", "role.blocks", "id", "url")
-    dealt = dealt.repartition("host", "chunk", "salt").sortWithinPartitions("host", "chunk", "salt", "late", "layout")
+    parsed = written(source.mapInArrow(_parse, f"id {kind}, url string, host string, stream long, first boolean, tokens long, packed binary"))
+    found = boilerplate(parsed)
+    none = F.lit(None).cast("array<bigint>")
+    if found is None:
+        rows = parsed.select("id", "url", "packed", none.alias("everywhere"), none.alias("outside"))
+    else:
+        rows = parsed.join(offered(found, 96 + 8 * (F.size("everywhere") + F.size("outside"))), "host", "left").select("id", "url", "packed", "everywhere", "outside")
 
     def clean(batches):
-        here, held, texts = None, {}, None
-        for batch in sliced(batches):
-            rows, out = [], []
-            for i, (*key, late, layout, packed) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
-                if key != here:
-                    here, held, texts = key, {}, None
-                if not late:
-                    if layout not in held:
-                        text = zlib.decompress(packed).decode()
-                        held[layout] = text.split("\n") if text else []
-                    continue
-                if texts is None:
-                    texts = dict(zip(held, main_texts(list(held.values())), strict=True))
-                    held = {}
-                rows.append(i)
-                out.append(texts[layout])
-            ids, urls = (c.take(pa.array(rows, pa.int32())) for c in batch.columns[6:])
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(out, pa.string())], names=[id_col, url_col, "text"])
-
-    return dealt.mapInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")
+        for batch in sliced(batches, CHUNK_ROWS):
+            texts = []
+            for packed, everywhere, outside in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                page = _unpack(packed)
+                texts.append("\n".join(b for b, _ in page) if everywhere is None else cleaned(page, np.array(everywhere, np.int64), np.array(outside, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
+
+    return rows.mapInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
