@@ -138,12 +138,12 @@ def internal_vs_external(spark, sf_dir):
 
 @registry.add(
     "cross_report_conflicts",
-    f"""WITH {OBS_SQL} SELECT a.entity, a.metric, a.value_year, a.report_year AS a_report, b.report_year AS b_report, a.value AS a_value, b.value AS b_value FROM obs a JOIN obs b ON a.entity = b.entity AND a.metric = b.metric AND a.value_year = b.value_year AND a.report_year < b.report_year
+    f"""WITH {OBS_SQL.replace("obs AS (", "obs AS MATERIALIZED (")} SELECT a.entity, a.metric, a.value_year, a.report_year AS a_report, b.report_year AS b_report, a.value AS a_value, b.value AS b_value FROM obs a JOIN obs b ON a.entity = b.entity AND a.metric = b.metric AND a.value_year = b.value_year AND a.report_year < b.report_year
     WHERE a.metric IN ('revenue', 'pat') AND abs(a.value - b.value) > 0.05 * greatest(abs(a.value), abs(b.value), 1)""",
 )
 def cross_report_conflicts(spark, sf_dir):
     """Pairs of reports that put one value apart; a value has a handful of reports."""
-    rows = observations(spark, sf_dir).where(F.col("metric").isin("revenue", "pat"))
+    rows = observations(spark, sf_dir, ["revenue", "pat"])
     a = rows.select("entity", "metric", "value_year", F.col("report_year").alias("a_report"), F.col("value").alias("a_value"))
     b = rows.select("entity", "metric", "value_year", F.col("report_year").alias("b_report"), F.col("value").alias("b_value"))
     both = a.join(b, ["entity", "metric", "value_year"]).where("a_report < b_report")

@@ -18,7 +18,7 @@ registry = Registry()
 )
 def fact_lookup(spark, sf_dir, metric: str = "revenue", year: int = 1995):
     """One fact of each entity: a valued row if there is any, else the first."""
-    rows = observations(spark, sf_dir).where((F.col("metric") == metric) & (F.col("value_year") == year))
+    rows = observations(spark, sf_dir, [metric]).where((F.col("value_year") == year))
     first = F.row_number().over(W.partitionBy("entity").orderBy(F.col("value").isNull(), "report_year"))
     return rows.withColumn("r", first).where("r = 1").drop("r")
 
@@ -106,7 +106,7 @@ def premise_check(spark, sf_dir):
 def identity_repair(spark, sf_dir):
     """Where values of mixed reports break an identity, the one report that repairs it with fewest changes."""
     names = ["revenue", "cost_of_sales", "gross_profit"]
-    r = observations(spark, sf_dir).where(F.col("metric").isin(names)).groupBy("entity", F.col("value_year").alias("year"), "report_year").pivot("metric", names).agg(F.first("value"))
+    r = observations(spark, sf_dir, names).groupBy("entity", F.col("value_year").alias("year"), "report_year").pivot("metric", names).agg(F.first("value"))
     mixed = r.groupBy("entity", "year").agg(F.min_by("revenue", "report_year").alias("m_revenue"), *(F.max_by(n, "report_year").alias(f"m_{n}") for n in names[1:]))
     holds = lambda p: F.abs(F.col(p + "revenue") + F.col(p + "cost_of_sales") - F.col(p + "gross_profit")) <= F.greatest(F.lit(1.0), 0.01 * F.abs(p + "gross_profit"))
     changes = sum((F.col(n) != F.col(f"m_{n}")).cast("int") for n in names)
@@ -123,7 +123,7 @@ def identity_repair(spark, sf_dir):
 )
 def top_driver_share(spark, sf_dir):
     """The top driver's part of the net change, unless components offset each other."""
-    f = facts(spark, sf_dir).where(F.col("metric").isin("total_assets", "current_assets", "non_current_assets"))
+    f = facts(spark, sf_dir, ["total_assets", "current_assets", "non_current_assets"])
     delta = F.col("value") - F.lag("value").over(W.partitionBy("entity", "metric").orderBy("year"))
     last = f.withColumn("delta", delta).groupBy("entity", "metric").agg(F.max_by("delta", "year").alias("delta")).where("delta IS NOT NULL")
     total = last.where("metric = 'total_assets'").select("entity", F.col("delta").alias("total"))
@@ -144,7 +144,7 @@ def valuation(spark, sf_dir):
     names = ["pat", "shares_outstanding", "total_equity", "operating_profit", "depreciation_expense", "total_liabilities", "cash_and_bank"]
     owners = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("entity"))
     quote = read(spark, sf_dir, "orders").join(owners, F.col("o_custkey") == F.col("c_custkey")).groupBy("entity").agg((F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")) / 100).alias("price"))
-    latest = facts(spark, sf_dir).where(F.col("metric").isin(names)).groupBy("entity").pivot("metric", names).agg(F.max_by("value", "year"))
+    latest = facts(spark, sf_dir, names).groupBy("entity").pivot("metric", names).agg(F.max_by("value", "year"))
     x = quote.join(latest, "entity")
     cap, ebitda = F.col("price") * F.col("shares_outstanding"), F.col("operating_profit") + F.col("depreciation_expense")
     return x.select(

@@ -141,7 +141,7 @@ def corroboration(spark, sf_dir):
     """Internal values against yearly external actuals after an unpivot."""
     names = ["revenue", "pat", "total_assets"]
     internal = wide(spark, sf_dir, names).unpivot(["entity", "year"], names, "metric", "internal").where("internal IS NOT NULL")
-    external = observations(spark, sf_dir).where(F.col("metric").isin(names)).groupBy("entity", F.col("value_year").alias("year"), "metric").agg(F.min_by("value", "report_year").alias("external"))
+    external = observations(spark, sf_dir, names).groupBy("entity", F.col("value_year").alias("year"), "metric").agg(F.min_by("value", "report_year").alias("external"))
     return internal.join(external, ["entity", "year", "metric"]).withColumn("agrees", F.abs(F.col("internal") - F.col("external")) <= 0.05 * F.greatest(F.abs("internal"), F.abs("external"), F.lit(1.0)))
 
 
@@ -220,7 +220,7 @@ def recent_titles(spark, sf_dir, k: int = 3):
 )
 def headline_override(spark, sf_dir):
     """Headline cells that differ from the truth, by its metric's sign, by more than one half."""
-    e = observations(spark, sf_dir).where(F.col("metric").isin("revenue", "cost_of_sales", "pat")).groupBy("entity", "metric", F.col("value_year").alias("year")).agg(F.min_by("value", "report_year").alias("shown"), F.max_by("value", "report_year").alias("t"))
+    e = observations(spark, sf_dir, ["revenue", "cost_of_sales", "pat"]).groupBy("entity", "metric", F.col("value_year").alias("year")).agg(F.min_by("value", "report_year").alias("shown"), F.max_by("value", "report_year").alias("t"))
     e = e.withColumn("truth", F.when(F.col("metric") == "cost_of_sales", -F.abs("t")).otherwise(F.col("t"))).drop("t")
     off = F.abs(F.col("shown") - F.col("truth")) > 0.5
     return e.withColumns({"value": F.when(off, F.col("truth")).otherwise(F.col("shown")), "overridden": off})

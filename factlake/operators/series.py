@@ -216,7 +216,7 @@ def overview_year(spark, sf_dir):
 )
 def metric_year_grid(spark, sf_dir):
     """Series of every entity with nulls in years without a value."""
-    rows = facts(spark, sf_dir).where(F.col("metric").isin(KPIS)).select("entity", "metric", "year", "value")
+    rows = facts(spark, sf_dir, KPIS).select("entity", "metric", "year", "value")
     spans = facts(spark, sf_dir).agg(F.sort_array(F.collect_set("year")).alias("years"))  # some tens of years, whatever the data
     grid = facts(spark, sf_dir).select("entity").distinct().join(F.broadcast(spans)).withColumn("year", F.explode("years")).withColumn("metric", F.explode(F.array(*map(F.lit, KPIS))))
     return grid.join(rows, ["entity", "metric", "year"], "left").select("entity", "metric", "year", "value")

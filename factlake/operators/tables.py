@@ -26,7 +26,7 @@ cells AS (SELECT entity AS sheet, 1 AS row_no, 1 AS col_no, 'Statement of ' || e
 
 def cells(spark, sf_dir) -> DataFrame:
     """(sheet, row_no, col_no, cell) of a sheet for each entity."""
-    s = facts(spark, sf_dir).where(F.col("metric").isin(_SHOWN))
+    s = facts(spark, sf_dir, _SHOWN)
     row = (4 + F.array_position(F.array(*map(F.lit, _SHOWN)), F.col("metric"))).cast("int")
     col = F.col("year") - 1989
     at = lambda r, c, cell: F.struct(r.alias("row_no"), c.alias("col_no"), cell.alias("cell"))

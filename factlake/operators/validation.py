@@ -42,7 +42,7 @@ _NONNEGATIVE_SQL = ", ".join(f"'{m}'" for m in NONNEGATIVE)
 
 @registry.add("sign_sanity", f"WITH {FACTS_SQL} SELECT entity, metric, year, value FROM facts WHERE metric IN ({_NONNEGATIVE_SQL}) AND value < 0")
 def sign_sanity(spark, sf_dir):
-    return facts(spark, sf_dir).where(F.col("metric").isin(NONNEGATIVE) & (F.col("value") < 0)).select("entity", "metric", "year", "value")
+    return facts(spark, sf_dir, NONNEGATIVE).where(F.col("value") < 0).select("entity", "metric", "year", "value")
 
 
 _DIM_SQL = "dim(total, metric) AS (VALUES " + ", ".join(f"('{t}', '{m}')" for t, ms in COMPONENTS.items() for m in ms) + ")"
@@ -315,5 +315,5 @@ def capital_structure(spark, sf_dir):
 def peer_comparison(spark, sf_dir, metric: str = "pat", year: int = 1995):
     """One metric of every requested peer, null where it is missing; peers are a short list."""
     peers = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("entity"))
-    found = facts(spark, sf_dir).where((F.col("metric") == metric) & (F.col("year") == year)).select("entity", "value")
+    found = facts(spark, sf_dir, [metric]).where((F.col("year") == year)).select("entity", "value")
     return peers.join(found, "entity", "left").withColumn("partial_coverage", F.col("value").isNull()).withColumn("place", F.rank().over(W.orderBy(F.desc_nulls_last("value"))))

@@ -144,6 +144,6 @@ x AS (SELECT entity, value_year AS year, arg_max(value, report_year) AS actual,
 SELECT entity, year, CAST({FORECAST_ERROR.value_sql()} AS DOUBLE) AS value FROM x""",
 )
 def forecast_error(spark, sf_dir):
-    revenue = observations(spark, sf_dir).where("metric = 'revenue'").groupBy("entity", F.col("value_year").alias("year"))
+    revenue = observations(spark, sf_dir, ["revenue"]).groupBy("entity", F.col("value_year").alias("year"))
     pairs = revenue.agg(F.max_by("value", "report_year").alias("actual"), F.min_by("value", "report_year").alias("forecast"))
     return pairs.select("entity", "year", compiled(FORECAST_ERROR).alias("value"))

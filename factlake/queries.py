@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import evidence, filters, rules, series, tables, text, validation
+from .operators import evidence, filters, ingest, matching, rules, series, tables, text, validation
 from .plans import formulas
 from .streaming import jobs
 
-REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry, evidence.registry, tables.registry, filters.registry, rules.registry, jobs.registry)
+REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry, evidence.registry, tables.registry, filters.registry, rules.registry, ingest.registry, matching.registry, jobs.registry)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _registry in REGISTRIES:

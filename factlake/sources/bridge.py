@@ -8,6 +8,9 @@ the observations of the latest report of each value year.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,38 +67,67 @@ def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select("c_custkey", "entity")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, metric, value_year, report_year, value) for every report of a value year."""
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("value_year"))
-    owned = orders.join(_owners(spark, sf_dir), orders["o_custkey"] == F.col("c_custkey"))
+def _needed(metrics: Iterable[str] | None, sums: dict[str, str], among: list[str]) -> set[str]:
+    """Those of the metrics that are among these, and what their sums build on."""
+    found = set(among if metrics is None else metrics) & set(among)
+    for metric, total in reversed(sums.items()):
+        if metric in found:
+            found |= set(re.findall(r"[a-z_]+", total)) & set(among)
+    return found
+
+
+def observations(spark: SparkSession, sf_dir: str, metrics: Iterable[str] | None = None) -> DataFrame:
+    """(entity, metric, value_year, report_year, value) for every report of a value year; of all metrics or of these."""
+    wanted = METRICS if metrics is None else list(metrics)
+    parts = [of(spark, sf_dir, wanted) for of, among in ((_flows, LINE_METRICS), (_stocks, ORDER_METRICS)) if set(wanted) & set(among)]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+_COLUMNS = ["entity", "metric", "value_year", "report_year"]
+
+
+def _flows(spark: SparkSession, sf_dir: str, metrics: list[str]) -> DataFrame:
+    needed = _needed(metrics, LINE_SUMS, LINE_METRICS)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("value_year"))
+    owned = orders.join(_owners(spark, sf_dir), orders["o_custkey"] == F.col("c_custkey")).select("o_orderkey", "entity", "value_year")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", F.year("l_shipdate").alias("report_year"))
-    lines = lines.join(owned.select("o_orderkey", "entity", "value_year"), F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = lines.where("report_year >= value_year").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    flows = lines.groupBy("entity", "value_year", "report_year").agg(*(F.sum(F.expr(e)).alias(m) for m, e in LINE_CENTS.items()))
+    lines = lines.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).where("report_year >= value_year")
+    lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    flows = lines.groupBy("entity", "value_year", "report_year").agg(*(F.sum(F.expr(e)).alias(m) for m, e in LINE_CENTS.items() if m in needed))
     for metric, total in LINE_SUMS.items():
-        flows = flows.withColumn(metric, F.expr(total))
+        flows = flows.withColumn(metric, F.expr(total)) if metric in needed else flows
     so_far = W.partitionBy("entity", "metric", "value_year").orderBy("report_year")
-    flows = flows.unpivot(["entity", "value_year", "report_year"], LINE_METRICS, "metric", "cents").where("cents IS NOT NULL")
-    flows = flows.withColumn("cents", F.sum("cents").over(so_far))
+    flows = flows.unpivot(["entity", "value_year", "report_year"], [m for m in LINE_METRICS if m in metrics], "metric", "cents").where("cents IS NOT NULL")
+    return flows.withColumn("cents", F.sum("cents").over(so_far)).select(*_COLUMNS, (F.col("cents") / 100.0).alias("value"))
+
+
+def _stocks(spark: SparkSession, sf_dir: str, metrics: list[str]) -> DataFrame:
+    needed = _needed(metrics, ORDER_SUMS, ORDER_METRICS)
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("value_year"))
+    owned = orders.join(_owners(spark, sf_dir), orders["o_custkey"] == F.col("c_custkey"))
     cents = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long")
-    stocks = owned.groupBy("entity", "value_year").agg(*(F.sum(F.when(F.expr(c), cents)).alias(m) for m, c in ORDER_CENTS.items()))
+    stocks = owned.groupBy("entity", "value_year").agg(*(F.sum(F.when(F.expr(c), cents)).alias(m) for m, c in ORDER_CENTS.items() if m in needed))
     for metric, total in ORDER_SUMS.items():
-        stocks = stocks.withColumn(metric, F.expr(total))
-    stocks = stocks.withColumn("report_year", F.col("value_year")).unpivot(["entity", "value_year", "report_year"], ORDER_METRICS, "metric", "cents").where("cents IS NOT NULL")
-    columns = ["entity", "metric", "value_year", "report_year", (F.col("cents") / 100.0).alias("value")]
-    return flows.select(*columns).unionByName(stocks.select(*columns))
+        stocks = stocks.withColumn(metric, F.expr(total)) if metric in needed else stocks
+    stocks = stocks.withColumn("report_year", F.col("value_year")).unpivot(["entity", "value_year", "report_year"], [m for m in ORDER_METRICS if m in metrics], "metric", "cents").where("cents IS NOT NULL")
+    return stocks.select(*_COLUMNS, (F.col("cents") / 100.0).alias("value"))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, metric, year, report_year, value): what the latest report of each year says."""
-    latest = observations(spark, sf_dir).groupBy("entity", "metric", "value_year").agg(F.max(F.struct("report_year", "value")).alias("x"))
+def facts(spark: SparkSession, sf_dir: str, metrics: Iterable[str] | None = None) -> DataFrame:
+    """(entity, metric, year, report_year, value): what the latest report of each year says; of all metrics or of these."""
+    latest = observations(spark, sf_dir, metrics).groupBy("entity", "metric", "value_year").agg(F.max(F.struct("report_year", "value")).alias("x"))
     return latest.select("entity", "metric", F.col("value_year").alias("year"), "x.report_year", "x.value")
 
 
+#: A metric of lines and one of orders that all their entities and years have.
+_ALWAYS = ("revenue", "total_assets")
+
+
 def wide(spark: SparkSession, sf_dir: str, metrics: list[str] | None = None) -> DataFrame:
     """One row for each entity and year that has any fact, with a column for each metric."""
-    return facts(spark, sf_dir).groupBy("entity", "year").pivot("metric", metrics or METRICS).agg(F.first("value"))
+    found = facts(spark, sf_dir, None if metrics is None else {*metrics, *_ALWAYS})
+    return found.groupBy("entity", "year").pivot("metric", metrics or METRICS).agg(F.first("value"))
 
 
 def _sums_sql(base: str, sums: dict[str, str]) -> str:
