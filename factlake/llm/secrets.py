@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, offered, table, written
 from .spans import joined, with_matches
 
-#: Blobs with findings up to which they are broadcast, some 200 bytes each.
-BROADCAST_BLOBS = 50_000
+#: The session's setting that names the folder of a ledger which the query reads and extends.
+LEDGER_PATH = "spark.factlake.secrets.ledger"
 LEDGER = "blob string, rules array<string>, findings array<struct<rule:string,start:int,end:int>>"
 
 
@@ -53,24 +53,37 @@ RULES = (
 )
 
 
+def _unseen(source: DataFrame, ledger: DataFrame | None, names: list[str]) -> DataFrame:
+    """(blob, body, seen): the text of each blob that a rule has not scanned; only texts with copies are shuffled."""
+    counted = source.groupBy("blob").agg(F.count("*").alias("n"))
+    none = F.array().cast("array<string>")
+    if ledger is None:
+        copied = offered(written(counted.where("n > 1").select("blob")), 96)
+        lone = source.join(copied, "blob", "left_anti").withColumn("seen", none)
+        shared = source.join(copied, "blob", "left_semi").withColumn("seen", none)
+    else:
+        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        todo = counted.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", none))
+        todo = written(todo.where(F.size(F.array_except(F.array(*map(F.lit, names)), "seen")) > 0))
+        held = source.join(offered(todo, 128 + 24 * F.size("seen")), "blob")
+        lone, shared = held.where("n = 1"), held.where("n > 1")
+    once = shared.groupBy("blob").agg(F.first("body").alias("body"), F.first("seen").alias("seen"))
+    return lone.select("blob", "body", "seen").unionByName(once)
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, news): what is known of every row, and the rows to append to the ledger.
 
     findings: (id, blob, spans), spans an array of (start, number, end, kind) sorted by start
     and then rule order, empty where nothing was found. Null texts count as empty. Equal texts
-    are one blob, scanned once and found under every id; repeated and null ids keep their rows.
-    The ledger holds a row for each run that scanned a blob; rules of other versions in it are
-    passed over. Other columns are not read; empty tables give empty results.
+    are one blob, scanned once, where it lies unless it has copies, and found under every id;
+    repeated and null ids keep their rows. The ledger holds a row for each run that scanned a
+    blob; rules of other versions in it are passed over. Other columns are not read; empty
+    tables give empty results.
     """
     names = [r.name for r in rules]
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")).withColumn("blob", F.sha2(F.col("body").cast("binary"), 256))
-    blobs = source.groupBy("blob").agg(F.first("body").alias("body"))
-    if ledger is None:
-        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
-    else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        blobs = blobs.where(F.size(F.array_except(F.array(*map(F.lit, names)), "seen")) > 0)
+    blobs = _unseen(source.select("blob", "body"), ledger, names)
     for r in rules:
         unseen = ~F.array_contains("seen", r.name)
         blobs = with_matches(blobs, "body", r.pattern, r.kind, unseen & F.contains("body", F.lit(r.needs)) if r.needs else unseen)
@@ -80,22 +93,33 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         return F.transform(kept, lambda s: F.struct(F.lit(rule.name).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
 
     found = F.concat(*map(findings_of, rules))
-    news = blobs.select("blob", F.array_except(F.array(*map(F.lit, names)), "seen").alias("rules"), found.alias("findings"))
+    news = written(blobs.select("blob", F.array_except(F.array(*map(F.lit, names)), "seen").alias("rules"), found.alias("findings")))
     known = news.select("blob", "findings").where(F.size("findings") > 0)
     if ledger is not None:
-        known = known.unionByName(ledger.select("blob", "findings")).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+        known = known.unionByName(ledger.select("blob", "findings").where(F.size("findings") > 0)).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
     numbers = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)))
     current = F.filter("findings", lambda f: f["rule"].isin(names))
     spans = F.array_sort(F.array_distinct(F.transform(current, lambda f: F.struct(f["start"].alias("start"), numbers[f["rule"]].alias("number"), f["end"].alias("end"), F.substring_index(f["rule"], "@", 1).alias("kind")))))
-    known = written(known.select("blob", spans.alias("spans")))  # else paths of one blob would meet where blobs are scanned
-    known = F.broadcast(known) if known.count() <= BROADCAST_BLOBS else known
+    known = written(known.select("blob", spans.alias("spans")))
     none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
-    findings = source.select(id_col, "blob").join(known, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
+    findings = source.select(id_col, "blob").join(offered(known, 128 + 40 * F.size("spans")), "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
     return findings, news
 
 
+def scan_with_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The findings of scan() with the ledger in a folder, to which what is scanned is appended; made if missing."""
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    findings, news = scan(docs, spark.read.schema(LEDGER).parquet(path) if there else None, rules, id_col, text_col)
+    news.write.mode("append").parquet(path)
+    discard(news)
+    return findings
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan(table(spark, sf_dir, "documents"))
+    docs, path = table(spark, sf_dir, "documents"), spark.conf.get(LEDGER_PATH, None)
+    findings = scan_with_ledger(docs, path) if path else scan(docs)[0]
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["number"] < len(BASE))
     return findings.select("doc_id", *(of(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

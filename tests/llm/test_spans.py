@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from factlake.llm.pii import KINDS, personal_data
-from factlake.llm.secrets import BASE, RULES, Rule, scan
+from factlake.llm.secrets import BASE, LEDGER_PATH, RULES, Rule, op9_secret_scan, scan
 
 DOCS = "doc_id long, text string"
 
@@ -113,3 +113,18 @@ def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark):
 def test_secrets_of_empty_table(spark):
     findings, news = scan(spark.createDataFrame([], DOCS))
     assert findings.count() == news.count() == 0
+
+
+def test_query_extends_the_ledger_that_the_session_names(spark, sf_dir, tmp_path):
+    plain = sorted(map(str, op9_secret_scan(spark, sf_dir).collect()))
+    path = str(tmp_path / "ledger")
+    spark.conf.set(LEDGER_PATH, path)
+    try:
+        assert sorted(map(str, op9_secret_scan(spark, sf_dir).collect())) == plain
+        scanned = spark.read.parquet(path).count()
+        texts = {r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+        assert scanned == len(texts)
+        assert sorted(map(str, op9_secret_scan(spark, sf_dir).collect())) == plain
+        assert spark.read.parquet(path).count() == scanned
+    finally:
+        spark.conf.unset(LEDGER_PATH)
