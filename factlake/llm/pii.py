@@ -22,10 +22,9 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on either side of an entity that are its context, and words taken from each side.
+#: Code points on either side of an entity that are its context, and words taken from each side: names, employers and
+#: accounts stand beside what they reveal; with whole texts as contexts every rare word of a text would disclose its entities.
 CONTEXT_CHARS, CONTEXT_WORDS = 120, 4
-#: Terms up to which they are broadcast (at most CONTEXT_CHARS code points each).
-BROADCAST_TERMS = 100_000
 TERM = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{3,64}(?![\p{L}\p{N}])"
 
 
@@ -87,8 +86,8 @@ def distinct_texts(source: DataFrame, body: str) -> DataFrame:
     return once.unionByName(keyed.join(copied, "text_key", "left_semi").dropDuplicates(["text_key"]))
 
 
-def disclosing_terms(source: DataFrame, body: str, min_contexts: int, threshold: float) -> DataFrame | None:
-    """(entity, term) where the term discloses the entity; None where no term can.
+def disclosing_terms(source: DataFrame, body: str, min_contexts: int, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """(text_key, entity) of all texts with entities, and (entity, term) where the term discloses the entity; None where no term can.
 
     All counts are of distinct texts, so copies count once. With n texts that hold the entity,
     k of them with the term near it, the term in d of N texts: PMI = log(k N / (n d)) and the
@@ -104,15 +103,14 @@ def disclosing_terms(source: DataFrame, body: str, min_contexts: int, threshold:
     terms = contexts.join(known, "entity").select("entity", "n", "text_key", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term")).distinct()
     pairs = written(terms.groupBy("entity", "n", "term").agg(F.count("*").alias("k")).where(F.col("k") >= min_contexts))
     wanted = written(pairs.select("term").distinct())
-    size = wanted.count()
-    if not size:
+    if wanted.isEmpty():
         return None
     held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = held.groupBy("term").agg(F.count("*").alias("d")).join(F.broadcast(wanted) if size <= BROADCAST_TERMS else wanted, "term")
+    held = held.groupBy("term").agg(F.count("*").alias("d")).join(offered(wanted, 16 + F.octet_length("term")), "term")
     total = source.select(F.xxhash64(body).alias("text_key")).distinct().count()
     pmi = F.log(F.col("k") * float(total) / (F.col("n") * F.col("d")))
     information = F.log(F.lit(float(total)) / F.col("n"))
-    return pairs.join(held, "term").where((pmi > 0) & (pmi >= threshold * information)).select("entity", "term")
+    return contexts.select("text_key", "entity").distinct(), pairs.join(held, "term").where((pmi > 0) & (pmi >= threshold * information)).select("entity", "term")
 
 
 def personal_data(
@@ -134,19 +132,17 @@ def personal_data(
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     base = with_base_spans(source, "body")
-    pairs = disclosing_terms(source, "body", min_contexts, threshold)
+    known = disclosing_terms(source, "body", min_contexts, threshold)
     none = F.array().cast(SPAN)
-    if pairs is None:
+    if known is None:
         full = base.withColumn("term", none)
     else:
         # terms by (id, text), so that rows with null or repeated ids stay apart
         key = F.xxhash64("body")
-        entities = F.array_distinct(F.concat(*(F.transform(k, lambda s: F.lower(s["match"])) for k in KINDS)))
-        held = base.withColumn("text_key", key).select("text_key", F.explode(entities).alias("entity")).distinct().join(pairs, "entity")
+        held = known[0].join(known[1], "entity")
         held = written(held.groupBy("text_key").agg(F.array_sort(F.collect_set("term")).alias("terms")))
-        if held.count() <= BROADCAST_TERMS:
-            held = F.broadcast(held)
-        full = base.withColumn("text_key", key).join(held, "text_key", "left")
+        cost = 48 + F.aggregate("terms", F.lit(0), lambda a, t: a + 16 + F.octet_length(t))
+        full = base.withColumn("text_key", key).join(offered(held, cost), "text_key", "left")
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.coalesce("terms", F.array(F.lit("x"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
         full = with_matches(full.withColumn("pattern", pattern), "body", F.col("pattern"), "term__all", F.col("terms").isNotNull())
         others = F.concat(*KINDS)
