@@ -8,6 +8,7 @@ their own model did not see, counted in fixed bins, are calibrated by isotonic r
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table, types, written
+from .common import discard, offered, sliced, table, types, written
 
-#: Features of the kernel, ridge penalty, folds by the remainder of crc32(id), partitions that sum.
-FEATURES, RIDGE, FOLDS, SUMS = 256, 0.3, 5, 64
+#: Features of the kernel, ridge penalty, folds by the remainder of crc32(id), labelled rows that one partition sums.
+FEATURES, RIDGE, FOLDS, SUM_ROWS = 256, 0.3, 5, 8_192
 #: Bins of raw scores from LOW to HIGH for the calibration, and rows of the system in a block.
 BINS, LOW, HIGH, BLOCK = 2_000, -0.5, 1.5, 32
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
@@ -149,8 +150,9 @@ def fit(labelled: DataFrame) -> Model:
         part = sum(np.frombuffer(p.as_py()) for p in rows.column("part"))
         return pa.table([rows.column("fold")[:1], rows.column("block")[:1], pa.array([part.tobytes()], pa.binary())], names=["fold", "block", "part"])
 
-    parts = "fold int, block int, part binary"
-    met = labelled.repartition(SUMS).mapInArrow(sums, parts).groupBy("fold", "block").applyInArrow(add, parts).collect()
+    parts, n = "fold int, block int, part binary", max(1, -(-labelled.count() // SUM_ROWS))
+    met = labelled.repartition(n).mapInArrow(sums, parts).withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(n) + 1)))
+    met = met.groupBy("fold", "block", "lot").applyInArrow(add, parts).groupBy("fold", "block").applyInArrow(add, parts).collect()
     systems: dict[int, np.ndarray] = {}
     for r in met:
         own = systems.setdefault(r["fold"], np.zeros((size, size + 1)))
@@ -195,11 +197,18 @@ def quality_scores(
     than 0 and 1 are passed over. Without labelled rows every score is near 0.5. Other columns
     are not read; an empty table gives an empty one.
     """
-    fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
-    measured = written(with_statistics(docs, id_col, text_col, carry)).withColumn("fold", F.coalesce(fold, F.lit(-1)))
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("labelled_id"), F.col(label_col).cast("double").alias("y"))
-    labelled = measured.where("fold > 0").join(marks, F.col(id_col) == F.col("labelled_id")).select("stats", "y", "fold")
-    model = fit(written(labelled))
+    fold = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)).cast("int"), F.lit(-1))
+    marks = written(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("labelled_id"), F.col(label_col).cast("double").alias("y")))
+    few = offered(marks, 32)
+    learned = docs.where(fold > 0)
+    if few is not marks:  # few labels: only labelled texts are measured, where they lie
+        learned = with_statistics(learned.select(id_col, text_col).join(few, F.col(id_col) == F.col("labelled_id"), "left_semi"), id_col, text_col)
+    else:
+        learned = with_statistics(learned, id_col, text_col)
+    labelled = written(learned.join(few, F.col(id_col) == F.col("labelled_id")).select("stats", "y", fold.alias("fold")))
+    model = fit(labelled)
+    discard(labelled, marks)
+    measured = with_statistics(docs, id_col, text_col, carry).withColumn("fold", fold)
 
     def score(batches):
         for batch in sliced(batches):
