@@ -134,7 +134,7 @@ def contamination(
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")), F.col(item_text_col).cast("string"))
-    segments = written(items.mapInArrow(_segments(window), "item string, words string"))
+    segments = written(items.mapInArrow(_segments(window), "item string, words string").distinct())
     size = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     segments = segments.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)))
