@@ -154,6 +154,8 @@ TEMPLATES = [
     "What is the {m} of {e} in {y}?", "Show the {m} trend for {e}", "Compare {m} of {e} vs peers", "Audit the balance sheet of {e}", "Is the {y} forecast for {m} on track?", "Any news about {e}?",
     "What drove the change in {m} for {e}?", "Give me an overview of {e} in {y}", "Dividend payout of {e} for {y}", "What are the main risks for {e}?", "Current ratio of {e} in {y}", "Is {e} expensive on valuation?", "and {y}?", "Review the earnings of {e}",
 ]
+#: The intent that each template asks for.
+EXPECTED = ("metric_lookup", "trend_analysis", "peer_comparison", "validation", "forecast_validation", "news_impact", "driver_analysis", "overview", "dividend_analysis", "risk_assessment", "ratio_analysis", "valuation", "unknown", "earnings_review")
 # The order and the patterns by which a question is routed.
 ROUTES = (
     ("validation", r"\b(audit|validat\w+|reconcil\w+|anomal\w+|mis-?extract\w*)\b|\bsanity[- ]?check\w*\b"),
@@ -170,6 +172,7 @@ ROUTES = (
     ("risk_assessment", r"\brisk|\bchalleng|\bheadwind|\bconcern|\bpressure|\bexposure|\buncertaint"),
     ("metric_lookup", r"\brevenue|net sales|turnover|profit|\bpat\b|total assets|total equity|current assets|current liabilities|\bliabilities\b|\bassets\b|\bequity\b|earnings"),
 )
+#: How a question begins that goes on from the one before.
 FOLLOW_UP = r"^\s*(?:and|also|how about|what about|same for|for that|ok but|but what|in that|what was it|how was it|for those|\d{4}\??)[\s,?]"
 _QUESTIONS_SQL = f"""{FACTS_SQL}, questions AS (SELECT entity || '|' || metric || '|' || year AS question_id, entity, metric, year,
   replace(replace(replace([{", ".join("'" + t + "'" for t in TEMPLATES)}][(year * 7 + length(metric) + length(entity)) % {len(TEMPLATES)} + 1], '{{m}}', replace(metric, '_', ' ')), '{{e}}', entity), '{{y}}', CAST(year AS VARCHAR)) AS q FROM facts)"""
@@ -204,10 +207,22 @@ def question_routing(spark, sf_dir):
     return questions(spark, sf_dir).select("question_id", "q", intent(q).alias("intent"), F.when(year != "", year.cast("int")).alias("asked_year"), follow.alias("follow_up"))
 
 
-@registry.add("intent_evaluation", f"WITH {_QUESTIONS_SQL}, r AS (SELECT {_intent_sql('q')} AS intent FROM questions) SELECT intent, count(*) AS total, count(*) FILTER (WHERE intent <> 'unknown') AS passed FROM r GROUP BY intent")
+def evaluated(routed: DataFrame) -> DataFrame:
+    """(intent, total, passed) of questions (expected, intent): how many of each expected intent are routed to it."""
+    return routed.groupBy(F.col("expected").alias("intent")).agg(F.count("*").alias("total"), F.count_if(F.col("intent") == F.col("expected")).alias("passed"))
+
+
+_TURN_SQL = f"(year * 7 + length(metric) + length(entity)) % {len(TEMPLATES)} + 1"
+
+
+@registry.add(
+    "intent_evaluation",
+    f"WITH {_QUESTIONS_SQL}, r AS (SELECT {list(EXPECTED)}[{_TURN_SQL}] AS expected, {_intent_sql('q')} AS routed FROM questions) SELECT expected AS intent, count(*) AS total, count(*) FILTER (WHERE routed = expected) AS passed FROM r GROUP BY expected",
+)
 def intent_evaluation(spark, sf_dir):
-    routed = questions(spark, sf_dir).select(intent(F.col("q")).alias("intent"))
-    return routed.groupBy("intent").agg(F.count("*").alias("total"), F.count_if(F.col("intent") != "unknown").alias("passed"))
+    """The question log against the intent that the wording asks for."""
+    turn = ((F.col("year") * 7 + F.length("metric") + F.length("entity")) % len(TEMPLATES) + 1).cast("int")
+    return evaluated(questions(spark, sf_dir).select(F.element_at(F.array(*map(F.lit, EXPECTED)), turn).alias("expected"), intent(F.col("q")).alias("intent")))
 
 
 @registry.add(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -242,14 +241,13 @@ def payout_details(spark, sf_dir):
     return p.select("o_orderkey", F.regexp_extract("d", r"([0-9.]+)%", 1).cast("double").alias("pct"), F.col("d").rlike(r"\(i+\)").alias("interim"), has("(F)").alias("final"), has("(D)").alias("dividend"), has("(B)").alias("bonus"))
 
 
-@registry.add("page_links")
+@registry.add(
+    "page_links",
+    """WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<li><a href="[^"]*">[^<]*</a></li>') AS e FROM pages), x AS (SELECT page_id, unnest(range(1, len(e) + 1)) AS place, unnest(e) AS entry FROM l)
+    SELECT page_id, place, regexp_extract(entry, 'href="([^"]*)"', 1) AS link, regexp_extract(entry, '>([^<]*)</a>', 1) AS label FROM x""",
+)
 def page_links(spark, sf_dir):
-    """List entries of each page as cells (page, place, link, text); the feed job for markup."""
-    import re
-
-    def parse(batches):
-        for batch in batches:
-            rows = [(p, i + 1, a, t) for p, h in zip(batch["page_id"], batch["html"], strict=True) for i, (a, t) in enumerate(re.findall(r'<li><a href="([^"]*)">([^<]*)</a></li>', h or ""))]
-            yield pd.DataFrame(rows, columns=["page_id", "place", "link", "label"])
-
-    return read(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(parse, "page_id long, place long, link string, label string")
+    """List entries of each page as cells (page, place, link, text)."""
+    entry = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('<li><a href="[^"]*">[^<]*</a></li>'), F.lit(0))
+    each = read(spark, sf_dir, "pages").select("page_id", F.posexplode(entry).alias("at", "entry"))
+    return each.select("page_id", (F.col("at") + 1).cast("long").alias("place"), F.regexp_extract("entry", 'href="([^"]*)"', 1).alias("link"), F.regexp_extract("entry", ">([^<]*)</a>", 1).alias("label"))

@@ -82,6 +82,23 @@ def document_years(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.years(F.coalesce("text", F.lit(""))).alias("years"))
 
 
+def report_year(years, name):
+    """The largest plausible year of a report's text, else that of its file name, else null."""
+    plausible = lambda found: F.array_max(F.filter(found, lambda y: (y >= 1990) & (y <= 2100)))
+    return F.coalesce(plausible(years), plausible(T.years(name)))
+
+
+@registry.add(
+    "report_year",
+    r"""WITH y AS (SELECT doc_id, source, list_transform(regexp_extract_all(' ' || regexp_replace(coalesce(text, ''), '(\D)', '\1\1', 'g') || ' ', '\D((?:19|20)\d{2})\D', 1), lambda x: CAST(x AS INT)) AS years FROM documents)
+    SELECT doc_id, coalesce(list_max(list_filter(years, lambda v: v >= 1990 AND v <= 2100)), CASE WHEN doc_id % 2 = 0 THEN 2000 + CAST(doc_id % 30 AS INT) END) AS report_year FROM y""",
+)
+def report_year_query(spark, sf_dir):
+    """Documents whose every other file name bears a year."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("annual_"), (F.col("doc_id") % 30 + 2000).cast("string"), F.lit(".pdf"))).otherwise("annual.pdf")
+    return read(spark, sf_dir, "documents").select("doc_id", report_year(T.years(F.coalesce("text", F.lit(""))), name).alias("report_year"))
+
+
 @registry.add(
     "text_gates",
     r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS letters, len(regexp_extract_all(coalesce(text, ''), '[0-9]')) AS digits, regexp_matches(lower(coalesce(text, '')), 'revenue|profit|assets|token') AS signal FROM documents)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_ledger(rows: DataFrame, path: str, by: str = "entity", form: str = "parquet") -> None:
-    """Appends rows under a folder for each value of `by`; rows of a value are written together."""
-    rows.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("unknown"))).repartition(by).write.mode("append").partitionBy(by).format(form).save(path)
+def write_ledger(rows: DataFrame, path: str, by: str = "entity", form: str = "parquet", tasks: int = 8) -> None:
+    """Appends rows under a folder for each value of `by`; those of one value are dealt over so many tasks, and files, at most."""
+    named = rows.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("unknown")))
+    salt = F.pmod(F.xxhash64(*named.columns), F.lit(tasks))
+    named.repartition(by, salt).write.mode("append").partitionBy(by).format(form).save(path)

@@ -37,14 +37,17 @@ def first_deliveries(events: DataFrame, within: str = "7 days") -> DataFrame:
 
 
 def feed_health(events: DataFrame, failures: int = 3) -> DataFrame:
-    """Last good value of each feed and whether its breaker is open, kept in state by feed."""
+    """Last good value of each feed and whether its breaker is open, kept in state by feed.
+
+    The rows that a trigger brings for a feed are put in order together.
+    """
 
     def follow(key, batches, state):
         good, bad = state.get if state.exists else (None, 0)
-        for batch in batches:
-            for kind, value in batch.sort_values(["ts", "event_id"])[["event_type", "value"]].itertuples(index=False):
-                failed = kind == "error" or pd.isna(value)
-                good, bad = (good, bad + 1) if failed else (float(value), 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for kind, value in rows[["event_type", "value"]].itertuples(index=False):
+            failed = kind == "error" or pd.isna(value)
+            good, bad = (good, bad + 1) if failed else (float(value), 0)
         state.update((good, bad))
         yield pd.DataFrame({"user_id": [key[0]], "last_good": [good], "failures": [bad], "is_open": [bad >= failures]})
 
