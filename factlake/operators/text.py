@@ -127,7 +127,7 @@ def sliding_chunks(spark, sf_dir, size: int = 500, overlap: int = 100):
 
 @registry.add(
     "text_direction",
-    f"""WITH d AS (SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), '{T.POSITIVE}') AS up, regexp_matches(lower(coalesce(text, '')), '{T.NEGATIVE}') AS down, regexp_matches(coalesce(text, ''), '[0-9]') AS quantified FROM conversations)
+    f"""WITH d AS (SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), '{"|".join(T.POSITIVE)}') AS up, regexp_matches(lower(coalesce(text, '')), '{"|".join(T.NEGATIVE)}') AS down, regexp_matches(coalesce(text, ''), '[0-9]') AS quantified FROM conversations)
     SELECT conv_id, turn, CASE WHEN up AND NOT down THEN 'positive' WHEN down AND NOT up THEN 'negative' END AS direction, quantified FROM d""",
 )
 def text_direction(spark, sf_dir):
