@@ -121,7 +121,8 @@ def mix(
         df = df.join(offered(plan, 112), same, "left").withColumn("rate", rate).withColumn("rest", F.col("rate") - F.floor("rate"))
         place = (F.conv(F.substring("key", 1, 13), 16, 10).cast("long") / F.lit(float(2**52))) / F.col("rest")
         df = df.withColumn("place", F.when((F.col("rest") > 0) & (F.col("size") > 0), place))
-        return df.withColumn("bucket", F.least(F.floor(F.col("place") * BUCKETS), F.lit(LAST_BUCKET)).cast("int"))
+        bucket = F.least(F.floor(F.col("place") * BUCKETS), F.lit(LAST_BUCKET)).cast("int")
+        return df.withColumn("bucket", F.when(F.col("place").isNotNull(), bucket))  # least() passes over nulls
 
     # the bucket of each source in which the quota ends: only its documents are put in order
     buckets = ordered(sized).where("bucket IS NOT NULL").groupBy("plan_source", "quota", "bucket").agg(F.sum("size").alias("bucket_size"))
