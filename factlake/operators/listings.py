@@ -163,7 +163,7 @@ def _amount(value: Column) -> Column:
 
 @registry.add(
     "company_overview",
-    """SELECT s_suppkey, 'S' || s_suppkey AS symbol, s_name AS name, n_name AS sector, round(s_acctbal, 2) AS price, CAST(s_suppkey AS DOUBLE) AS pe_ratio, CAST(s_suppkey * 1000 AS DOUBLE) AS market_cap, CAST(s_suppkey * 10 AS DOUBLE) AS shares, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey * 4 AS DOUBLE) END AS free_float, 40.0 AS free_float_pct
+    """SELECT s_suppkey, 'S' || s_suppkey AS symbol, s_name AS name, n_name AS sector, round(s_acctbal, 2) AS price, CAST(s_suppkey AS DOUBLE) AS pe_ratio, CAST(s_suppkey * 1000 AS DOUBLE) AS market_cap, CAST(s_suppkey * 10 AS DOUBLE) AS shares, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey * 4 AS DOUBLE) END AS free_float, CAST(40 AS DOUBLE) AS free_float_pct
        FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
 )
 def company_overview_query(spark, sf_dir):
@@ -187,7 +187,7 @@ def year_tables_query(spark, sf_dir):
 
 @registry.add(
     "market_summary",
-    """SELECT n_nationkey, '1998-01-02 10:20:30' AS stamp, CAST(count(*) AS VARCHAR) AS volume, 'Open' AS status, CAST(sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END) AS VARCHAR) AS advanced, n_name AS name, CAST(count(*) AS DOUBLE) AS value, CAST(-n_nationkey - 1 AS DOUBLE) AS change, 1.5 AS change_pct
+    """SELECT n_nationkey, '1998-01-02 10:20:30' AS stamp, CAST(count(*) AS VARCHAR) AS volume, 'Open' AS status, CAST(sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END) AS VARCHAR) AS advanced, n_name AS name, CAST(count(*) AS DOUBLE) AS value, CAST(-n_nationkey - 1 AS DOUBLE) AS change, CAST(1.5 AS DOUBLE) AS change_pct
        FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name""",
 )
 def market_summary_query(spark, sf_dir):
