@@ -15,6 +15,9 @@ MODULES = (
     "quality",
     "pii",
     "mixing",
+    "trie",
+    "clusters",
+    "shards",
 )
 
 QUERIES, SQL = {}, {}
