@@ -41,7 +41,7 @@ def token_set_of(a: str, b: str) -> float:
     if shared and (not left or not right):
         return 100.0
     one, other = f"{shared} {left}".strip(), f"{shared} {right}".strip()
-    return max(ratio_of(one, other), *((ratio_of(shared, one), ratio_of(shared, other)) if shared else ()))
+    return max([ratio_of(one, other), *((ratio_of(shared, one), ratio_of(shared, other)) if shared else ())])
 
 
 def partial_of(a: str, b: str) -> float:

@@ -1,8 +1,6 @@
 """Labels, themes, sectors, questions and feeds matched to what is known.
 
 Each operator takes DataFrames; the queries below apply them to rows of the given tables.
-Similarities are only computed for pairs that share a token, which blocks them; a token
-that many known names share is passed over if a rarer one leads to the same name.
 """
 
 from __future__ import annotations
@@ -18,11 +16,11 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..registry import Registry
 from ..sources.bridge import FACTS_SQL, facts, observations, read
+from .assignment import assign
+from .similar import resolve_labels, similar_pairs
 
 registry = Registry()
 
-#: Words that a metric must own if a label has them.
-MODIFIERS = ("adjusted", "normalized", "underlying", "forward", "ntm")
 #: Categories that a section may tell of, the first before the others.
 SECTION_PRIORS = {
     "chairman review": ("outlook", ["strategy", "governance"]),
@@ -44,26 +42,9 @@ PROFIT_BARE = r"\bprofit(s|ability)?\b"
 PROFIT_CANDIDATES = ("gross_profit", "operating_profit", "pat")
 
 
-def fuzzy_labels(labels: DataFrame, known: DataFrame, least: float = 90.0, similarity=S.ratio) -> DataFrame:
-    """(label, metric, score) of labels (label) that no name of known (name, metric) equals but one resembles.
-
-    Normalised names that share a word and differ in length by no more than the score allows
-    are compared; the best wins, ties by metric. A label with a modifier only goes to a metric
-    whose name has it.
-    """
-    asked = labels.select("label", T.normalize_label(F.col("label")).alias("key")).where("key <> ''").distinct()
-    names = known.select(T.normalize_label(F.col("name")).alias("name"), "metric").distinct()
-    open_keys = asked.select("key").distinct().join(names, F.col("key") == F.col("name"), "left_anti")
-    words = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(F.split(c, " "))))
-    pairs = words(open_keys, "key").join(words(names, "name"), "word").select("key", "name", "metric").distinct()
-    short, long = F.least(F.length("key"), F.length("name")), F.greatest(F.length("key"), F.length("name"))
-    pairs = pairs.where(200.0 * short / (short + long) >= least)
-    for word in MODIFIERS:
-        pairs = pairs.where(~F.array_contains(F.split("key", " "), word) | F.array_contains(F.split("name", " "), word))
-    scored = pairs.withColumn("score", similarity("key", "name")).where(F.col("score") >= least)
-    best = scored.groupBy("key").agg(F.max_by(F.struct("metric", "score"), F.struct("score", F.lit(0) - F.ascii("metric"))).alias("x"), F.max("score").alias("top"))
-    ties = scored.join(best.select("key", "top"), "key").where("score = top").groupBy("key").agg(F.min("metric").alias("metric"), F.max("score").alias("score"))
-    return asked.join(ties, "key").select("label", "metric", "score")
+def fuzzy_labels(labels: DataFrame, known: DataFrame, least: float = 90.0, kind: str = "ratio") -> DataFrame:
+    """(label, metric, score) of labels (label) that no name of known (name, metric) equals but one resembles."""
+    return resolve_labels(labels, known, least, kind).where("method = 'fuzzy'").select("label", "metric", "score")
 
 
 @registry.add("label_to_metric_fuzzy")
@@ -550,25 +531,20 @@ def market_feed(spark, sf_dir):
 
 
 def template_lines(rows: DataFrame, items: DataFrame, least: float = 82.0) -> DataFrame:
-    """(row_id, item_id, score): template rows resolved one to one with line items, by similarity of their words.
+    """(row_id, item_id, score) of template rows and lines of the same statement, one to one.
 
     rows: (row_id, statement, label, metric, is_total, section); items the same with item_id.
-    A total never goes to a leaf, nor a metric to another one; labels of the same statement
-    that share a word are compared, shared words of sections add 5. The highest scores are
-    matched first; a row or item that is taken leaves the rest to the next round.
+    A total never goes to a leaf, nor a metric to another one. Pairs are assigned by whether
+    their sections share a word, then by score.
     """
-    words = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns), F.explode(F.array_distinct(F.split(T.spaced(F.col("label")), " "))).alias("word")).where("word <> ''")
-    met = words(rows, "r").join(words(items, "i"), "word").where("r_statement = i_statement AND r_is_total = i_is_total AND (r_metric IS NULL OR i_metric IS NULL OR r_metric = i_metric)").drop("word").distinct()
+    one = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns), T.spaced(F.col("label")).alias(f"{side}_plain"))
+    r, i = one(rows, "r"), one(items, "i")
+    alike = similar_pairs(r.select("r_plain"), i.select("i_plain"), least, "token_set")
+    met = i.join(alike, F.col("i_plain") == F.col("b")).join(r, F.col("a") == F.col("r_plain")).where("r_statement = i_statement AND r_is_total = i_is_total AND (r_metric IS NULL OR i_metric IS NULL OR r_metric = i_metric)")
     tokens = lambda c: F.array_remove(F.split(T.spaced(F.coalesce(c, F.lit(""))), " "), "")
-    bonus = F.when(F.arrays_overlap(tokens("r_section"), tokens("i_section")), 5.0).otherwise(0.0)
-    base = S.token_set(T.spaced(F.col("r_label")), T.spaced(F.col("i_label")))
-    open_pairs = met.withColumn("base", base).where(F.col("base") >= least).select(F.col("r_row_id").alias("row_id"), F.col("i_item_id").alias("item_id"), (F.col("base") + bonus).alias("score"))
-    # a pair that is the best of both its row and its item is final; the rest compete for one more place
-    order = [F.desc("score"), F.col("row_id"), F.col("item_id")]
-    best = open_pairs.withColumns({"of_row": F.row_number().over(W.partitionBy("row_id").orderBy(*order)), "of_item": F.row_number().over(W.partitionBy("item_id").orderBy(*order))}).where("of_row = 1 AND of_item = 1").select("row_id", "item_id", "score")
-    left = open_pairs.join(best.select("row_id"), "row_id", "left_anti").join(best.select("item_id"), "item_id", "left_anti")
-    again = left.withColumns({"of_row": F.row_number().over(W.partitionBy("row_id").orderBy(*order)), "of_item": F.row_number().over(W.partitionBy("item_id").orderBy(*order))}).where("of_row = 1 AND of_item = 1").select("row_id", "item_id", "score")
-    return best.unionByName(again)
+    shared = F.arrays_overlap(tokens("r_section"), tokens("i_section"))
+    pairs = met.select(F.col("r_row_id").alias("row_id"), F.col("i_item_id").alias("item_id"), (F.col("score") + F.when(shared, 5.0).otherwise(0.0)).alias("score"), shared.alias("shared"))
+    return assign(pairs, ["NOT shared", "-score"]).drop("shared")
 
 
 @registry.add("template_lines")

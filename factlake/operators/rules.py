@@ -28,8 +28,7 @@ def _labels(spark, sf_dir):
 )
 def label_kinds(spark, sf_dir):
     """Headers by their share of capitals, totals by how they begin; each distinct label once."""
-    letters, caps = F.length(F.regexp_replace("label", "[^A-Za-z]", "")), F.length(F.regexp_replace("label", "[^A-Z]", ""))
-    return _labels(spark, sf_dir).select("metric", "label", ((letters < 3) | (caps >= 0.7 * letters)).alias("is_header"), F.lower("label").rlike("^(total|gross|net|profit)").alias("is_total"))
+    return _labels(spark, sf_dir).select("metric", "label", T.is_section_header(F.col("label")).alias("is_header"), T.is_total_row(F.col("label")).alias("is_total"))
 
 
 # Abbreviations and what they stand for.

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import evidence, filters, ingest, listings, matching, rules, series, tables, text, validation
+from .operators import assignment, evidence, filters, guard, ingest, listings, matching, reconcile, retrieval, rules, series, similar, tables, text, validation
 from .plans import formulas
-from .streaming import jobs
+from .streaming import jobs, ordered
 
-REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry, evidence.registry, tables.registry, filters.registry, rules.registry, ingest.registry, matching.registry, listings.registry, jobs.registry)
+REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry, evidence.registry, tables.registry, filters.registry, rules.registry, ingest.registry, matching.registry, listings.registry, similar.registry, assignment.registry, reconcile.registry, guard.registry, retrieval.registry, jobs.registry, ordered.registry)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _registry in REGISTRIES:
