@@ -1,7 +1,9 @@
 """Main text of web pages: blocks by markup, and boilerplate by a suffix array for each host.
 
 Markup says which blocks are menus, adverts, forms and the like, and which stand in an
-article. The token streams of the pages of one host are concatenated and their suffixes
+article. A name is no proof: what holds the main element, or the page's text, stays whatever
+it is called, and a part of an article that is named like boilerplate but reads like prose is
+left to the host. The token streams of the pages of one host are concatenated and their suffixes
 sorted as deep as the shortest repeat that counts. A run of tokens that stands on enough
 distinct pages of the host is boilerplate and is removed; unique runs are kept. Large hosts
 are dealt into chunks of bounded size: a run that is frequent on a host is frequent in one of
@@ -46,7 +48,9 @@ _BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head nav footer aside button select option label dialog menu object audio video canvas".split())
+_DROPPED = frozenset("head button select option label dialog menu object audio video canvas".split())
+#: Elements around the page's text, if they are closed where they should be.
+_LAYOUT_TAGS = frozenset("nav footer header aside".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
@@ -55,50 +59,110 @@ _TELLING = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adsbygoogle sponsor sponsored sponsors promo promos promotion promotions"
     " nav navbar navigation menu menus masthead breadcrumb breadcrumbs sidebar sidebars cookie cookies consent gdpr ccpa notice notices alert"
     " popup modal overlay banner banners teaser teasers newsletter subscribe subscription signup login share sharing social related recommended recommendations"
-    " comment comments reply replies respond disqus widget widgets pager pagination toolbar copyright footer tagcloud topbar bottombar".split()
+    " comment comments reply replies respond disqus feedback widget widgets pager pagination toolbar copyright footer tagcloud topbar bottombar".split()
 )
 _BESIDE = frozenset(
     "box container wrapper wrap block section area slot bar top bottom left right main site page global primary secondary list item items link links"
     " button buttons form panel inner outer holder content post posts article articles news stories story more thread unit text message js column col row"
     " fixed sticky mobile desktop user users reader readers legal search skip side the and your our".split()
 )
+#: Those among the telling words that name a part of the page's layout, and those that name what readers write.
+_LAYOUT = frozenset("nav navbar navigation menu menus masthead sidebar sidebars banner banners widget widgets toolbar footer topbar bottombar header overlay modal popup".split())
+_READERS = frozenset("comment comments reply replies respond disqus feedback".split())
+#: Least words and share of characters outside links of a named part of an article that reads like prose.
+PROSE_WORDS, PROSE_SHARE = 25, 0.8
 _CONTENT = frozenset("content main maincontent articlebody postcontent entrycontent storybody articlecontent postbody bodycontent pagecontent".split())
 
 
-def _named(names: str, inside: bool) -> bool:
-    """Whether one of these names consists of telling words and of such as may stand beside them."""
+def _named(names: str, inside: bool) -> str | None:
+    """layout, readers or other where a name consists of telling words and of such as may stand beside them."""
     for name in names.split():
         parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x]
         telling = [x in _TELLING or (x == "header" and not inside) for x in parts]
         if any(telling) and all(t or x in _BESIDE for t, x in zip(telling, parts, strict=True)):
-            return True
-    return False
+            words = {x for t, x in zip(telling, parts, strict=True) if t}
+            return "readers" if words & _READERS else "layout" if words <= _LAYOUT else "other"
+    return None
 
 
-def _is_dropped(tag: str, attrs: dict, inside: bool) -> bool:
-    """Whether an element is no part of a main text; inside: in an article."""
-    if tag in _DROPPED or (tag == "header" and not inside):
+def _is_dropped(tag: str, attrs: dict) -> bool:
+    """Whether an element is never a part of a main text: controls, and what is hidden."""
+    if tag in _DROPPED:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
-        return True
-    if tag in _HEADINGS or tag == "article":
-        return False
-    return attrs.get("role", "").lower() in _ROLES or _named(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside)
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I))
+
+
+def _mark_of(tag: str, attrs: dict, inside: bool) -> str | None:
+    """What an element's tag, role or names tell of it: layout, readers, other, or nothing."""
+    if tag in _LAYOUT_TAGS and not (tag == "header" and inside):
+        return "layout"
+    if not attrs or tag in ("html", "body", "main", "article") or tag in _HEADINGS:
+        return None
+    if attrs.get("role", "").lower() in _ROLES:
+        return "layout"
+    return _named(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside)
 
 
 def _is_content(attrs: dict) -> bool:
     return any(re.sub(r"[^a-z]", "", name.lower()) in _CONTENT for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
 
 
+class _Mark:
+    """A marked element: what its names tell, whether it stands in an article, and whether it holds the main element."""
+
+    __slots__ = ("kind", "inside", "holds_main")
+
+    def __init__(self, kind: str, inside: bool):
+        self.kind, self.inside, self.holds_main = kind, inside, False
+
+
 class _Block:
-    """Text of a block, its characters outside links, and whether it stands in an article, a form or a content element."""
+    """Text of a block, its characters outside links, and whether it stands in an article, a form, a content element and in marked elements."""
+
+    __slots__ = ("text", "plain", "inside", "in_form", "in_content", "marks", "doubtful")
+
+    def __init__(self, text: str, plain: int, inside: bool, in_form: bool, in_content: bool, marks: tuple[_Mark, ...]):
+        self.text, self.plain, self.inside, self.in_form, self.in_content, self.marks = text, plain, inside, in_form, in_content, marks
+        self.doubtful = False
+
 
-    __slots__ = ("text", "plain", "inside", "in_form", "in_content")
+def _unmarked(found: list[_Block]) -> list[_Block]:
+    """The blocks that no marked element drops; those that only the host can judge are doubtful.
 
-    def __init__(self, text: str, plain: int, inside: bool, in_form: bool, in_content: bool):
-        self.text, self.plain, self.inside, self.in_form, self.in_content = text, plain, inside, in_form, in_content
+    An element is not dropped if it holds the main element, or if it is layout, no article or main
+    element has text outside of marked elements, and it holds most of the page's text; its blocks of
+    links go then. In an article, a marked element other than readers' words is doubtful
+    if it reads like prose; it counts as one with what it holds.
+    """
+    has_article = any(b.inside and b.plain for b in found if not b.marks)
+    told = lambda b, but=None: any(x.kind != "layout" and not x.holds_main for x in b.marks if x is not but)
+    page = sum(b.plain for b in found if not told(b))
+    held: dict[_Mark, list[_Block]] = {}
+    for b in found:
+        for m in b.marks:
+            held.setdefault(m, []).append(b)
+    verdicts: dict[_Mark, str] = {}
+    for m, own in held.items():
+        plain = sum(b.plain for b in own if not told(b, m))
+        if m.holds_main:
+            verdicts[m] = "stays"
+        elif m.kind == "layout" and not has_article and plain * 2 > page:
+            verdicts[m] = "unclosed"
+        elif m.inside and m.kind != "readers" and sum(b.text.count(" ") + 1 for b in own) >= PROSE_WORDS and sum(b.plain for b in own) >= PROSE_SHARE * sum(len(b.text) - b.text.count(" ") for b in own):
+            verdicts[m] = "doubtful"
+        else:
+            verdicts[m] = "goes"
+    out = []
+    for b in found:
+        of = {verdicts[m] for m in b.marks}
+        linked = "unclosed" in of and b.plain * 2 < len(b.text) - b.text.count(" ")
+        if "goes" in of or linked:
+            continue
+        b.doubtful = "doubtful" in of
+        out.append(b)
+    return out
 
 
 def _chosen(found: list[_Block]) -> list[_Block]:
@@ -121,15 +185,15 @@ def _chosen(found: list[_Block]) -> list[_Block]:
 
 def marked_blocks(page: str | None) -> list[tuple[str, bool]]:
     """(block, whether it is an article's): the main text by markup in page order, white space collapsed."""
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, dropped, in an article, a form, a content element
-    none = ("", False, False, False, False)
+    stack: list[tuple[str, bool, bool, bool, bool, tuple]] = []  # tag, dropped, in an article, a form, a content element, marked elements
+    none = ("", False, False, False, False, ())
     text: list[tuple[str, bool]] = []
     found: list[_Block] = []
 
     def flush() -> None:
         if text:
             block = " ".join(html.unescape("".join(t for t, _ in text)).split())
-            plain = sum(len(t.strip()) for t, linked in text if not linked)
+            plain = sum(len("".join(html.unescape(t).split())) for t, linked in text if not linked)
             text.clear()
             if block:
                 found.append(_Block(block, plain, *(stack[-1] if stack else none)[2:]))
@@ -184,17 +248,22 @@ def marked_blocks(page: str | None) -> list[tuple[str, bool]]:
                         pop_to(depth)  # it was never closed
                         break
         if not m["attrs"].endswith("/"):
-            _, dropped, inside, in_form, in_content = stack[-1] if stack else none
+            _, dropped, inside, in_form, in_content, marks = stack[-1] if stack else none
             attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-            gone = dropped or _is_dropped(tag, attrs, inside)
-            if gone and not dropped:
+            gone = dropped or _is_dropped(tag, attrs)
+            kind = None if gone else _mark_of(tag, attrs, inside)
+            if (gone and not dropped) or kind:
                 flush()
-            stack.append((tag, gone, inside or (not gone and tag in ("article", "main")), in_form or tag == "form" or attrs.get("role") == "form", in_content or _is_content(attrs)))
+            if tag == "main" and not gone:
+                for mark in marks:
+                    mark.holds_main = True
+            stack.append((tag, gone, inside or (not gone and tag in ("article", "main")), in_form or tag == "form" or attrs.get("role") == "form", in_content or _is_content(attrs), (*marks, _Mark(kind, inside)) if kind else marks))
     if at < len(page) and not (stack[-1] if stack else none)[1]:
         text.append((page[at:], links > 0))
     flush()
-    chosen = _chosen(found)
-    return [(b.text, b.inside or b.in_content) for b in chosen]
+    kept = _unmarked(found)
+    chosen = {id(b) for b in _chosen([b for b in kept if not b.doubtful])}
+    return [(b.text, not b.doubtful and (b.inside or b.in_content)) for b in kept if b.doubtful or id(b) in chosen]
 
 
 def blocks(page: str | None) -> list[str]:
@@ -221,8 +290,8 @@ def windows(stream: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def runs(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(run, pages): the runs of SPAN tokens that stand on two pages at least, and on how many.
+def runs(pages: list[np.ndarray], least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(run, pages): the runs of SPAN tokens that stand on so many pages at least, and on how many.
 
     The streams are concatenated with a separator of its own after each page. Doubling sorts
     all suffixes by their first SPAN tokens; suffixes of one rank begin with the same run, and
@@ -244,7 +313,10 @@ def runs(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     stands_on = np.bincount(ranks[first], minlength=int(ranks.max()) + 1)
     begins = np.zeros(len(order), bool)
     begins[0], begins[1:] = True, ranks[1:] != ranks[:-1]
-    places = order[begins & (stands_on[ranks] > 1)]
+    places = order[begins & (stands_on[ranks] >= least)]
+    places = places[places + SPAN <= len(stream)]
+    last = places + SPAN - 1
+    places = places[(page[last] == page[places]) & (stream[last] < np.uint64(1 << 63))]  # whole on its page
     return windows(stream)[places], stands_on[rank[places]]
 
 
@@ -329,7 +401,8 @@ def _candidates(batches):
     """(host, run): runs frequent on the distinct pages of a chunk; pages are sorted by host and chunk."""
 
     def of(host, pages):
-        found, n = runs([hashed(" ".join(b for b, _ in p).split(" ")) for p in pages.values()])
+        # few pages: a share of them may be a single one
+        found, n = runs([hashed(" ".join(b for b, _ in p).split(" ")) for p in pages.values()], 1 if OTHER_SHARE * len(pages) <= 1 else 2)
         outside = [windows(hashed(" ".join(b for b, _ in p).split(" "))) for p in pages.values() if any(not i for _, i in p)]
         common = n >= ARTICLE_SHARE * len(pages)
         if outside:
@@ -340,12 +413,12 @@ def _candidates(batches):
     for batch in sliced(batches):
         for host, chunk, stream, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (host, chunk) != here:
-                if len(pages) > 1:
+                if pages:
                     yield of(here[0], pages)
                 here, pages = (host, chunk), {}
             if stream not in pages:
                 pages[stream] = _unpack(packed)
-    if len(pages) > 1:
+    if pages:
         yield of(here[0], pages)
 
 
@@ -391,8 +464,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Blocks are joined by one newline; null and empty pages have an empty text. Pages whose url
     is null or has no host are one host. A run of 8 tokens or more is removed if it stands on
-    at least 5 distinct pages of its host and, in an article, on 60 % of them, elsewhere on
-    20 %; hosts with fewer distinct pages keep all. An article of which more than half would
+    at least 5 distinct pages of its host and, in an article, on 60 % of them, elsewhere, and in
+    parts of an article that are named like boilerplate, on 20 %; hosts with fewer distinct pages
+    keep all. An article of which more than half would
     go is a near copy of others and stays. Pages with the same tokens are one. Null and
     repeated ids keep their rows; the result does not depend on chunks or partitions. Other
     columns are not read.

@@ -37,6 +37,53 @@ def test_what_is_no_main_text_goes(part):
     assert blocks(f"{part}<article><p>{LAST}</p></article>") == [LAST]
 
 
+LONG = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content-sidebar-wrap"><main><p>{}</p></main></div>',
+        '<div class="site-content sidebar-right"><article><p>{}</p></article><div class="sidebar">menu</div></div>',
+        '<div id="page" class="left-sidebar"><div><p>{}</p></div></div>',
+        '<div class="left-sidebar"><article>{}</article><div id="comments">said said said said said</div></div>',
+        '<nav><a href="/">Home</a> <a href="/b">Other</a><div class="post"><p>{}</p></div>',
+        '<header><a href="/">Home</a><div><p>{}</p></div><footer>all rights</footer>',
+        '<div class="post">{}</div><section id="comments"><article>' + "said " * 300 + "</article></section>",
+        '<div class="widget-area"><section><main><div class="sidebar-content">{}</div></main></section></div>',
+    ],
+)
+def test_layout_names_and_unclosed_elements_lose_no_page(page):
+    assert blocks(page.format(LONG)) == [LONG]
+
+
+@pytest.mark.parametrize("part", ['<section id="login">{}</section>', '<section id="consent"><h2>Consent</h2>{}</section>', '<div id="copyright">{}</div>', '<section id="promotion">{}</section>', '<section class="news-alert">{}</section>', "<aside>{}</aside>"])
+def test_prose_in_an_article_stays_whatever_its_name(part):
+    kept = [b for b in blocks(f"<article><p>{LAST}</p>{part.format(LONG)}</article>") if b != "Consent"]
+    assert kept == [LAST, LONG]
+    assert LONG not in blocks(f"<article><p>{LAST}</p></article>{part.format(LONG)}")  # not beside it
+    linked = " ".join(f'<a href="/{k}">word{k} word</a>' for k in range(30))
+    assert blocks(f"<article><p>{LAST}</p>{part.format(linked)}</article>") == [LAST]
+
+
+def test_readers_words_go_at_any_length():
+    for part in ('<div class="feedback">{}</div>', '<section class="comment-thread">{}</section>', '<div id="respond">{}</div>'):
+        assert blocks(f"<article><p>{LAST}</p>{part.format(LONG)}</article>") == [LAST]
+
+
+def test_the_host_judges_doubtful_parts(spark):
+    """A named part of articles goes where many pages of the host repeat it, and stays where it is a page's own."""
+    offer = " ".join(f"offer{i}" for i in range(30))
+    rng = random.Random(30)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(20):
+        own, part = fresh(40), offer if k % 2 else fresh(30)
+        rows.append((k, "http://h.example/", f'<article><p>{own}</p><aside>{part}</aside></article>'))
+        want[k] = own if k % 2 else f"{own}\n{part}"
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
 def test_forms_and_teasers_do_not_replace_the_text():
     long = "word " * 60
     assert blocks(f"<body><form><p>{long}</p><label>l</label><button>go</button></form></body>") == [long.strip()]
@@ -89,7 +136,7 @@ def _host(rng, n):
     return rows, want
 
 
-@pytest.mark.parametrize(("chunk", "tokens"), [(256, 1 << 20), (9, 1 << 20), (256, 900)])
+@pytest.mark.parametrize(("chunk", "tokens"), [(256, 1 << 20), (9, 1 << 20), (256, 900), (3, 1 << 20), (1, 1 << 20)])
 def test_repeats_are_counted_over_the_whole_host(spark, monkeypatch, chunk, tokens):
     monkeypatch.setattr(html, "CHUNK", chunk)
     monkeypatch.setattr(html, "CHUNK_TOKENS", tokens)
