@@ -287,16 +287,18 @@ def candidate_pages_query(spark, sf_dir):
     return candidate_pages(pages.join(sections.select("doc").distinct(), "doc", "left_semi"), sections, ("license", "the", "der"), 2, 20).select("doc", "page")
 
 
-def value_columns(words: DataFrame, gap: float = 25.0) -> DataFrame:
+def value_columns(words: DataFrame, gap: float = 25.0, counted: DataFrame | None = None) -> DataFrame:
     """(page, word, column, right) of numeric words (page, word, top, x1): columns chained by right edges.
 
     A new column begins after a gap; columns with fewer words than two or a tenth of the
     page's rows are dropped unless all are, and each word goes to the nearest one left.
+    counted: (page, n_rows); without it each top is a row.
     """
     w = W.partitionBy("page").orderBy("x1", "word")
     begins = F.when(F.col("x1") - F.lag("x1").over(w) <= gap, 0).otherwise(1)
     chained = words.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(w))
-    rows = words.groupBy("page").agg(F.greatest(F.lit(2), F.floor(F.countDistinct("top") * 0.1)).alias("need"))
+    counted = words.groupBy("page").agg(F.countDistinct("top").alias("n_rows")) if counted is None else counted
+    rows = counted.select("page", F.greatest(F.lit(2), F.floor(F.col("n_rows") * 0.1)).alias("need"))
     columns = chained.groupBy("page", "chain").agg(F.count("*").alias("n"), F.round(F.avg("x1"), 6).alias("right")).join(rows, "page")
     kept = columns.withColumn("most", F.max("n").over(W.partitionBy("page"))).where((F.col("n") >= F.col("need")) | (F.col("most") < F.col("need")))
     kept = kept.withColumn("column", F.row_number().over(W.partitionBy("page").orderBy("right"))).select("page", "column", "right")
