@@ -41,6 +41,12 @@ def _mixed(keys: np.ndarray, level: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _seeded(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """The 64-bit values that a perfect hash is built on: first hashes, or for another seed a mix of both."""
+    key = h1.view(np.uint64)
+    return key if seed == 0 else _mixed(key + _mixed(h2.view(np.uint64), seed), seed)
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: each key has its own number below n.
 
@@ -105,22 +111,25 @@ class Shard:
     """A perfect hash with the arrays that its numbers index."""
 
     def __init__(self, data: bytes):
-        self.hash, at = PerfectHash.from_bytes(data)
-        n = self.hash.n
+        self.seed = data[0]
+        self.hash, at = PerfectHash.from_bytes(data[1:])
+        data, n = data[1:], self.hash.n
         self.prints = np.frombuffer(data, np.uint64, n, at)
         self.keepers = np.frombuffer(data, np.int64, n, at + 8 * n)
         self.counts = np.frombuffer(data, np.int32, n, at + 16 * n)
 
     @staticmethod
     def build(h1: np.ndarray, h2: np.ndarray, keepers: np.ndarray, counts: np.ndarray) -> bytes:
-        keys = h1.view(np.uint64)
+        """The shard of distinct pairs of hashes; where first hashes are equal, the next seed takes both."""
+        seed = next(s for s in range(256) if len(np.unique(_seeded(h1, h2, s))) == len(h1))
+        keys = _seeded(h1, h2, seed)
         own = PerfectHash.of(keys)
         order = np.argsort(own.find(keys))
-        return b"".join([own.to_bytes(), h2.view(np.uint64)[order].tobytes(), keepers[order].tobytes(), np.minimum(counts[order], 2**31 - 1).astype(np.int32).tobytes()])
+        return b"".join([bytes([seed]), own.to_bytes(), h2.view(np.uint64)[order].tobytes(), keepers[order].tobytes(), np.minimum(counts[order], 2**31 - 1).astype(np.int32).tobytes()])
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each line is indexed, and the document that keeps it."""
-        at = self.hash.find(h1.view(np.uint64))
+        at = self.hash.find(_seeded(h1, h2, self.seed))
         found = at >= 0
         found[found] = self.prints[at[found]] == h2.view(np.uint64)[found]
         return found, np.where(found, self.keepers[np.maximum(at, 0)] if self.hash.n else 0, 0)

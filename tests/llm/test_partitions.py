@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.llm import clusters, shards, trie
+from factlake.llm import clusters, linededup, shards, trie
 from factlake.llm.clusters import Heaps, cluster_vectors
 from factlake.llm.shards import shard_by_bytes
 from factlake.llm.trie import prefix_trie
@@ -206,3 +206,14 @@ def test_op13_of_the_given_documents(spark, sf_dir):
     found = shards.op13_shards(spark, sf_dir)
     assert dict(found.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
     _check_shards([(r.doc_id, r.text) for r in docs.collect()], found.collect(), 40)
+
+
+def test_lines_whose_first_hashes_are_equal_keep_their_own_places():
+    rng = np.random.default_rng(2)
+    h1 = rng.integers(-(2**63), 2**63 - 1, 500)
+    h1[10], h1[11], h1[499] = h1[0], h1[0], h1[1]
+    h2 = rng.integers(-(2**63), 2**63 - 1, 500)
+    shard = linededup.Shard(linededup.Shard.build(h1, h2, np.arange(500), np.full(500, 5)))
+    found, keepers = shard.probe(h1, h2)
+    assert found.all() and (keepers == np.arange(500)).all()
+    assert not shard.probe(h1, h2 + 1)[0].any()
