@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -72,16 +73,22 @@ def types(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
 
 
-def sliced(batches, rows: int = 1_000):
-    """The same rows in smaller batches, so that what is made of one stays small.
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and the C library hold free; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
-    Arrow's pool gives back what a batch leaves free; workers live on from task to task.
-    """
+
+def sliced(batches, rows: int = 1_000):
+    """The same rows in smaller batches, so that what is made of one stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def groups(batches, keys: list[str]):
@@ -109,6 +116,8 @@ def groups(batches, keys: list[str]):
             at = i
     if held:
         yield held_key, pa.Table.from_batches(held)
+    held.clear()
+    give_back()
 
 
 def whole_groups(batches, keys: list[str]):
@@ -130,6 +139,8 @@ def whole_groups(batches, keys: list[str]):
         held.append(batch.slice(ends[-1]) if len(ends) else batch)
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
