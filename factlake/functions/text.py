@@ -82,35 +82,38 @@ def reconcile(a: Column, b: Column, tolerance: float = 0.05) -> Column:
     return F.when(a.isNull() | b.isNull(), "not_comparable").when(near, "agree").when(scale_factor(a, b, tolerance).isNotNull(), "scale_disagreement").otherwise("divergent")
 
 
-#: Who may speak in a prompt, the words of an order to drop what was said before, and names of secrets.
-SPEAKERS = ("system", "assistant", "user", "developer", "tool")
-ORDERS = (("ignore", "disregard", "forget", "override"), ("previous", "prior", "above", "earlier", "all"), ("instruction", "instructions", "prompt", "prompts", "rule", "rules", "context", "contexts", "message", "messages"))
-SECRET_NAMES = ("api_key", "api-key", "apikey", "token", "authorization", "secret")
+#: Who may be made to speak in a text that is data; what cancels, which of them and what is cancelled.
+AGENTS = ("agent", "assistant", "bot", "developer", "human", "model", "operator", "system", "tool", "user")
+CANCELS = ("bypass", "discard", "disregard", "drop", "forget", "ignore", "neglect", "override", "overrule", "skip")
+WHICH = ("above", "all", "any", "earlier", "every", "former", "past", "preceding", "previous", "prior", "your")
+CANCELLED = ("command", "context", "direction", "directive", "guideline", "instruction", "message", "order", "policy", "prompt", "rule")
 
 
-def _commands(line: Column) -> Column:
-    """Whether a line speaks for a role, or names an order, what it is about and what it drops, in this order."""
-    speaks = F.lower(F.regexp_extract(line, "^[^A-Za-z:>]*([A-Za-z]+) *[:>]", 1)).isin(*SPEAKERS)
+def _poses(line: Column) -> Column:
+    """Whether a line poses as a turn of a chat, or as the marks that chats are written in."""
+    label = F.lower(F.regexp_extract(line, "^[^A-Za-z]*([A-Za-z]+)[^A-Za-z:>]*[:>]", 1))
+    return label.isin(*AGENTS) | line.rlike(r"<\|[a-z_]+\|>|\[/?INST\]|<</?SYS>>")
 
-    def step(seen: Column, word: Column) -> Column:
-        follows = [(seen == k) & word.isin(*some) for k, some in enumerate(ORDERS)]
-        return seen + F.when(follows[0] | follows[1] | follows[2], 1).otherwise(0)
 
-    return speaks | (F.aggregate(F.split(F.lower(line), "[^A-Za-z]+"), F.lit(0), step) == len(ORDERS))
+def _cancels(line: Column) -> Column:
+    """Whether a line would cancel what was said: a word of each of three kinds, in any order; plurals count."""
+    words = F.transform(F.split(F.lower(line), "[^a-z]+"), lambda w: F.regexp_replace(F.regexp_replace(w, "ies$", "y"), "(?<=[a-z]{3})s$", ""))
+    return F.arrays_overlap(words, F.array(*map(F.lit, CANCELS))) & F.arrays_overlap(words, F.array(*(F.lit(w.removesuffix("s")) for w in WHICH))) & F.arrays_overlap(words, F.array(*map(F.lit, CANCELLED)))
 
 
 def sanitize(text: Column, most: int = 1200) -> Column:
-    """Untrusted text as data: no lines that command, no fences or control characters, capped."""
+    """Untrusted text as data: no lines that pose as a turn or cancel orders, no fences or control characters, capped."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Cntrl}&&[^\t\n\r]]", " ")
-    lines = F.filter(F.split(plain, "\r?\n"), lambda line: ~_commands(line))
+    lines = F.filter(F.split(plain, "\r?\n"), lambda line: ~_poses(line) & ~_cancels(line))
     fences = "|".join(f"{mark}{{3,}}" for mark in ("`", "~", '"', "'"))
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(lines, " "), fences, ""), r"\s+", " "))
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("…"))).otherwise(flat)
 
 
 def redact(text: Column) -> Column:
-    """Stars for the value of a named secret, for keys that begin with sk- and for hexadecimal strings of 32 and more."""
-    for found, kept in ((f"(?i)({'|'.join(SECRET_NAMES)}) *[:=] *[^ ]+", "$1=***"), ("(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{12,}", "***"), ("(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])", "***")):
+    """Stars for what a name that ends in key, token, secret, password or authorization is set to, for keys with a vendor's prefix, and for long hexadecimal runs."""
+    named = r"(?i)\b((?:[a-z0-9]+[_-])*(?:api[_-]?key|token|secret|password|passwd|authorization))\b[\"']?\s*[:=]\s*(?:bearer\s+)?(?:\"[^\"]*\"|\S+)"
+    for found, kept in ((named, "$1=***"), (r"\b(?:sk|pk|rk|ghp|xox[a-z])[-_][A-Za-z0-9_-]{12,}", "***"), (r"\b[0-9A-Fa-f]{32,}\b", "***")):
         text = F.regexp_replace(text, found, kept)
     return text
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from ..sources.bridge import FACTS_SQL, OBS_SQL, facts, observations, read
+from ..sources.bridge import FACTS_SQL, LINE_CENTS, OBS_SQL, facts, observations, read
 
 registry = Registry()
 
@@ -136,10 +136,17 @@ def internal_vs_external(spark, sf_dir):
     return both.where(F.abs(F.col("internal") - F.col("external")) > 0.05 * F.greatest(F.abs("internal"), F.abs("external"), F.lit(1.0))).withColumn("resolved", F.col("internal"))
 
 
+_PAT = ("revenue", "cost_of_sales", "operating_expenses", "finance_cost", "taxation")
+_TWO_SQL = f"""owned AS MATERIALIZED (SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS value_year, n_name AS entity FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    flow AS MATERIALIZED (SELECT entity, value_year, CAST(year(l_shipdate) AS INT) AS report_year, {", ".join(f"CAST(sum({LINE_CENTS[m]}) AS BIGINT) AS {m}" for m in _PAT)} FROM lineitem JOIN owned ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) >= value_year GROUP BY ALL),
+    two AS MATERIALIZED (SELECT entity, 'revenue' AS metric, value_year, report_year, revenue AS cents FROM flow UNION ALL SELECT entity, 'pat', value_year, report_year, {" + ".join(_PAT)} FROM flow),
+    obs AS MATERIALIZED (SELECT entity, metric, value_year, report_year, CAST(sum(cents) OVER (PARTITION BY entity, metric, value_year ORDER BY report_year) AS BIGINT) / 100.0::DOUBLE AS value FROM two WHERE cents IS NOT NULL)"""
+
+
 @registry.add(
     "cross_report_conflicts",
-    f"""WITH {OBS_SQL.replace("obs AS (", "obs AS MATERIALIZED (")} SELECT a.entity, a.metric, a.value_year, a.report_year AS a_report, b.report_year AS b_report, a.value AS a_value, b.value AS b_value FROM obs a JOIN obs b ON a.entity = b.entity AND a.metric = b.metric AND a.value_year = b.value_year AND a.report_year < b.report_year
-    WHERE a.metric IN ('revenue', 'pat') AND abs(a.value - b.value) > 0.05 * greatest(abs(a.value), abs(b.value), 1)""",
+    f"""WITH {_TWO_SQL} SELECT a.entity, a.metric, a.value_year, a.report_year AS a_report, b.report_year AS b_report, a.value AS a_value, b.value AS b_value FROM obs a JOIN obs b ON a.entity = b.entity AND a.metric = b.metric AND a.value_year = b.value_year AND a.report_year < b.report_year
+    WHERE abs(a.value - b.value) > 0.05 * greatest(abs(a.value), abs(b.value), 1)""",
 )
 def cross_report_conflicts(spark, sf_dir):
     """Pairs of reports that put one value apart; a value has a handful of reports."""

@@ -23,6 +23,7 @@ FAMILIES = (
     ("bs", r"financial position|balance sheet|statement of fin"),
     ("equity", r"changes in equity|statement of cha"),
 )
+#: Titles of main statements, and how a title tells of its reporting basis.
 MAIN_STATEMENT = r"statement of|balance sheet|income statement|\bp&l\b|six years|financial highlights"
 UNCONSOLIDATED = r"\b(?:un\s*-?\s*consolidated|stand[\s-]?alone|separate|parent\s+company|company\s+financial\s+statements)\b"
 CONSOLIDATED = r"\b(?:consolidated|group\s+(?:financial\s+statements|accounts))\b"

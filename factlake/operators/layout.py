@@ -168,3 +168,66 @@ def packed_paragraphs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into chunks of 2,800 characters with 250 of overlap."""
     d = read(spark, sf_dir, "documents")
     return packed_paragraphs(d.select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("lang", F.lit("")).alias("section"), "text"))
+
+
+#: How headings of narrative sections begin, and what ends the narrative.
+SECTIONS = {
+    "Management Discussion & Analysis": ("management discussion", "management s discussion and analysis", "md a"),
+    "Business Review": ("business review", "review of operations", "operational review", "operating review", "performance review"),
+    "Directors Report": ("directors report", "report of the directors", "report of the board of directors"),
+    "CEO Review": ("ceo review", "ceo s review", "ceo s message", "ceo message", "message from the ceo", "chief executive s review", "chief executive officer s review", "chief executive s message", "president s review", "president s message"),
+    "Chairman Review": ("chairman review", "chairman s review", "chairman s message", "chairman s statement", "chairman statement", "message from the chairman"),
+    "Outlook": ("outlook", "future outlook", "future prospects"),
+    "Financial Review": ("financial review", "financial performance review"),
+    "Risks": ("principal risks", "risk management", "risks and opportunities", "risk"),
+    "Opportunities": ("opportunities",),
+    "Strategy": ("our strategy", "strategy", "strategic"),
+    "Sustainability": ("sustainability", "esg", "environmental social"),
+}
+ENDS = (
+    "independent auditor", "auditor's report", "auditors' report", "notes to the financial statements", "notes to the unconsolidated", "notes to the consolidated", "statement of financial position", "statement of profit or loss", "statement of cash flows",
+    "statement of changes in equity", "pattern of shareholding", "pattern of holding", "notice of annual general meeting", "form of proxy", "proxy form", "corporate information", "corporate calendar",
+)
+
+
+def narrative_pages(pages: DataFrame, sections: dict[str, tuple[str, ...]] = SECTIONS, ends: tuple[str, ...] = ENDS, heading: int = 70, letters: int = 120, digits: float = 0.35) -> DataFrame:
+    """(doc, page, section, text) of the prose pages (doc, page, text) that a narrative section covers.
+
+    A page whose first line, or first two, begins like a heading of a section, in at most `heading`
+    characters without case and punctuation, begins that section, the first in the list winning; one
+    that names what ends a narrative, or begins with a short line mostly of capitals, ends it; others
+    go on. Pages with fewer than `letters` letters, or more than that share of digits, are no prose.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
+    p = pages.withColumn("lines__", F.slice(lines, 1, 2))
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+    first, both = F.get("lines__", F.lit(0)), F.array_join("lines__", " ")
+    section = F.lit(None).cast("string")
+    for candidate in (both, first):  # the first line comes before both
+        text, found = plain(candidate), F.lit(None).cast("string")
+        for name, aliases in reversed(sections.items()):
+            found = F.when(text.rlike("^(?:" + "|".join(aliases) + ")"), name).otherwise(found)
+        section = F.coalesce(F.when(F.length(text).between(1, heading), found), section)
+    capitals, every = F.length(F.regexp_replace(first, r"[^\p{Lu}]", "")), F.length(F.regexp_replace(first, r"[^\p{L}]", ""))
+    is_heading = F.coalesce((F.length(first) <= heading) & (every >= 3) & (capitals >= 0.7 * every), F.lit(False))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    is_end = F.exists(F.array(*map(F.lit, ends)), lambda e: F.contains(low, e))
+    event = F.when(section.isNotNull(), section).when(is_end | is_heading, "")
+    n_letters, n_digits = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]", "")), F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{Nd}]", ""))
+    prose = (n_letters >= letters) & (n_digits <= digits * (n_letters + n_digits))
+    carried = F.last("event", ignorenulls=True).over(W.partitionBy("doc").orderBy("page"))
+    rows = p.select("doc", "page", "text", event.alias("event"), prose.alias("prose")).withColumn("section", carried)
+    return rows.where("section <> '' AND prose").select("doc", "page", "section", "text")
+
+
+@registry.add(
+    "narrative_pages",
+    """WITH d AS (SELECT source AS doc, doc_id AS page, CASE doc_id % 6 WHEN 0 THEN 'Future Outlook' || chr(10) WHEN 1 THEN 'NOTES AND RATIOS' || chr(10) WHEN 2 THEN 'Chairman''s' || chr(10) || 'Review' || chr(10) ELSE 'going on, ' END || coalesce(text, '') AS text, doc_id % 6 AS k FROM documents WHERE source IS NOT NULL),
+    e AS (SELECT *, CASE k WHEN 0 THEN 'Outlook' WHEN 1 THEN '' WHEN 2 THEN 'Chairman Review' END AS event, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')) AS digits FROM d),
+    c AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page) AS section FROM e) SELECT doc, page, section FROM c WHERE section <> '' AND letters >= 120 AND digits <= 0.35 * (letters + digits)""",
+)
+def narrative_pages_query(spark, sf_dir):
+    """Documents of a source as pages of one report, a third of them with headings."""
+    d, k = read(spark, sf_dir, "documents").where("source IS NOT NULL"), F.col("doc_id") % 6
+    head = F.when(k == 0, "Future Outlook\n").when(k == 1, "NOTES AND RATIOS\n").when(k == 2, "Chairman's\nReview\n").otherwise("going on, ")
+    return narrative_pages(d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))).select("doc", "page", "section")

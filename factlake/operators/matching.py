@@ -37,6 +37,7 @@ SECTION_PRIORS = {
     "esg": ("esg", []),
 }
 MACRO_UNITS = {"policy_rate": "percent", "inflation": "percent", "fx_usd_pkr": "PKR/USD", "gdp_growth": "percent"}
+#: Wordings of profits that are one metric, of profit alone, and the metrics that it may mean.
 PROFIT_QUALIFIED = r"gross profit|operating profit|net (income|profit)|profit after tax|profit before tax|\bpat\b|\bpbt\b|ebit"
 PROFIT_BARE = r"\bprofit(s|ability)?\b"
 PROFIT_CANDIDATES = ("gross_profit", "operating_profit", "pat")
@@ -318,6 +319,7 @@ def stated_forecast_query(spark, sf_dir):
 
 def number_tokens(text: Column) -> Column:
     """Numbers of prose as structs (token, magnitude, is_percent, is_integer); citation handles and units are no numbers."""
+    # fixed values: the forms of handles, units and numbers
     cleaned = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[C[0-9]+\]", " "), r"(?i)Rs\s*'?\s*000|Rupees in thousand|PKR", " ")
     tokens = F.transform(F.regexp_extract_all(cleaned, F.lit(r"-?[0-9][0-9,]*(?:\.[0-9]+)?\s*[%x]?"), F.lit(0)), lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
 
@@ -430,7 +432,11 @@ def author_names_query(spark, sf_dir):
 
 
 class _Cells(HTMLParser):
-    """Cells (table, row, column, header, text, link) of a page's tables; data-order stands for the text, data-name for the header."""
+    """Cells (table, row, column, header, text, link, tag) of a page's tables.
+
+    data-order stands for the text, data-name for the header; what an element of the class tag says
+    is the cell's tag and no part of its text.
+    """
 
     def __init__(self):
         super().__init__()
@@ -446,17 +452,24 @@ class _Cells(HTMLParser):
         elif tag in ("td", "th") and self.row >= 0:
             self._end()
             self.column += 1
-            self.cell = {"is_header": tag == "th", "name": own.get("data-name"), "order": own.get("data-order"), "link": None, "text": []}
-        elif tag == "a" and self.cell is not None:
-            self.cell["link"] = self.cell["link"] or own.get("href")
+            self.cell = {"is_header": tag == "th", "name": own.get("data-name"), "order": own.get("data-order"), "link": None, "text": [], "tag": None, "in_tag": None}
+        elif self.cell is not None:
+            if tag == "a":
+                self.cell["link"] = self.cell["link"] or own.get("href")
+            if self.cell["tag"] is None and "tag" in (own.get("class") or "").split():
+                self.cell["tag"], self.cell["in_tag"] = "", tag
 
     def handle_data(self, data):
-        if self.cell is not None:
+        if self.cell is not None and self.cell["in_tag"]:
+            self.cell["tag"] += data
+        elif self.cell is not None:
             self.cell["text"].append(data)
 
     def handle_endtag(self, tag):
         if tag in ("td", "th", "tr", "table"):
             self._end()
+        elif self.cell is not None and self.cell["in_tag"] == tag:
+            self.cell["in_tag"] = None
 
     def _end(self):
         if self.cell is None:
@@ -465,12 +478,12 @@ class _Cells(HTMLParser):
         if self.cell["is_header"]:
             self.headers[self.column] = self.cell["name"] or text
         else:
-            self.cells.append((self.table, self.row, self.column, self.headers.get(self.column), self.cell["order"] if self.cell["order"] is not None else text, self.cell["link"]))
+            self.cells.append((self.table, self.row, self.column, self.headers.get(self.column), self.cell["order"] if self.cell["order"] is not None else text, self.cell["link"], " ".join((self.cell["tag"] or "").split()) or None))
         self.cell = None
 
 
 def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, table, row, column, header, value, link): the body cells of each page's tables; a page without tables has none."""
+    """(id, table, row, column, header, value, link, tag): the body cells of each page's tables; a page without tables has none."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def parse(batches):
@@ -483,18 +496,18 @@ def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                 parser._end()
                 ids += [page] * len(parser.cells)
                 rows += parser.cells
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *columns], names=[id_col, "table", "row", "column", "header", "value", "link"])
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *columns], names=[id_col, "table", "row", "column", "header", "value", "link", "tag"])
 
-    return pages.select(id_col, html_col).mapInArrow(parse, f"`{id_col}` {kind}, table int, row int, column int, header string, value string, link string")
+    return pages.select(id_col, html_col).mapInArrow(parse, f"`{id_col}` {kind}, table int, row int, column int, header string, value string, link string, tag string")
 
 
 def typed_feed(found: DataFrame, columns: dict[str, tuple[str, str]], id_col: str = "page_id") -> DataFrame:
     """One row for each row of the tables with a column for each field: {field: (header, type)}; numbers lose commas, percent signs and brackets."""
     held = {f: F.max(F.when(F.lower("header") == h.lower(), F.col("value"))) for f, (h, _) in columns.items()}
-    rows = found.groupBy(id_col, "table", "row").agg(*(v.alias(f) for f, v in held.items()), F.max("link").alias("link"))
+    rows = found.groupBy(id_col, "table", "row").agg(*(v.alias(f) for f, v in held.items()), F.max("link").alias("link"), F.max("tag").alias("tag"))
     typed = [F.col(f) if t == "string" else (F.split(f, r"\s*,\s*") if t == "list" else money(F.col(f)).cast(t)).alias(f) for f, (_, t) in columns.items()]
-    return rows.select(id_col, "table", "row", *typed, "link")
+    return rows.select(id_col, "table", "row", *typed, "link", "tag")
 
 
 #: Headers of the feeds, by field.
@@ -510,9 +523,62 @@ def futures(rows: DataFrame) -> DataFrame:
 
 
 def announcements(rows: DataFrame) -> DataFrame:
-    """Announcements with the id of the document or attachment that they link to."""
+    """Announcements with the id of the document or attachment that they link to, and their tag as a status."""
     number = F.nullif(F.regexp_extract(F.coalesce("link", F.lit("")), r"/(?:document|attachment)/([0-9]+)", 1), F.lit("")).cast("long")
-    return rows.withColumn("document_id", number)
+    return rows.withColumns({"document_id": number, "status": F.col("tag")})
+
+
+def entries_total(page: Column) -> Column:
+    """How many entries a page says there are in all ("1 to 50 of 863 entries"), null where it doesn't."""
+    said = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?i)of\s+([0-9][0-9,]*)\s+entries", 1)
+    return F.when(said != "", F.replace(said, F.lit(","), F.lit("")).cast("long"))
+
+
+def _page(rows: DataFrame, of: str, heads: str, *cells: Column) -> DataFrame:
+    """A page (page_id, html) with a table for each value of `of`; its rows are as few as suppliers of a nation."""
+    row = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), c.cast("string")) for c in cells))
+    html = F.concat(F.lit(f"<table><tr>{''.join(f'<th>{h}' for h in heads.split('|'))}</tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table><p>1 to 5 of "), F.format_number(F.count("*") * 1_000, 0), F.lit(" entries"))
+    return rows.groupBy(F.col(of).cast("long").alias("page_id")).agg(html.alias("html"))
+
+
+@registry.add(
+    "announcement_feed",
+    """WITH n AS (SELECT s_nationkey, count(*) * 1000 AS entries FROM supplier GROUP BY ALL) SELECT CAST(s.s_nationkey AS BIGINT) AS page_id, 'May ' || s_suppkey % 28 AS date, 'Results of ' || s_name AS title, CASE WHEN s_suppkey % 5 = 0 THEN 'REVOKED' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS BIGINT) END AS document_id, entries FROM supplier s JOIN n USING (s_nationkey)""",
+)
+def announcement_feed(spark, sf_dir):
+    """Suppliers as announcements of their nation's page, some revoked, some with a document."""
+    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    tag = F.when(k % 5 == 0, F.lit("<span class='tag is-red'>REVOKED</span> ")).otherwise("")
+    title = F.concat(tag, F.lit("Results of "), "s_name", F.when(k % 2 == 0, F.concat(F.lit(" <a href='/download/attachment/"), k.cast("string"), F.lit("-1.pdf'></a>"))).otherwise(""))
+    pages = _page(s, "s_nationkey", "DATE|TIME|TITLE", F.concat(F.lit("May "), (k % 28).cast("string")), F.lit("9:00"), title)
+    found = announcements(typed_feed(table_cells(pages), ANNOUNCEMENTS))
+    return found.join(pages.select("page_id", entries_total(F.col("html")).alias("entries")), "page_id").select("page_id", "date", "title", "status", "document_id", "entries")
+
+
+@registry.add(
+    "screener_feed",
+    """SELECT CAST(s_nationkey AS BIGINT) AS page_id, 'S' || s_suppkey AS symbol, CAST(s_suppkey * 1500 AS DOUBLE) AS market_cap, round(s_acctbal, 2) AS price, -(s_suppkey % 7) / 10.0::DOUBLE AS change_pct, CAST(s_suppkey % 50 AS DOUBLE) AS change_1y_pct, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 30 AS DOUBLE) END AS pe, CAST(s_suppkey * 7000 AS DOUBLE) AS volume_30d FROM supplier""",
+)
+def screener_feed(spark, sf_dir):
+    """Suppliers as rows of a screener, some without a ratio."""
+    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    pages = _page(s, "s_nationkey", "SYMBOL|MARKET CAP|PRICE|CHANGE %|1-YEAR CHANGE %|PE RATIO|30D AVG VOLUME", F.concat(F.lit("S"), k.cast("string")), F.format_number(k * 1_500, 0), F.round("s_acctbal", 2).cast("decimal(18,2)"), F.concat(F.lit("-"), ((k % 7) / 10.0).cast("decimal(9,1)").cast("string"), F.lit("%")), F.concat((k % 50).cast("string"), F.lit("%")), F.when(k % 3 > 0, (k % 30).cast("string")).otherwise("-"), F.format_number(k * 7_000, 0))
+    rows = typed_feed(table_cells(pages), {f: SCREENER[f] for f in ("symbol", "market_cap", "price", "change_pct", "change_1y_pct", "pe", "volume_30d")})
+    return rows.select("page_id", "symbol", "market_cap", "price", "change_pct", "change_1y_pct", "pe", "volume_30d")
+
+
+@registry.add(
+    "sector_feed",
+    """SELECT CAST(n_regionkey AS BIGINT) AS page_id, '08' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS sector_code, n_name AS sector, count(*) FILTER (s_acctbal > 1000) AS advance, count(*) FILTER (s_acctbal < 0) AS decline, count(*) FILTER (s_acctbal BETWEEN 0 AND 1000) AS unchange, CAST(count(*) * 12345 AS DOUBLE) AS turnover FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL""",
+)
+def sector_feed(spark, sf_dir):
+    """Nations as sectors on their region's page: how many suppliers rose, fell or stood."""
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    b = F.col("s_acctbal")
+    by = s.groupBy("n_regionkey", "n_nationkey", "n_name").agg(F.count_if(b > 1000).alias("up"), F.count_if(b < 0).alias("down"), F.count_if(b.between(0, 1000)).alias("same"), F.count("*").alias("n"))
+    pages = _page(by, "n_regionkey", "SECTOR CODE|SECTOR NAME|ADVANCE|DECLINE|UNCHANGE|TURNOVER", F.concat(F.lit("08"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")), F.col("n_name"), F.col("up"), F.col("down"), F.col("same"), F.format_number(F.col("n") * 12_345, 0))
+    rows = typed_feed(table_cells(pages), {f: SECTOR_SUMMARY[f] for f in ("sector_code", "sector", "advance", "decline", "unchange", "turnover")})
+    return rows.select("page_id", "sector_code", "sector", "advance", "decline", "unchange", "turnover")
 
 
 @registry.add(

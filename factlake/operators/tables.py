@@ -81,12 +81,16 @@ def sheet_profile(spark, sf_dir):
     return filled.join(years, "sheet").select("sheet", "filled", "room", empty.alias("empty_share"), F.when(empty < 0.2, "output").otherwise("input").alias("kind"))
 
 
+#: Columns of the wide statement: all years that the given orders can have.
+STATEMENT_YEARS = range(1992, 2003)
+
+
 @registry.add(
     "wide_statement",
-    f"""WITH {FACTS_SQL} SELECT entity, metric, {", ".join(f"max(CASE WHEN year = {y} THEN value END) AS y{y}" for y in range(1992, 1999))} FROM facts GROUP BY ALL""",
+    f"""WITH {FACTS_SQL} SELECT entity, metric, {", ".join(f"max(CASE WHEN year = {y} THEN value END) AS y{y}" for y in STATEMENT_YEARS)} FROM facts GROUP BY ALL""",
 )
 def wide_statement(spark, sf_dir):
-    years = list(range(1992, 1999))
+    years = list(STATEMENT_YEARS)
     wide = facts(spark, sf_dir).groupBy("entity", "metric").pivot("year", years).agg(F.first("value"))
     return wide.select("entity", "metric", *(F.col(str(y)).alias(f"y{y}") for y in years))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import assignment, evidence, filters, guard, ingest, layout, listings, matching, news, reconcile, retrieval, rules, series, similar, tables, text, validation
+from .operators import asking, assignment, checks, citing, evidence, filters, guard, ingest, layout, listings, matching, news, reconcile, retrieval, rules, series, similar, tables, text, validation
 from .plans import formulas
 from .streaming import delivery, jobs, ordered
 
-REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry, evidence.registry, tables.registry, filters.registry, rules.registry, ingest.registry, matching.registry, listings.registry, similar.registry, assignment.registry, reconcile.registry, guard.registry, retrieval.registry, jobs.registry, ordered.registry, delivery.registry, layout.registry, news.registry)
+REGISTRIES = (formulas.registry, series.registry, validation.registry, text.registry, evidence.registry, tables.registry, filters.registry, rules.registry, ingest.registry, matching.registry, listings.registry, similar.registry, assignment.registry, reconcile.registry, guard.registry, retrieval.registry, jobs.registry, ordered.registry, delivery.registry, layout.registry, news.registry, asking.registry, citing.registry, checks.registry)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _registry in REGISTRIES:

@@ -120,9 +120,10 @@ def test_feeds(spark):
     assert rows(out, "symbol", "sector", "listed_in", "price", "change", "change_pct", "volume", "base", "contract") == [
         ("ASL-MAR", "0802", [""], -1.5, None, None, None, "ASL", "MAR"), ("MTL", "0801", ["ALLSHR", "KSE100"], 563.63, 5.26, 0.942, 146045, "MTL", None)
     ]
-    news = "<table><tr><th>DATE<th>TIME<th>TITLE</tr><tr><td>1 May<td>9:00<td><a href='/download/document/4711.pdf'>Results</a></tr></table>"
+    news = "<table><tr><th>DATE<th>TIME<th>TITLE</tr><tr><td>1 May<td>9:00<td><span class='tag red'>REVOKED </span><a href='/download/document/4711.pdf'>Results</a></tr></table>Showing 1 to 50 of 1,863 Entries"
     out = matching.announcements(matching.typed_feed(matching.table_cells(spark.createDataFrame([(1, news)], "page_id long, html string")), matching.ANNOUNCEMENTS))
-    assert rows(out, "date", "title", "document_id") == [("1 May", "Results", 4711)]
+    assert rows(out, "date", "title", "document_id", "status") == [("1 May", "Results", 4711, "REVOKED")]
+    assert [r.n for r in spark.createDataFrame([(news,), ("x",), (None,)], "h string").select(matching.entries_total(F.col("h")).alias("n")).collect()] == [1863, None, None]
 
 
 def test_questions_and_sectors(spark):

@@ -132,3 +132,15 @@ def test_manifests_and_traces(spark, tmp_path):
     path = str(tmp_path / "traces")
     assert write_traces(traces, 1, path, 4) and not write_traces(traces, 1, path, 4)
     assert read_batches(spark, path, "trace_id string, query string, plan map<string,int>, folder string", "folder", "json").count() == 30
+
+
+def test_narrative_pages(spark):
+    prose, table = "word " * 60, "1,234 5,678 " * 40 + "word " * 40
+    pages = [
+        ("d", 1, prose), ("d", 2, f"Directors' Report to the members\n{prose}"), ("d", 3, prose), ("d", 4, table), ("d", 5, "short"), ("d", 6, f"SHARE PRICES\n{prose}"), ("d", 7, prose), ("d", 8, f"Chairman's\nReview\n{prose}"), ("d", 9, f"{prose} Form of Proxy"), ("d", 10, prose),
+        ("d", 11, f"Strategy and risk\n{prose}"), ("d", 12, None), ("d", 13, f"{prose} more"), ("e", 1, f"risks and opportunities {'x' * 90}\n{prose}"), ("e", 2, f"\n\n  MD&A \n{prose}"),
+    ]
+    from factlake.operators.layout import narrative_pages
+
+    out = narrative_pages(spark.createDataFrame(pages, "doc string, page int, text string")).collect()
+    assert sorted((r.doc, r.page, r.section) for r in out) == [("d", 2, "Directors Report"), ("d", 3, "Directors Report"), ("d", 8, "Chairman Review"), ("d", 11, "Strategy"), ("d", 13, "Strategy"), ("e", 2, "Management Discussion & Analysis")]

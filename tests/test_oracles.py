@@ -11,7 +11,7 @@ from factlake.queries import QUERIES, SQL, entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Not expressible as SQL that both engines share; tested on their own.
-ALONE = {"sanitized_turns", "entity_resolution_fuzzy", "story_folding", "label_to_metric_fuzzy", "template_lines", "table_types", "label_to_metric_resolved", "entity_ladder", "template_matching", "independent_stories", "packed_paragraphs"}
+ALONE = {"sanitized_turns", "entity_resolution_fuzzy", "story_folding", "label_to_metric_fuzzy", "template_lines", "table_types", "label_to_metric_resolved", "entity_ladder", "template_matching", "independent_stories", "packed_paragraphs", "relevant_insights"}
 
 
 @pytest.fixture(scope="module")
