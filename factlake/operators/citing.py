@@ -91,7 +91,7 @@ def yearly_companies(cells: DataFrame) -> DataFrame:
     l AS (SELECT entity, metric, value_year AS year, report_year, length(metric) % 3 AS k, 'note ' || length(metric) % 4 AS sheet FROM obs WHERE length(metric) % 3 < 2),
     d AS (SELECT f.fact_id, 'direct' AS basis, l.report_year, l.sheet, CAST(1 AS BIGINT) AS "rows", 0.9::DOUBLE AS confidence FROM f JOIN l ON f.k = 0 AND l.k = 0 AND l.entity = f.entity AND l.metric = f.metric AND l.year = f.year),
     m AS (SELECT f.fact_id, l.report_year, l.sheet, l.metric = f.metric AS same FROM f JOIN l ON f.k = 1 AND l.entity = f.entity AND l.year = f.year AND l.sheet = 'note ' || length(f.metric) % 4),
-    b AS (SELECT *, bool_or(same) OVER (PARTITION BY fact_id) AS some FROM m), s AS (SELECT * FROM b WHERE same OR NOT some QUALIFY report_year = max(report_year) OVER (PARTITION BY fact_id)),
+    b AS (SELECT *, bool_or(same) OVER (PARTITION BY fact_id) AS any_same FROM m), s AS (SELECT * FROM b WHERE same OR NOT any_same QUALIFY report_year = max(report_year) OVER (PARTITION BY fact_id)),
     v AS (SELECT fact_id, 'via_detail' AS basis, report_year, sheet, count(*) AS "rows", 0.8::DOUBLE AS confidence FROM s GROUP BY ALL)
     SELECT * FROM d UNION ALL SELECT * FROM v UNION ALL SELECT fact_id, 'workbook', NULL, 'sheet ' || metric, 0, NULL FROM f WHERE fact_id NOT IN (SELECT fact_id FROM d) AND fact_id NOT IN (SELECT fact_id FROM v)""",
 )
@@ -118,7 +118,7 @@ def yearly_sheet_companies(spark, sf_dir):
     base = F.col("n_nationkey") * 1_000_000 + 10
     cell = lambda row, col, text: F.struct(row.cast("long").alias("row"), F.lit(col).alias("col"), text.cast("string").alias("text"))
     head = lambda row, *texts: [cell(F.lit(row), c, F.lit(t)) for c, t in enumerate(texts) if t]
-    company = F.array(cell(base + F.col("s_suppkey"), 0, F.col("s_suppkey")), cell(base + F.col("s_suppkey"), 1, F.concat(F.lit("S"), F.col("s_suppkey"))), cell(base + F.col("s_suppkey"), 2, F.col("s_name")), cell(base + F.col("s_suppkey"), 3, F.format_number("s_acctbal", 2)), cell(base + F.col("s_suppkey"), 4, F.lit("n.a.")))
+    company = F.array(cell(base + 1 + F.col("s_suppkey"), 0, F.col("s_suppkey")), cell(base + 1 + F.col("s_suppkey"), 1, F.concat(F.lit("S"), F.col("s_suppkey"))), cell(base + 1 + F.col("s_suppkey"), 2, F.col("s_name")), cell(base + 1 + F.col("s_suppkey"), 3, F.format_number("s_acctbal", 2)), cell(base + 1 + F.col("s_suppkey"), 4, F.lit("n.a.")))
     top = F.array(cell(F.lit(1), 0, F.concat(F.lit("Data for the year "), (F.col("n_regionkey") + 1990).cast("string"))), *head(4, "Sr. No.", "Symbol", "Name of  Company", "Total Assets", "Sales / Total Income", "other"), cell(base, 2, F.col("n_name")))
     cells = s.select(file, F.explode(company).alias("c")).unionByName(s.select(file, F.explode(top).alias("c")).distinct()).select("file", "c.*")
     return yearly_companies(cells).select("file", "fiscal_year", "sector", "symbol", "name", F.round("total_assets", 2).alias("total_assets"), "sales")

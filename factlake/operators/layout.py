@@ -222,12 +222,12 @@ def narrative_pages(pages: DataFrame, sections: dict[str, tuple[str, ...]] = SEC
 
 @registry.add(
     "narrative_pages",
-    """WITH d AS (SELECT source AS doc, doc_id AS page, CASE doc_id % 6 WHEN 0 THEN 'Future Outlook' || chr(10) WHEN 1 THEN 'NOTES AND RATIOS' || chr(10) WHEN 2 THEN 'Chairman''s' || chr(10) || 'Review' || chr(10) ELSE 'going on, ' END || coalesce(text, '') AS text, doc_id % 6 AS k FROM documents WHERE source IS NOT NULL),
+    """WITH d AS (SELECT source AS doc, doc_id AS page, CASE doc_id % 6 WHEN 0 THEN 'Future Outlook' || chr(10) WHEN 1 THEN 'NOTES AND RATIOS' || chr(10) WHEN 2 THEN 'Chairman''s' || chr(10) || 'Review' || chr(10) ELSE 'going on as the pages before it did, ' END || coalesce(text, '') AS text, doc_id % 6 AS k FROM documents WHERE source IS NOT NULL),
     e AS (SELECT *, CASE k WHEN 0 THEN 'Outlook' WHEN 1 THEN '' WHEN 2 THEN 'Chairman Review' END AS event, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')) AS digits FROM d),
     c AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page) AS section FROM e) SELECT doc, page, section FROM c WHERE section <> '' AND letters >= 120 AND digits <= 0.35 * (letters + digits)""",
 )
 def narrative_pages_query(spark, sf_dir):
     """Documents of a source as pages of one report, a third of them with headings."""
     d, k = read(spark, sf_dir, "documents").where("source IS NOT NULL"), F.col("doc_id") % 6
-    head = F.when(k == 0, "Future Outlook\n").when(k == 1, "NOTES AND RATIOS\n").when(k == 2, "Chairman's\nReview\n").otherwise("going on, ")
+    head = F.when(k == 0, "Future Outlook\n").when(k == 1, "NOTES AND RATIOS\n").when(k == 2, "Chairman's\nReview\n").otherwise("going on as the pages before it did, ")
     return narrative_pages(d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))).select("doc", "page", "section")

@@ -562,7 +562,7 @@ def announcement_feed(spark, sf_dir):
 def screener_feed(spark, sf_dir):
     """Suppliers as rows of a screener, some without a ratio."""
     s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    pages = _page(s, "s_nationkey", "SYMBOL|MARKET CAP|PRICE|CHANGE %|1-YEAR CHANGE %|PE RATIO|30D AVG VOLUME", F.concat(F.lit("S"), k.cast("string")), F.format_number(k * 1_500, 0), F.round("s_acctbal", 2).cast("decimal(18,2)"), F.concat(F.lit("-"), ((k % 7) / 10.0).cast("decimal(9,1)").cast("string"), F.lit("%")), F.concat((k % 50).cast("string"), F.lit("%")), F.when(k % 3 > 0, (k % 30).cast("string")).otherwise("-"), F.format_number(k * 7_000, 0))
+    pages = _page(s, "s_nationkey", "SYMBOL|MARKET CAP|PRICE|CHANGE %|1-YEAR CHANGE %|PE RATIO|30D AVG VOLUME", F.concat(F.lit("S"), k.cast("string")), F.format_number(k * 1_500, 0), F.round("s_acctbal", 2).cast("decimal(18,2)"), F.concat(F.when(k % 7 > 0, "-").otherwise(""), ((k % 7) / 10.0).cast("decimal(9,1)").cast("string"), F.lit("%")), F.concat((k % 50).cast("string"), F.lit("%")), F.when(k % 3 > 0, (k % 30).cast("string")).otherwise("-"), F.format_number(k * 7_000, 0))
     rows = typed_feed(table_cells(pages), {f: SCREENER[f] for f in ("symbol", "market_cap", "price", "change_pct", "change_1y_pct", "pe", "volume_30d")})
     return rows.select("page_id", "symbol", "market_cap", "price", "change_pct", "change_1y_pct", "pe", "volume_30d")
 
