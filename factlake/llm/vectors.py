@@ -1,8 +1,10 @@
 """Embedding near-dedup by lattice hashing: E8 cells of random projections, probed and verified.
 
-Each table projects unit vectors to eight dimensions and decodes them to the nearest point of
-the E8 lattice. A vector stands in its own cell and probes the neighbouring cells nearest to
-it. In each cell signs of random projections, sixteen bytes a vector, rule most pairs out;
+Each table projects unit vectors to eight dimensions, or to several times eight, and decodes each
+eight to the nearest point of the E8 lattice. A vector stands in its own cell and probes the
+neighbouring cells nearest to it. How fine cells are, and how many tables it takes to find a
+stated share of the pairs at the threshold, follows from the number of vectors by one formula: the
+least expected work, so the share of pairs that meet falls as the vectors become more. In each cell signs of random projections, sixteen bytes a vector, rule most pairs out;
 vectors go only to cells where they have a partner left, and pairs are compared there by
 cosine in double precision.
 """
@@ -11,6 +13,8 @@ from __future__ import annotations
 
 from functools import cache
 from itertools import combinations, product
+from math import acos, ceil, comb, log, log1p, pi
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +25,16 @@ from .common import components, discard, groups, offered, table, whole_groups, w
 
 #: Cells of a vector in each table, its own and probes.
 CELLS = 4
-#: (distinct vectors up to which it holds, tables, size of unit vectors in the lattice): more vectors, finer cells.
-LATTICES = ((100_000, 16, 2.5), (float("inf"), 24, 3.0))
-#: Signs of a vector, and how many of them may differ: at cosine 0.93 more do with a probability of 1e-10.
-SIGNS, MOST_DIFFERENT = 128, 40
+#: Share of the pairs at the threshold that meet in a table at least, sizes of unit vectors in the lattice and lattices of a cell to choose from.
+RECALL, SCALES, DEPTHS = 0.997, (2.0, 2.5, 3.0, 3.5), (1, 2, 3)
+#: Random pairs of which one probes the other's cell, for cells of one lattice at scale 2.5, and how they fall with the scale.
+MEET, FALL = 2.5e-4, 7.6
+#: What it costs to send a vector to a cell, in comparisons of signs there.
+CELL_COST = 8
+#: Signs of a vector, and the probability that a pair at the threshold differs in more than are allowed.
+SIGNS, MISSED_BY_SIGNS = 128, 1e-10
+#: Tables that are still worth their memory.
+MOST_TABLES = 400
 #: Members of a cell that one block compares at about most.
 BLOCK = 1_024
 
@@ -42,12 +52,60 @@ def roots() -> np.ndarray:
     return np.array(found)
 
 
+class Lattice(NamedTuple):
+    """Tables of cells, the size of unit vectors in them, and the lattices that a cell is made of."""
+
+    tables: int
+    scale: float
+    depth: int
+
+
+@cache
+def meeting(scale: float, depth: int, least: float, dim: int) -> float:
+    """The share of pairs at the threshold that meet in one table, from pairs of a fixed seed."""
+    rng, n, tables = np.random.default_rng(8_242), 1_000, 4
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = least * a + np.sqrt(1 - least**2) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    x, y = (cells(v, Lattice(tables, scale, depth)) for v in (a, b))
+    return float(((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).mean())
+
+
+@cache
+def lattice_for(vectors: int, least: float, dim: int) -> Lattice:
+    """The lattice with the least expected work for so many vectors that finds RECALL of the pairs at the threshold.
+
+    Work is tables times the cells and the random vectors that a vector meets in one. dim: the
+    vectors' length, with 64 as another, the harder of the two counts.
+    """
+    found = []
+    for depth, scale in product(DEPTHS, SCALES):
+        p = min(meeting(scale, depth, least, d) for d in {max(dim, 2), 64})
+        if p > 0:
+            tables = 1 if p >= RECALL else ceil(log(1 - RECALL) / log1p(-p))
+            q = MEET * (2.5 / scale) ** FALL
+            found.append((tables * (CELLS * CELL_COST + vectors * q * (q / CELLS) ** (depth - 1)), Lattice(tables, scale, depth)))
+    if not found or min(found)[1].tables > MOST_TABLES:
+        raise ValueError(f"pairs at a cosine of {least} are too far apart for lattice cells")
+    return min(found)[1]
+
+
+@cache
+def most_different(least: float) -> int:
+    """Signs that may differ: at the threshold more do with a probability of MISSED_BY_SIGNS at most."""
+    p, tail, k = acos(max(-1.0, min(1.0, least))) / pi, 0.0, SIGNS
+    while k > 0 and (tail := tail + comb(SIGNS, k) * p**k * (1 - p) ** (SIGNS - k)) <= MISSED_BY_SIGNS:
+        k -= 1
+    return k
+
+
 @cache
-def projections(dim: int, tables: int, scale: float) -> list[np.ndarray]:
-    """A dim x 8 matrix for each table, with orthogonal columns where dim allows."""
-    rng = np.random.default_rng(8_240)
-    raw = [rng.standard_normal((max(dim, 8), 8)) for _ in range(tables)]
-    return [np.linalg.qr(r)[0][:dim] * np.sqrt(max(dim, 8) / 8) * scale for r in raw]
+def projections(dim: int, tables: int, scale: float, depth: int) -> list[np.ndarray]:
+    """A dim x 8 depth matrix for each table, with orthogonal columns where dim allows."""
+    rng, wide = np.random.default_rng(8_240), 8 * depth
+    raw = [rng.standard_normal((max(dim, wide), wide)) for _ in range(tables)]
+    return [np.linalg.qr(r)[0][:dim] * np.sqrt(max(dim, wide) / 8) * scale for r in raw]
 
 
 @cache
@@ -86,15 +144,30 @@ def _codes(points: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
-def cells(unit: np.ndarray, tables: int, scale: float) -> np.ndarray:
-    """Codes (vectors, tables, CELLS): each vector's own cell, then the nearest of its neighbours."""
-    out = np.empty((len(unit), tables, CELLS), np.int64)
-    for t, p in enumerate(projections(unit.shape[1], tables, scale)):
-        x = unit @ p
-        own = decode(x)
-        nearest = np.argpartition((own - x) @ roots().T, CELLS - 1, axis=1)[:, : CELLS - 1]
-        out[:, t, 0] = _codes(own)
-        out[:, t, 1:] = _codes(own[:, None, :] + roots()[nearest])
+def _joined(codes: np.ndarray) -> np.ndarray:
+    """One code for the codes of the lattices of a cell, along the last axis."""
+    out = np.zeros(codes.shape[:-1], np.uint64)
+    for k in range(codes.shape[-1]):
+        out = (out ^ codes[..., k].view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def cells(unit: np.ndarray, lattice: Lattice) -> np.ndarray:
+    """Codes (vectors, tables, CELLS): each vector's own cell, then the nearest of those with a neighbour in one lattice."""
+    n, depth = len(unit), lattice.depth
+    out, every = np.empty((n, lattice.tables, CELLS), np.int64), np.arange(n)
+    for t, p in enumerate(projections(unit.shape[1], *lattice)):
+        x = (unit @ p).reshape(n, depth, 8)
+        own = decode(x.reshape(-1, 8)).reshape(n, depth, 8)
+        codes = np.ascontiguousarray(_codes(own))
+        nearest = np.argpartition(((own - x) @ roots().T).reshape(n, -1), CELLS - 1, axis=1)[:, : CELLS - 1]
+        out[:, t, 0] = _joined(codes)
+        for k in range(CELLS - 1):
+            which, step = np.divmod(nearest[:, k], len(roots()))
+            other = codes.copy()
+            other[every, which] = _codes(own[every, which] + roots()[step])
+            out[:, t, k + 1] = _joined(other)
         out[:, t] ^= np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF).astype(np.int64)
     return out
 
@@ -150,7 +223,7 @@ def links_in_cell(number: int, rep, n, unit, codes, left, right, at_home, least:
         yield int(rep[k]), int(rep[order[low[k]]]), int(links[k])
 
 
-def _screened(left, right, rep, sign, group) -> np.ndarray:
+def _screened(left, right, rep, sign, group, most: int) -> np.ndarray:
     """Which members have a partner in their group that signs don't rule out; groups are consecutive."""
     held = np.zeros(len(rep), bool)
     size = np.bincount(group)
@@ -160,13 +233,13 @@ def _screened(left, right, rep, sign, group) -> np.ndarray:
         j = i + d
         meets = ((left[i] & right[j]) | (left[j] & right[i])) & (rep[i] != rep[j])
         i, j = i[meets], j[meets]
-        near = np.bitwise_count(sign[i] ^ sign[j]).sum(1) <= MOST_DIFFERENT
+        near = np.bitwise_count(sign[i] ^ sign[j]).sum(1) <= most
         held[i[near]] = held[j[near]] = True
     for g in np.flatnonzero(size > 64):
         own = np.flatnonzero(group == g)
         rights = own[right[own]]
         for i in own[left[own]].tolist():
-            near = rights[(np.bitwise_count(sign[rights] ^ sign[i]).sum(1) <= MOST_DIFFERENT) & (rep[rights] != rep[i])]
+            near = rights[(np.bitwise_count(sign[rights] ^ sign[i]).sum(1) <= most) & (rep[rights] != rep[i])]
             if len(near):
                 held[i] = held[near] = True
     return held
@@ -198,15 +271,16 @@ def near_vectors(
     members of linked classes. Vectors that are null, empty or zero or hold null or non-finite
     components link with nothing and are their own component; so do those with a null id,
     whose component is null. Repeated ids are vectors of their own. Other columns are not read.
-    The screen by signs is made for least >= 0.93.
+    The lattice and the screen by signs follow from least and from the number of vectors; a least
+    for which no lattice will do raises an error.
     """
     number = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     source = source.withColumn("good", F.coalesce(good & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
     classes = written(source.where("good").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    total = classes.count()
-    tables, scale = next((t, s) for most, t, s in LATTICES if total <= most)
+    size = classes.agg(F.count("*").alias("n"), F.coalesce(F.min(F.size("v")), F.lit(64)).alias("dim")).first()
+    lattice, most = lattice_for(size["n"], least, size["dim"]), most_different(least)
 
     def hashed(batches):
         for batch in batches:
@@ -215,7 +289,7 @@ def near_vectors(
             for dim in {len(v) for v in values}:
                 own = [k for k, v in enumerate(values) if len(v) == dim]
                 unit = unit_vectors([values[k] for k in own])
-                for k, c, b in zip(own, cells(unit, tables, scale).reshape(len(own), -1), signs(unit), strict=True):
+                for k, c, b in zip(own, cells(unit, lattice).reshape(len(own), -1), signs(unit), strict=True):
                     codes[k], sign[k] = c.tolist(), b.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64())), pa.array(sign, pa.binary())], names=[*batch.schema.names, "codes", "sign"])
 
@@ -232,7 +306,7 @@ def near_vectors(
             sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint64).reshape(len(rep), -1)
             new = np.zeros(len(rep), bool)
             new[1:] = (place[1:] != place[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-            held = _screened(left, right, rep, sign, np.cumsum(new))
+            held = _screened(left, right, rep, sign, np.cumsum(new), most)
             yield from rows.select(["rep", "place"]).filter(pa.array(held)).to_batches()
 
     marks = _in_blocks(placed, large).mapInArrow(screen, "rep long, place long").groupBy("rep").agg(F.collect_set("place").alias("marks"))
@@ -248,7 +322,7 @@ def near_vectors(
             for one in set(kinds):  # places are hashes, so other labels may share one
                 own = members.filter(pa.array([k == one for k in kinds])) if len(set(kinds)) > 1 else members
                 rep, n, at_home, left, right = (own.column(c).to_numpy() for c in ("rep", "n", "at_home", "is_left", "is_right"))
-                codes = np.array(own.column("codes").to_pylist(), np.int64).reshape(-1, tables, CELLS)
+                codes = np.array(own.column("codes").to_pylist(), np.int64).reshape(-1, lattice.tables, CELLS)
                 out = list(links_in_cell(own.column("number")[0].as_py(), rep, n, unit_vectors(own.column("v").to_pylist()), codes, left, right, at_home, least))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "root", "links"])
