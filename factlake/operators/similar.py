@@ -6,6 +6,9 @@ one if the pair is to reach the threshold (a prefix filter); strings too short f
 indexed by their rarest letters, which holds for every length. What the index brings together is
 then compared exactly. For token_set, which a few shared words can satisfy, words that a string
 needs for that are indexed too.
+
+Where only the nearest few count and the threshold is low, no index is selective: `nearest_names` lays
+strings and names out as a grid of cells and bounds all scores of a cell by matrix products.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from math import ceil, floor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +37,10 @@ RESOLVED, REVIEW, QUARANTINED, RIVAL = 0.88, 0.70, 0.62, 0.05
 #: Most frequent features that are put last; all others count as rare.
 FREQUENT = 2_000
 SCORES = {"ratio": S.ratio, "token_sort": S.token_sort, "token_set": S.token_set}
+#: Most strings and names that a cell of nearest_names has on average, and fewest strings worth a cell of their own.
+CELL_STRINGS, CELL_NAMES, LEAST_STRINGS = 8_192, 65_536, 256
+#: Names of a tile, strings compared with tiles at once, names that a rare word may be in, and how often a letter is counted.
+TILE, CHUNK, RARE, DEEP = 128, 64, 64, 16
 
 
 def _features(text: str, kind: str) -> tuple[int, list[str], list[str], list[str]]:
@@ -123,6 +131,106 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, kind: str = "
     return met.withColumn("score", SCORES[kind](F.col("a"), F.col("b"))).where(F.col("score") >= least)
 
 
+def _unary(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(a 0 or 1 for the first, second, ... of each class of letters, letters beyond DEEP of their class): products of rows count what two texts share at most."""
+    counts = np.zeros((len(texts), 97), np.int32)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    np.add.at(counts, (np.repeat(np.arange(len(texts)), [len(t) for t in texts]), letters % 97), 1)
+    return (counts[:, :, None] > np.arange(DEEP)).reshape(len(texts), -1), np.maximum(counts - DEEP, 0).sum(1)
+
+
+def _nearest(asked: list[str], names: list[str], least: float, within: float, most: int):
+    """(string, name, score) of each string's nearest names in this cell, as nearest_names has them."""
+    alike = lambda texts: sorted((t for t in texts if t.split()), key=lambda t: "".join(sorted(t, reverse=True)))
+    asked, names = alike(asked), alike(names)  # of letters alike, so that whole tiles fall out
+    if not asked or not names:
+        return
+    plain = [[" ".join(sorted(set(t.split()))) for t in texts] for texts in (asked, names)]
+    (q, tail), (n, _) = _unary(plain[0]), _unary(plain[1])
+    used = q.any(0) & n.any(0)
+    q, n = q[:, used].astype(np.float32), n[:, used]
+    q_len, n_len = (np.array([len(t) for t in texts], np.float32) for texts in plain)
+    held: dict[str, list[int]] = {}
+    for i, t in enumerate(plain[1]):
+        for w in t.split(" "):
+            held.setdefault(w, []).append(i)
+    common = sorted(w for w, at in held.items() if len(at) > RARE)  # other words lead to their few names
+    tiles = np.arange(0, len(names), TILE)
+    n_any, least_len = np.maximum.reduceat(n, tiles, 0).astype(np.float32), np.minimum.reduceat(n_len, tiles)
+
+    for start in range(0, len(asked), CHUNK):
+        part = range(start, min(start + CHUNK, len(asked)))
+        words = [set(plain[0][i].split(" ")) for i in part]
+        best: list[list[tuple[float, str]]] = [[] for _ in part]
+        floor, met = np.full(len(part), least), [set() for _ in part]
+
+        def compare(k, i):
+            met[k].add(i)
+            score = S.token_set_of(asked[start + k], names[i])
+            if score >= floor[k]:
+                best[k] = sorted([*best[k], (-score, names[i])])[:most]
+                floor[k] = max(least, -best[k][0][0] - within, -best[k][-1][0] if len(best[k]) == most else least)
+
+        for k, own in enumerate(words):
+            for i in {i for w in own for i in held.get(w, ()) if len(held[w]) <= RARE}:
+                compare(k, i)
+        here = [w for w in common if any(w in own for own in words)]
+        shares = np.array([[len(w) + 1 if w in own else 0 for w in here] for own in words], np.float32).reshape(len(part), len(here))
+        has = np.zeros((len(names), len(here)), bool)
+        for at, w in enumerate(here):
+            has[held[w], at] = True
+        mine, over, own_len = q[part.start : part.stop], tail[part.start : part.stop, None].astype(np.float32), q_len[part.start : part.stop, None]
+
+        def bound(letters, held_words, lengths):
+            """No score is above this: letters in common over both lengths, or the shared words over the shorter side."""
+            by_letters = 200 * (mine @ letters.T + over) / (own_len + lengths)
+            shared = np.maximum(shares @ held_words.T - 1, 0)
+            return np.maximum(by_letters, 200 * shared / (shared + np.minimum(own_len, lengths)))
+
+        rough = bound(n_any, np.maximum.reduceat(has, tiles, 0).astype(np.float32), least_len)
+        open_tiles = tiles[(rough >= floor[:, None] - 1e-3).any(0)]
+        for first in range(0, len(open_tiles), 64):
+            at = (open_tiles[first : first + 64, None] + np.arange(TILE)).ravel()
+            at = at[at < len(names)]
+            fine = bound(n[at].astype(np.float32), has[at].astype(np.float32), n_len[at])
+            ks, js = np.nonzero(fine >= floor[:, None] - 1e-3)
+            ub = fine[ks, js]
+            for o in np.lexsort((-ub, ks)).tolist():  # the likeliest first, so that the floor rises early
+                k, i = int(ks[o]), int(at[js[o]])
+                if ub[o] >= floor[k] - 1e-3 and i not in met[k]:
+                    compare(k, i)
+        for k, found in enumerate(best):
+            yield from ((asked[start + k], name, -score) for score, name in found if -score >= floor[k])
+
+
+def nearest_names(left: DataFrame, right: DataFrame, least: float, within: float, most: int = 5) -> DataFrame:
+    """(a, b, score): for each string of left the `most` names of right that token_set has nearest, of those with a score of least or more and no more than `within` below the best.
+
+    Equal scores go by name. Strings and names are dealt by hash into a grid whose cells have a
+    bounded size; each cell bounds all its scores by the letters and frequent words in common, for
+    tiles of like names first, and scores what may still be among the nearest. A cell gives out its
+    nearest only, so what is sorted in the end is a few rows for each string and column of cells.
+    The work is that of all pairs at worst, some nanoseconds each.
+    """
+    one = lambda df, c: df.select(F.col(df.columns[0]).alias(c)).where(f"{c} <> ''").distinct()
+    a, b = one(left, "a"), one(right, "b")
+    n_a, n_b = a.count(), b.count()
+    rows, columns = max(ceil(n_a / CELL_STRINGS), min(64, ceil(n_a / LEAST_STRINGS)), 1), max(ceil(n_b / CELL_NAMES), 1)
+    dealt = lambda df, c, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(c), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    cells = min(rows * columns, 4_000)
+    x = dealt(a, "a", "row", rows, "column", columns).repartition(cells, "row", "column")
+    y = dealt(b, "b", "column", columns, "row", rows).repartition(cells, "row", "column")
+
+    def compared(strings: pa.Table, names: pa.Table) -> pa.Table:
+        found = list(_nearest(strings.column("a").to_pylist(), names.column("b").to_pylist(), least, within, most))
+        return pa.table({c: pa.array([f[i] for f in found], t) for i, (c, t) in enumerate((("a", pa.string()), ("b", pa.string()), ("score", pa.float64())))})
+
+    met = x.groupBy("row", "column").cogroup(y.groupBy("row", "column")).applyInArrow(compared, "a string, b string, score double")
+    w = W.partitionBy("a")
+    ranked = met.withColumns({"best": F.max("score").over(w), "at": F.row_number().over(w.orderBy(F.desc("score"), "b"))})
+    return ranked.where((F.col("at") <= most) & (F.col("score") >= F.col("best") - (within + 1e-9))).select("a", "b", "score")
+
+
 def resolve_labels(labels: DataFrame, known: DataFrame, least: float = 90.0, kind: str = "ratio") -> DataFrame:
     """(label, metric, score, method) of distinct labels (label) by names (name, metric); null metric where none fits.
 
@@ -153,8 +261,7 @@ def resolve_entities(asked: DataFrame, entities: DataFrame, aliases: DataFrame,
     the best of the five most similar names and aliases by token_set. Another ticker among those
     five within 0.05 of the best makes it REVIEW with both as candidates; else 0.88 is RESOLVED,
     0.70 REVIEW, less QUARANTINED, without a ticker. Equal scores go by name, then ticker. Where
-    no similarity reaches 0.62 the confidence is 0. Names that many queries don't reach at a high
-    similarity are looked for at lower ones, so most queries never meet the wide index.
+    no similarity reaches 0.62 the confidence is 0.
     """
     norm = lambda c: F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
     q = asked.select("query", F.trim("query").alias("bare"), norm(F.col("query")).alias("key")).distinct()
@@ -175,14 +282,10 @@ def resolve_entities(asked: DataFrame, entities: DataFrame, aliases: DataFrame,
     )
     q = q.withColumns({"rung": rung, "lowered": F.lower("bare")})
     names = entities.select("ticker", F.lower("name").alias("name")).unionByName(aliases.select("ticker", F.lower("alias").alias("name"))).distinct()
-    left, found = q.where("rung IS NULL").select("lowered").distinct(), None
-    for sure in (93.0, 75.0, 100 * QUARANTINED):
-        pairs = similar_pairs(left, names.select("name"), sure - 100 * RIVAL, "token_set").join(names, F.col("b") == F.col("name"))
-        place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "name", "ticker"))
-        near = pairs.withColumn("place", place).where("place <= 5").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("place", "score", "ticker"))).alias("near"))
-        near = near.where(F.col("near")[0]["score"] >= sure)
-        found = near if found is None else found.unionByName(near)
-        left = left.join(near.select(F.col("a").alias("lowered")), "lowered", "left_anti")
+    pairs = nearest_names(q.where("rung IS NULL").select("lowered"), names.select("name"), 100 * (QUARANTINED - RIVAL), 100 * RIVAL).join(names, F.col("b") == F.col("name"))
+    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "name", "ticker"))
+    found = pairs.withColumn("place", place).where("place <= 5").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("place", "score", "ticker"))).alias("near"))
+    found = found.where(F.col("near")[0]["score"] >= 100 * QUARANTINED)
     out = q.join(found, (F.col("lowered") == F.col("a")) & F.col("rung").isNull(), "left")
     top, score = F.col("near")[0], F.coalesce(F.col("near")[0]["score"] / 100, F.lit(0.0))
     rival = F.filter("near", lambda x: (x["ticker"] != top["ticker"]) & (score - x["score"] / 100 <= RIVAL + 1e-12))

@@ -118,3 +118,21 @@ def test_fuzzy_rung_matches_a_plain_loop(spark):
     out = resolve_entities(spark.createDataFrame([(a,) for a in asked], "query string"), spark.createDataFrame(entities, "ticker string, name string"), spark.createDataFrame(aliases, "ticker string, alias string"))
     assert {r.query: (r.ticker, r.state, list(r.candidates)) for r in out.collect() if r.query in want} == want
     assert len({s for _, s, _ in want.values()}) == 3
+
+
+@pytest.mark.parametrize("cells", [(8_192, 65_536, 256, 64), (40, 30, 10, 2)])
+def test_nearest_names_match_all_pairs(spark, monkeypatch, cells):
+    for name, value in zip(("CELL_STRINGS", "CELL_NAMES", "LEAST_STRINGS", "RARE"), cells, strict=True):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(11)
+    known = sorted({f"nation {rng.randrange(6)} {rng.randrange(60):09d} works limited" for _ in range(90)} | {f"works s{i}" for i in range(60)} | set(names(rng, 40)) | {"a" * 40, "aa " * 30 + "b"})
+    asked = sorted({bent(rng, n) for n in known} | {f"customer#{i:09d}" for i in range(40)} | {n.replace("limited", "ltd") for n in known} | {" ", "a" * 33, "übertrag" * 9})
+    got = {}
+    for r in similar.nearest_names(spark.createDataFrame([(x,) for x in [*asked, "", None]], "x string"), spark.createDataFrame([(x,) for x in [*known, *known[:9], None]], "y string"), 57.0, 5.0).collect():
+        got.setdefault(r.a, []).append((-r.score, r.b))
+    want = {}
+    for a in asked:
+        near = sorted((-s, b) for b in known if (s := token_set_of(a, b)) >= 57.0)[:5]
+        if near:
+            want[a] = [(s, b) for s, b in near if s <= near[0][0] + 5.0]
+    assert {a: sorted(found) for a, found in got.items()} == want and len(want) > 150
