@@ -13,6 +13,7 @@ from itertools import product
 from math import prod
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..registry import Registry
 from ..sources.bridge import OBS_SQL, observations, read
+from ..sources.scratch import saved
 
 registry = Registry()
 
@@ -139,41 +141,74 @@ def _tied(stated: dict[int, float], summed: dict[int, tuple[float, int]]) -> lis
     return out
 
 
+_LINE = ["sheet", "ord", "label", "role", "contra", "components"]
+#: Kinds of lines for the fold, negative for contra rows; what has a value and is nothing else is a leaf.
+SECTION, VALUED, TOTAL = 1, 2, 3
+
+
+def _folded(known: DataFrame) -> DataFrame:
+    """The lines of known (_LINE, year, value, kind, parts), which lie by sheet, through _follow; labels go along for totals only."""
+    code = F.when(F.col("kind") == "section", SECTION).when(F.col("kind") == "valued", VALUED).otherwise(TOTAL)
+    code = F.when(F.col("contra") & (F.col("kind") != "section"), -code).otherwise(code)
+    slim = known.select("sheet", "ord", F.xxhash64("ord", "label", "role", "contra", "components").alias("line"), F.when((F.col("kind") == "total") & F.col("ord").isNotNull(), F.col("label")).alias("label"), code.alias("kind"), "parts", "year", "value")
+    out = slim.sortWithinPartitions("sheet", "ord", "line", "year").mapInArrow(_follow, "sheet string, ord long, label string, method string, year int, stated double, computed double, contributors long, state string")
+    return out.where("label IS NOT NULL")  # rows without a place count first, but none of them is given out
+
+
 def _follow(batches):
-    """The rows of sheets in order, folded with two running sums: leaves since the last total or header, and open subtotals."""
+    """The lines of sheets in order, a row for each year, folded with two running sums: leaves since the last total or header, and open subtotals."""
     sheet, leaves, totals = None, _Running(), _Running()
-    kinds = [("sheet", pa.string()), ("ord", pa.int64()), ("method", pa.string()), ("year", pa.int32()), ("stated", pa.float64()), ("computed", pa.float64()), ("contributors", pa.int64()), ("state", pa.string())]
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            if r["sheet"] != sheet:
-                sheet, leaves, totals = r["sheet"], _Running(), _Running()
-            values = {int(y): v for y, v in json.loads(r["by_year"]).items() if v is not None}
-            sign = -1 if r["contra"] else 1
-            if r["kind"] == "section":
-                leaves = _Running()
-            elif r["kind"] == "leaf":
-                leaves.add(sign, values)
-            if r["kind"] != "total":
-                continue
-            own = _Running()
-            own.add(sign, values)
-            if r["parts"] is not None:  # its components are named, and all found
-                found = _tied(values, {int(y): (p["s"], p["n"]) for y, p in json.loads(r["parts"]).items()})
-                method = "components"
-                if any(x[-1] == "tied" for x in found):
-                    totals = own
-            elif leaves.rows >= 2:
-                found, method = _tied(values, leaves.years), "leaf_block"
-                totals = totals + own
-            else:
-                both = totals + leaves
-                found, method = _tied(values, both.years) if both.rows >= 2 else [(y, v, None, 0, "too_few") for y, v in sorted(values.items())], "running"
-                if any(x[-1] == "tied" for x in found):
-                    totals = own
+    kinds = [("sheet", pa.string()), ("ord", pa.int64()), ("label", pa.string()), ("method", pa.string()), ("year", pa.int32()), ("stated", pa.float64()), ("computed", pa.float64()), ("contributors", pa.int64()), ("state", pa.string())]
+    line, kind, parts, values, out = None, None, None, {}, []
+
+    def close():
+        nonlocal sheet, leaves, totals
+        if line[0] != sheet:
+            sheet, leaves, totals = line[0], _Running(), _Running()
+        sign = -1 if kind in (-VALUED, -TOTAL) else 1
+        if kind == SECTION:
             leaves = _Running()
-            out += [{"sheet": sheet, "ord": r["ord"], "method": method, "year": y, "stated": w, "computed": s, "contributors": n, "state": state} for y, w, s, n, state in found]
-        yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
+        elif abs(kind) == VALUED and values:
+            leaves.add(sign, values)
+        if abs(kind) != TOTAL:
+            return
+        own = _Running()
+        own.add(sign, values)
+        if parts is not None:  # its components are named, and all found
+            found = _tied(values, {int(y): (p["s"], p["n"]) for y, p in json.loads(parts).items()})
+            method = "components"
+            if any(x[-1] == "tied" for x in found):
+                totals = own
+        elif leaves.rows >= 2:
+            found, method = _tied(values, leaves.years), "leaf_block"
+            totals = totals + own
+        else:
+            both = totals + leaves
+            found, method = _tied(values, both.years) if both.rows >= 2 else [(y, v, None, 0, "too_few") for y, v in sorted(values.items())], "running"
+            if any(x[-1] == "tied" for x in found):
+                totals = own
+        leaves = _Running()
+        out.extend((sheet, line[2], line[3], method, *x) for x in found)
+
+    def batch_of():
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    for batch in batches:
+        given = pc.and_(batch.column("year").is_valid(), batch.column("value").is_valid())
+        whole = [pc.fill_null(batch.column(c), 0) for c in ("ord", "year", "value")]
+        columns = [x.to_numpy(zero_copy_only=False).tolist() for x in (batch.column("sheet"), batch.column("line"), batch.column("label"), batch.column("kind"), batch.column("parts"), given, *whole)]
+        for of_sheet, of_line, label, own_kind, own_parts, has_value, at, year, value in zip(*columns, strict=True):
+            if line is None or of_line != line[1] or at != line[2] or of_sheet != line[0]:
+                if line is not None:
+                    close()
+                line, kind, parts, values = (of_sheet, of_line, at, label), own_kind, own_parts, {}
+            if has_value:
+                values[year] = value
+        yield batch_of()
+        out.clear()
+    if line is not None:
+        close()
+        yield batch_of()
 
 
 def tie_subtotals(lines: DataFrame) -> DataFrame:
@@ -187,17 +222,22 @@ def tie_subtotals(lines: DataFrame) -> DataFrame:
     stated total within 0.1 % (state tied, mismatch, no_total, too_few). A leaf block's total is an
     open subtotal whether it ties or not; a total that ties otherwise replaces the open ones.
     Null years and values have no part, of repeated rows the largest value; rows without a
-    label or sheet are skipped.
+    label or sheet are skipped. Rows are shuffled once, by sheet; where components are named, the
+    joined rows once more.
     """
     known = lines.where("trim(coalesce(label, '')) <> '' AND sheet IS NOT NULL")
     role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     by_year = F.to_json(F.map_from_entries(F.collect_list(F.when(F.col("year").isNotNull() & F.col("value").isNotNull(), F.struct(F.col("year").cast("string"), F.col("value").cast("double"))))))
-    line = ["sheet", "ord", "label", "role", "contra", "components"]
     known = known.select("sheet", F.col("ord").cast("long").alias("ord"), F.trim("label").alias("label"), role.alias("role"), F.coalesce("is_contra", F.lit(False)).alias("contra"), "components", F.col("year").cast("int").alias("year"), F.col("value").cast("double").alias("value"))
-    rows = known.groupBy(*line, "year").agg(F.max("value").alias("value")).groupBy(*line).agg(by_year.alias("by_year"), F.bool_or(F.col("value").isNotNull() & F.col("year").isNotNull()).alias("has_value"))
-    by_role = F.when(F.col("role").isin("total", "subtotal"), "total").when(F.col("role") == "section_header", "section").when(F.col("has_value"), "leaf").otherwise("none")
-    by_label = F.when(T.is_total_row(F.col("label")), "total").when(T.is_section_header(F.col("label")), "section").when(F.col("has_value"), "leaf").otherwise("none")
-    rows = rows.withColumns({"kind": F.when(F.col("role").isin("leaf", "subtotal", "total", "section_header"), by_role).otherwise(by_label), "norm": T.spaced(F.col("label"))})
+    by_role = F.when(F.col("role").isin("total", "subtotal"), "total").when(F.col("role") == "section_header", "section").otherwise("valued")
+    by_label = F.when(T.is_total_row(F.col("label")), "total").when(T.is_section_header(F.col("label")), "section").otherwise("valued")
+    kind = F.when(F.col("role").isin("leaf", "subtotal", "total", "section_header"), by_role).otherwise(by_label)
+    known = known.repartition("sheet").groupBy(*_LINE, "year").agg(F.max("value").alias("value")).withColumn("kind", kind)  # kind valued: a leaf if it has a value
+    if lines.where("size(components) > 0").isEmpty():
+        return _folded(known.withColumn("parts", F.lit(None).cast("string")))
+    known = saved(known)
+    rows = known.groupBy(*_LINE, "kind").agg(by_year.alias("by_year"), F.bool_or(F.col("value").isNotNull() & F.col("year").isNotNull()).alias("has_value"))
+    rows = rows.withColumns({"kind": F.when(F.col("kind") != "valued", F.col("kind")).when(F.col("has_value"), "leaf").otherwise("none"), "norm": T.spaced(F.col("label"))})
     # the rows that components name
     asked = rows.where("kind = 'total' AND size(components) > 0").select("sheet", "ord", F.size("components").alias("asked"), F.posexplode(F.transform("components", lambda c: T.spaced(c))).alias("part", "norm"))
     usable = rows.where("kind IN ('leaf', 'total')").select("sheet", "norm", F.col("ord").alias("at"), "by_year", "contra")
@@ -207,9 +247,7 @@ def tie_subtotals(lines: DataFrame) -> DataFrame:
     terms = summed.select("sheet", "ord", F.explode("rows").alias("x")).select("sheet", "ord", "x.contra", F.explode(F.from_json("x.by_year", "map<string,double>")).alias("year", "value"))
     sums = terms.groupBy("sheet", "ord", "year").agg(F.sum(F.when(F.col("contra"), -F.col("value")).otherwise(F.col("value"))).alias("s"), F.count("*").alias("n"))
     parts = summed.select("sheet", "ord").join(sums, ["sheet", "ord"], "left").groupBy("sheet", "ord").agg(F.to_json(F.map_from_entries(F.collect_list(F.when(F.col("year").isNotNull(), F.struct(F.col("year").cast("string"), F.struct("s", "n")))))).alias("parts"))
-    ordered = rows.join(parts, ["sheet", "ord"], "left").select("sheet", "ord", "kind", "contra", "by_year", "parts").repartition("sheet").sortWithinPartitions("sheet", "ord")
-    folded = ordered.mapInArrow(_follow, "sheet string, ord long, method string, year int, stated double, computed double, contributors long, state string")
-    return folded.join(rows.select("sheet", "ord", "label"), ["sheet", "ord"]).select("sheet", "ord", "label", "method", "year", "stated", "computed", "contributors", "state")
+    return _folded(known.join(parts, ["sheet", "ord"], "left").repartition("sheet"))
 
 
 #: The identities of the query below, in the metrics of the given tables.
@@ -260,10 +298,11 @@ def identity_reconcile(spark, sf_dir):
 def sheet_subtotals(spark, sf_dir):
     """Each order as a sheet: lines under headers by return flag, a subtotal for each, a grand total; some stated totals are wrong."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", F.year("l_shipdate").alias("year"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
-    many = lines.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).where("n >= 2").select("l_orderkey", "l_returnflag")
-    lines = lines.join(many, ["l_orderkey", "l_returnflag"]).withColumns({"group": F.ascii("l_returnflag") * 1_000, "l_linenumber": F.row_number().over(W.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "year", "cents"))})
+    flagged = W.partitionBy("l_orderkey", "l_returnflag")
+    lines = lines.where("l_orderkey IS NOT NULL AND l_returnflag IS NOT NULL").withColumns({"group": F.ascii("l_returnflag") * 1_000, "n": F.count("*").over(flagged), "l_linenumber": F.row_number().over(flagged.orderBy("l_linenumber", "year", "cents"))})
+    lines = saved(lines.where("n >= 2").drop("n"))
     row = lambda df, at, label, role, cents: df.select(F.col("l_orderkey").cast("string").alias("sheet"), at.alias("ord"), label.alias("label"), F.lit(role).alias("role"), F.lit(False).alias("is_contra"), F.lit(None).cast("array<string>").alias("components"), "year", (cents / 100.0).alias("value"))
-    sums = lines.groupBy("l_orderkey", "l_returnflag", "group", "year").agg(F.sum("cents").alias("cents"))
+    sums = saved(lines.groupBy("l_orderkey", "l_returnflag", "group", "year").agg(F.sum("cents").alias("cents")))
     wrong = F.when(F.col("l_orderkey") % 7 == 0, F.col("cents") + 100_000).otherwise(F.col("cents"))
     grand = sums.groupBy("l_orderkey", "year").agg(F.sum("cents").alias("cents"))
     sheet = row(lines.where("false"), F.col("group"), F.col("l_returnflag"), "leaf", F.col("cents"))

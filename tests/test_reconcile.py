@@ -219,3 +219,12 @@ def test_stories_and_insights_fold_greedily(spark):
     assert got == want and 5 < len(set(want.values())) < 75
 
 
+
+
+def test_totals_at_one_place_keep_their_own_labels(spark):
+    rows = [("a", 1, "one", None, False, None, 2020, 1.0), ("a", 2, "two", None, False, None, 2020, 2.0), ("a", 3, "Total x", None, False, None, 2020, 3.0), ("a", 3, "Total y", None, False, None, 2020, 3.0)]
+    rows += [("b", None, "one", None, False, None, 2020, 1.0), ("b", 0, "two", None, True, None, 2020, 2.0), ("b", 1, "Total", None, False, None, 2020, -1.0), ("b", None, "Total of no place", None, False, None, 2020, 5.0)]
+    for components in (None, ["nowhere"]):
+        more = [("c", 1, "Total c", None, False, components, 2020, 1.0)]
+        got = [(r.sheet, r.ord, r.label) for r in tie_subtotals(spark.createDataFrame(rows + more, LINES)).collect()]
+        assert sorted(got) == [("a", 3, "Total x"), ("a", 3, "Total y"), ("b", 1, "Total"), ("c", 1, "Total c")]
