@@ -288,13 +288,20 @@ def candidate_pages_query(spark, sf_dir):
     return candidate_pages(pages.join(sections.select("doc").distinct(), "doc", "left_semi"), sections, ("license", "the", "der"), 2, 20).select("doc", "page")
 
 
+#: Words that a task of value_columns has on average.
+TASK_WORDS = 500_000
+
+
 def value_columns(words: DataFrame, gap: float = 25.0, counted: DataFrame | None = None) -> DataFrame:
     """(page, word, column, right) of numeric words (page, word, top, x1): columns chained by right edges.
 
     A new column begins after a gap; columns with fewer words than two or a tenth of the
     page's rows are dropped unless all are, and each word goes to the nearest one left.
-    counted: (page, n_rows); without it each top is a row.
+    counted: (page, n_rows); without it each top is a row. Words are shuffled by page into parts
+    of TASK_WORDS on average, however many there are, so a task's sorts don't grow with the input.
     """
+    at_least = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = words.repartition(max(at_least, -(-words.count() // TASK_WORDS)), "page")
     w = W.partitionBy("page").orderBy("x1", "word")
     begins = F.when(F.col("x1") - F.lag("x1").over(w) <= gap, 0).otherwise(1)
     chained = words.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(w))

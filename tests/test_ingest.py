@@ -157,3 +157,11 @@ def test_texts_of_authors_numbers_and_forecasts(spark):
     assert spark.range(1).select(matching.stated_forecast(F.lit("a 10% growth"), F.lit(100.0)).alias("t")).first().t == pytest.approx(110.0)
     got = spark.createDataFrame([("(1,234)",), ("Rs. 5.5",), ("nil",), ("1,2",)], "c string").select(*(f(F.col("c")).alias(n) for n, f in (("s", matching.strict_number), ("m", matching.money), ("p", matching.plain_number)))).collect()
     assert [tuple(r) for r in got] == [(-1234.0, -1234.0, None), (None, 5.5, None), (None, None, None), (12.0, 12.0, 12.0)]
+
+
+def test_value_columns_go_by_parts_of_a_bounded_size(spark, monkeypatch):
+    words = spark.range(4_000).selectExpr("id div 8 AS page", "id % 8 AS word", "id % 8 AS top", "CAST(id % 3 * 100 AS DOUBLE) AS x1")
+    whole = sorted(map(tuple, ingest.value_columns(words).collect()))
+    monkeypatch.setattr(ingest, "TASK_WORDS", 200)
+    cut = ingest.value_columns(words)
+    assert cut.rdd.getNumPartitions() == 20 and sorted(map(tuple, cut.collect())) == whole and len(whole) == 4_000
