@@ -10,8 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,36 +39,34 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _EVENT)
         self.own = handle.getValueState("own", self.kept)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            part = part[["at", "event_id", "event_type", "value"]].astype(object).where(part[["at", "event_id", "event_type", "value"]].notna(), None)
-            events = [(int(a), int(i), k, None if v is None else float(v)) for a, i, k, v in part.itertuples(index=False)]
-            if events:
-                self.waiting.appendList(events)
-                first = min([e[0] for e in events] + ([] if first is None else [first]))
-        if first is not None:
-            self.handle.registerTimer(first)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = lambda v: None if v is None or v != v else float(v)  # noqa: E731  # null numbers arrive as NaN
+        events = [(int(r["at"]), int(r["event_id"]), r["event_type"], known(r["value"])) for r in rows]
+        if events:
+            self.waiting.appendList(events)
+            self.handle.registerTimer(min(e[0] for e in events))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
+        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
         ready, rest = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
-        own, out, again = self.follow(self.own.get() if self.own.exists() else None, ready, now)
+        before = self.own.get()  # each call to state is a message to the JVM, so none is made twice
+        own, out, again = self.follow(before, ready, now)
         if ready:
-            self.waiting.clear()
             if rest:
                 self.waiting.put(rest)
-        if own is None:
-            self.own.clear()
-        else:
+            else:
+                self.waiting.clear()
+        if own is not None:
             self.own.update(own)
+        elif before is not None:
+            self.own.clear()
         for at in {rest[0][0] if rest else None, again} - {None}:
             if at > now:
                 self.handle.registerTimer(at)
-        if out:
-            yield pd.DataFrame([(key[0], *row) for row in out], columns=self.columns)
+        for row in out:
+            yield self.row(key[0], *row)
 
     def close(self) -> None:
         pass
@@ -79,7 +76,7 @@ class Breaker(InOrder):
     """A breaker that opens at so many failures in a row and half-opens after a pause without an event."""
 
     kept = "good double, bad long, opened long, last long"
-    columns = ("user_id", "at", "event_id", "state", "failures", "last_good")
+    row = Row("user_id", "at", "event_id", "state", "failures", "last_good")
 
     def __init__(self, failures: int, pause: int, keep: int):
         self.failures, self.pause, self.keep = failures, pause, keep
@@ -115,7 +112,7 @@ class FixedWindow(InOrder):
     """At most so many calls of a key in a window that begins with its first call."""
 
     kept = "start long, calls long"
-    columns = ("user_id", "at", "event_id", "call", "allowed")
+    row = Row("user_id", "at", "event_id", "call", "allowed")
 
     def __init__(self, limit: int, window: int):
         self.limit, self.window = max(1, limit), max(1, window)
@@ -137,7 +134,7 @@ def _followed(events: DataFrame, processor: InOrder, schema: str, late: str) ->
     """Events with null time, key or id are in no key's order and are left out."""
     whole = events.where("ts IS NOT NULL AND user_id IS NOT NULL AND event_id IS NOT NULL").withColumn("ts", F.date_trunc("millisecond", "ts"))
     rows = whole.withWatermark("ts", late).select("ts", "user_id", F.unix_millis("ts").alias("at"), "event_id", "event_type", "value")
-    out = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    out = rows.groupBy("user_id").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return out.withColumn("at", F.timestamp_millis("at"))
 
 
