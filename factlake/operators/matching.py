@@ -482,6 +482,10 @@ class _Cells(HTMLParser):
         self.cell = None
 
 
+#: Pages that a task of table_cells has on average.
+TASK_PAGES = 20_000
+
+
 def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, table, row, column, header, value, link, tag): the body cells of each page's tables; a page without tables has none."""
     kind = pages.schema[id_col].dataType.simpleString()
@@ -499,7 +503,10 @@ def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *columns], names=[id_col, "table", "row", "column", "header", "value", "link", "tag"])
 
-    return pages.select(id_col, html_col).mapInArrow(parse, f"`{id_col}` {kind}, table int, row int, column int, header string, value string, link string, tag string")
+    # pages that are built from a small file lie in one part, but each takes a parser's time
+    at_least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pages.select(id_col, html_col).repartition(max(at_least, -(-pages.count() // TASK_PAGES)), id_col)
+    return dealt.mapInArrow(parse, f"`{id_col}` {kind}, table int, row int, column int, header string, value string, link string, tag string")
 
 
 def typed_feed(found: DataFrame, columns: dict[str, tuple[str, str]], id_col: str = "page_id") -> DataFrame:

@@ -61,3 +61,10 @@ def test_table_types_query_matches_a_plain_loop(spark, sf_dir):
         first, second = sorted(scores.values(), reverse=True)[:2]
         sure = first >= 0.6 and first - second >= 0.08
         assert got[p.p_partkey] == (next(k for k, v in scores.items() if v == first) if sure else "unclassified", round(first, 9))
+
+
+def test_pages_in_one_part_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TASK_PAGES", 10)
+    pages = spark.range(0, 100, 1, 1).selectExpr("id AS page_id", "concat('<table><tr><th>A</tr><tr><td>', id, '</td></tr></table>') AS html")
+    cells = matching.table_cells(pages)
+    assert cells.rdd.getNumPartitions() == 10 and {(r.page_id, r.value) for r in cells.collect()} == {(i, str(i)) for i in range(100)}
