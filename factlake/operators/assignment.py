@@ -78,19 +78,22 @@ def match_template(rows: DataFrame, items: DataFrame, statements: DataFrame, fac
     lines of its own statement, else among those of the statements around the same face, else, where
     an entity has no line there, among all. Pairs of an entity are assigned one to one by own
     statement, shared section words, and score; rows left over take their metric's trusted total
-    (method face) or are unmatched.
+    (method face) or are unmatched. Rows and items are read by several jobs but computed once.
     """
     home = statements.select("statement", "family", "face")
     r = rows.join(F.broadcast(home), "statement", "left").select("row_id", F.col("statement").alias("r_statement"), F.col("family").alias("r_family"), F.col("face").alias("r_face"), F.col("metric").alias("r_metric"), F.col("polarity").alias("r_polarity"), F.coalesce("strict", F.lit(False)).alias("strict"), section_words(F.col("section")).alias("r_words"), looks_total(F.col("label")).alias("r_total"), expanded(F.col("label")).alias("r_label"))
+    r = saved(r)
     role = F.lower(F.coalesce("role", F.lit("")))
     total = role.isin("total", "subtotal") | ((role == "") & looks_total(F.col("label")))
     i = items.join(F.broadcast(home), "statement", "left").select("entity", "item_id", F.col("statement").alias("i_statement"), F.col("family").alias("i_family"), F.col("face").alias("i_face"), F.col("metric").alias("i_metric"), F.col("polarity").alias("i_polarity"), section_words(F.col("section")).alias("i_words"), total.alias("i_total"), expanded(F.col("label")).alias("i_label"))
+    i = saved(i)
     alike = similar_pairs(r.select("r_label"), i.select("i_label"), least, "token_set")
     met = i.join(alike, F.col("i_label") == F.col("b")).join(F.broadcast(r), F.col("a") == F.col("r_label"))
     differ = lambda c: F.coalesce(F.col(f"r_{c}") != F.col(f"i_{c}"), F.lit(False))
     anywhere = F.coalesce(F.col("i_metric").isin(*AT_HOME_ANYWHERE), F.lit(False))
     strict = F.col("strict") & F.col("r_polarity").isNotNull() & ~F.col("r_polarity").eqNullSafe(F.col("i_polarity"))
-    met = met.where(~(F.col("i_total") & ~F.col("r_total")) & ~differ("metric") & (anywhere | (~differ("family") & ~differ("polarity") & ~strict)))
+    met = saved(met.where(~(F.col("i_total") & ~F.col("r_total")) & ~differ("metric") & (anywhere | (~differ("family") & ~differ("polarity") & ~strict))))
+    scratch = met
     # which pools an entity has lines in
     pools = i.groupBy("entity").agg(F.collect_set("i_face").alias("faces"), F.collect_set("i_statement").alias("held"))  # as many as statements
     met = met.join(pools, "entity")
@@ -103,7 +106,8 @@ def match_template(rows: DataFrame, items: DataFrame, statements: DataFrame, fac
     overlap = F.size(F.array_intersect("r_words", "i_words"))
     pairs = met.select(F.struct("entity", F.col("row_id").alias("id")).alias("row_id"), F.struct("entity", F.col("item_id").alias("id")).alias("item_id"), F.when(F.col("tier") == 0, "own").when(F.col("tier") == 1, "widened").otherwise("pooled").alias("method"), (F.col("tier") > 0).alias("away"), "score", overlap.alias("overlap"))
     taken = assign(pairs, ["away", "-overlap", "-score"]).select(F.col("row_id.entity").alias("entity"), F.col("row_id.id").alias("row_id"), F.col("item_id.id").alias("item_id"), "method", "score", "overlap")
-    every = items.select("entity").distinct().join(F.broadcast(r.select("row_id", "r_metric")))
+    remove(scratch)
+    every = i.select("entity").distinct().join(F.broadcast(r.select("row_id", "r_metric")))
     out = every.join(taken, ["entity", "row_id"], "left")
     value = F.lit(None).cast("double")
     if face is not None:
@@ -131,7 +135,7 @@ def global_assignment(spark, sf_dir):
 def template_matching(spark, sf_dir):
     """A template of the metrics against each entity's lines of its newest year, some bent, in other statements or missing."""
     f = facts(spark, sf_dir)
-    newest = f.groupBy("entity", "metric").agg(F.max_by("value", "year").alias("value"))
+    newest = saved(f.groupBy("entity", "metric").agg(F.max_by("value", "year").alias("value")))  # rows, items and totals come from it
     label = F.replace("metric", F.lit("_"), F.lit(" "))
     k = F.pmod(F.crc32(F.concat("entity", "metric").cast("binary")), F.lit(6))
     pl = F.when(F.col("metric").rlike("asset|liabilit|equity|cash|inventor|receiv|payab"), "bs").otherwise("pl")

@@ -16,6 +16,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..registry import Registry
 from ..sources.bridge import FACTS_SQL, facts, observations, read
+from ..sources.scratch import remove, saved
 from .assignment import assign
 from .similar import resolve_labels, similar_pairs
 
@@ -611,21 +612,23 @@ def template_lines(rows: DataFrame, items: DataFrame, least: float = 82.0) -> Da
     their sections share a word, then by score.
     """
     one = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns), T.spaced(F.col("label")).alias(f"{side}_plain"))
-    r, i = one(rows, "r"), one(items, "i")
+    r, i = saved(one(rows, "r")), saved(one(items, "i"))
     alike = similar_pairs(r.select("r_plain"), i.select("i_plain"), least, "token_set")
     met = i.join(alike, F.col("i_plain") == F.col("b")).join(r, F.col("a") == F.col("r_plain")).where("r_statement = i_statement AND r_is_total = i_is_total AND (r_metric IS NULL OR i_metric IS NULL OR r_metric = i_metric)")
     tokens = lambda c: F.array_remove(F.split(T.spaced(F.coalesce(c, F.lit(""))), " "), "")
     shared = F.arrays_overlap(tokens("r_section"), tokens("i_section"))
     pairs = met.select(F.col("r_row_id").alias("row_id"), F.col("i_item_id").alias("item_id"), (F.col("score") + F.when(shared, 5.0).otherwise(0.0)).alias("score"), shared.alias("shared"))
-    return assign(pairs, ["NOT shared", "-score"]).drop("shared")
+    taken = assign(pairs, ["NOT shared", "-score"]).drop("shared")
+    remove(r, i)
+    return taken
 
 
 @registry.add("template_lines")
 def template_lines_query(spark, sf_dir):
     """Metrics as a template against the lines of each entity's newest year."""
-    f = facts(spark, sf_dir)
+    newest = saved(facts(spark, sf_dir).groupBy("metric").agg(F.max("year").alias("year")))  # rows and items come from it
     label = F.replace("metric", F.lit("_"), F.lit(" "))
     total = F.col("metric").isin("gross_profit", "pat", "total_assets")
-    rows = f.select("metric").distinct().select(F.col("metric").alias("row_id"), F.lit("all").alias("statement"), label.alias("label"), F.lit(None).cast("string").alias("metric"), total.alias("is_total"), F.lit(None).cast("string").alias("section"))
-    items = f.groupBy("metric").agg(F.max("year").alias("year")).select(F.concat_ws(":", F.lit("line"), "metric").alias("item_id"), F.lit("all").alias("statement"), F.concat(F.lit("Total "), label).alias("label"), F.lit(None).cast("string").alias("metric"), total.alias("is_total"), F.lit(None).cast("string").alias("section"))
+    rows = newest.select(F.col("metric").alias("row_id"), F.lit("all").alias("statement"), label.alias("label"), F.lit(None).cast("string").alias("metric"), total.alias("is_total"), F.lit(None).cast("string").alias("section"))
+    items = newest.select(F.concat_ws(":", F.lit("line"), "metric").alias("item_id"), F.lit("all").alias("statement"), F.concat(F.lit("Total "), label).alias("label"), F.lit(None).cast("string").alias("metric"), total.alias("is_total"), F.lit(None).cast("string").alias("section"))
     return template_lines(rows, items)

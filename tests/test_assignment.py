@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+
 from factlake.functions.similarity import token_set_of
+from factlake.operators import assignment, matching
 from factlake.operators.assignment import assign, match_template
+from factlake.sources.bridge import facts
 
 
 def greedy(pairs):
@@ -84,3 +88,39 @@ def test_template_matches_a_plain_loop(spark):
             own = [x for x in near if x[0][2] == r[1]]
             pairs += [(r[0], i[1], i[2] != r[1], int(bool({(r[3] or "").split(" ")[0].lower()} & {i[4].lower()})), s) for i, s in (own or near)]
         assert sorted((r, v[0]) for (en, r), v in got.items() if en == e and v[0]) == sorted(p[:2] for p in greedy(pairs))
+
+
+def counted(spark, frame):
+    """The frame, and how many of its rows have been computed so far, repeats included."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(passed, frame.schema), rows
+
+
+def test_template_computes_its_rows_and_items_once(spark):
+    rows, n_rows = counted(spark, spark.createDataFrame([("r1", "pl", "Sales revenue", None, None, None, False), ("r2", "bs", "Long term loans", None, "loans", None, False)], ROW))
+    items, n_items = counted(spark, spark.createDataFrame([(e, f"{e}1", "pl", "Sales revenues", None, None, None, None) for e in "abc"], ITEM))
+    statements = spark.createDataFrame(STATEMENTS, "statement string, family string, face string")
+    out = match_template(rows, items, statements, spark.createDataFrame([("b", "loans", 4.0)], "entity string, metric string, value double"))
+    got = {(r.entity, r.row_id): (r.item_id, r.method, r.value) for r in out.collect()}
+    assert got == {(e, k): (f"{e}1", "own", None) if k == "r1" else (None, "face", 4.0) if e == "b" else (None, "unmatched", None) for e in "abc" for k in ("r1", "r2")}
+    assert (n_rows.value, n_items.value) == (2, 3)
+
+
+def test_template_of_which_no_row_fits_is_whole(spark):
+    got = match(spark, [("r1", "pl", "Sales revenue", None, None, None, False)], [("a", "a1", "pl", "Long term loans", None, None, None, None)])
+    assert got == {("a", "r1"): (None, "unmatched", None)}
+
+
+@pytest.mark.parametrize("module, query", [(assignment, assignment.template_matching), (matching, matching.template_lines_query)])
+def test_template_queries_compute_the_facts_once(spark, sf_dir, monkeypatch, module, query):
+    expected, plain = facts(spark, sf_dir).count(), sorted(map(str, query(spark, sf_dir).collect()))
+    found, n = counted(spark, facts(spark, sf_dir))
+    monkeypatch.setattr(module, "facts", lambda *_: found)
+    assert sorted(map(str, query(spark, sf_dir).collect())) == plain and plain
+    assert n.value == expected
