@@ -146,7 +146,7 @@ _LINE = ["sheet", "ord", "label", "role", "contra", "components"]
 SECTION, VALUED, TOTAL = 1, 2, 3
 
 
-def _folded(known: DataFrame) -> DataFrame:
+def _tied_lines(known: DataFrame) -> DataFrame:
     """The lines of known (_LINE, year, value, kind, parts), which lie by sheet, through _follow; labels go along for totals only."""
     code = F.when(F.col("kind") == "section", SECTION).when(F.col("kind") == "valued", VALUED).otherwise(TOTAL)
     code = F.when(F.col("contra") & (F.col("kind") != "section"), -code).otherwise(code)
@@ -234,7 +234,7 @@ def tie_subtotals(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("role").isin("leaf", "subtotal", "total", "section_header"), by_role).otherwise(by_label)
     known = known.repartition("sheet").groupBy(*_LINE, "year").agg(F.max("value").alias("value")).withColumn("kind", kind)  # kind valued: a leaf if it has a value
     if lines.where("size(components) > 0").isEmpty():
-        return _folded(known.withColumn("parts", F.lit(None).cast("string")))
+        return _tied_lines(known.withColumn("parts", F.lit(None).cast("string")))
     known = saved(known)
     rows = known.groupBy(*_LINE, "kind").agg(by_year.alias("by_year"), F.bool_or(F.col("value").isNotNull() & F.col("year").isNotNull()).alias("has_value"))
     rows = rows.withColumns({"kind": F.when(F.col("kind") != "valued", F.col("kind")).when(F.col("has_value"), "leaf").otherwise("none"), "norm": T.spaced(F.col("label"))})
@@ -247,7 +247,7 @@ def tie_subtotals(lines: DataFrame) -> DataFrame:
     terms = summed.select("sheet", "ord", F.explode("rows").alias("x")).select("sheet", "ord", "x.contra", F.explode(F.from_json("x.by_year", "map<string,double>")).alias("year", "value"))
     sums = terms.groupBy("sheet", "ord", "year").agg(F.sum(F.when(F.col("contra"), -F.col("value")).otherwise(F.col("value"))).alias("s"), F.count("*").alias("n"))
     parts = summed.select("sheet", "ord").join(sums, ["sheet", "ord"], "left").groupBy("sheet", "ord").agg(F.to_json(F.map_from_entries(F.collect_list(F.when(F.col("year").isNotNull(), F.struct(F.col("year").cast("string"), F.struct("s", "n")))))).alias("parts"))
-    return _folded(known.join(parts, ["sheet", "ord"], "left").repartition("sheet"))
+    return _tied_lines(known.join(parts, ["sheet", "ord"], "left").repartition("sheet"))
 
 
 #: The identities of the query below, in the metrics of the given tables.

@@ -1,12 +1,14 @@
 """Repairs, subtotals, the numeric guard and retrieval against plain loops and the cases they are for."""
 
+import ast
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from factlake.operators import retrieval
+from factlake.operators import reconcile, retrieval
 from factlake.operators.guard import allowed_values, guard_numbers, within
 from factlake.operators.reconcile import EXPENSES, IDENTITIES, reconcile_identities, tie_subtotals
 from factlake.operators.retrieval import fold_insights, fold_stories, retrieve
@@ -72,6 +74,20 @@ def test_repairs_match_plain_loops(spark):
     assert all((r.changed_by is None) == (r.old == r.value) or r.changed_by is not None for r in out)
 
 
+def test_names_of_a_module_are_defined_once():
+    for path in Path(reconcile.__file__).parent.parent.rglob("*.py"):
+        found = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        assert len(found) == len(set(found)), path
+
+
+def test_the_wanted_basis_decides_between_equal_repairs(spark):
+    truth = [("e", 1, "gross_profit", 90.0, "s"), ("e", 1, "revenue", 200.0, "s"), ("e", 1, "cost_of_sales", -150.0, "s")]
+    offers = [("e", 1, t, b, m, v, t, k) for t, b, g in (("t1", "x", 50.0), ("t2", "y", 50.5)) for k, (m, v) in enumerate((("gross_profit", g), ("revenue", 200.0), ("cost_of_sales", 150.0)))]
+    for basis, table, value in (("x", "t1", 50.0), ("y", "t2", 50.5), ("z", "t1", 50.0)):
+        out = {r.metric: tuple(r)[3:] for r in reconcile_identities(spark.createDataFrame(truth, TRUTH), spark.createDataFrame(offers, OFFERS), basis).collect()}
+        assert out == {"gross_profit": (value, table, 90.0, "gross_profit", table), "revenue": (200.0, "s", 200.0, None, None), "cost_of_sales": (-150.0, "s", -150.0, None, None)}
+
+
 def test_many_combinations_are_not_searched_one_by_one(spark):
     truth = [("e", 1, "total_assets", 5.0, None), ("e", 1, "non_current_assets", 900.0, None), ("e", 1, "current_assets", 100.0, None)]
     offers = [("e", 1, "t", "x", "total_assets", 1_000.0, None, k) for k in range(3)] + [("e", 1, "t", "x", "non_current_assets", 900.0, str(k), k) for k in range(20)] + [("e", 1, "t", "x", "current_assets", float(k), None, k) for k in range(101)]
