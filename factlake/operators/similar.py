@@ -38,9 +38,12 @@ RESOLVED, REVIEW, QUARANTINED, RIVAL = 0.88, 0.70, 0.62, 0.05
 FREQUENT = 2_000
 SCORES = {"ratio": S.ratio, "token_sort": S.token_sort, "token_set": S.token_set}
 #: Most strings and names that a cell of nearest_names has on average, and fewest strings worth a cell of their own.
-CELL_STRINGS, CELL_NAMES, LEAST_STRINGS = 8_192, 65_536, 256
-#: Names of a tile, strings compared with tiles at once, names that a rare word may be in, and how often a letter is counted.
-TILE, CHUNK, RARE, DEEP = 128, 64, 64, 16
+CELL_STRINGS, CELL_NAMES, LEAST_STRINGS = 65_536, 262_144, 256
+#: Names of a tile, strings compared with tiles at once, names that a rare word may be in, and how often a letter of a class is counted.
+TILE, CHUNK, RARE, DEEP, CLASSES = 32, 64, 64, 16, 97
+#: Tiles looked at together, pairs scored together, and letters of a string in a machine word.
+TILES, PAIRS, WIDE = 128, 16_384, 64
+_DIGITS = {ord(c): "0" for c in "123456789"}
 
 
 def _features(text: str, kind: str) -> tuple[int, list[str], list[str], list[str]]:
@@ -131,76 +134,243 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, kind: str = "
     return met.withColumn("score", SCORES[kind](F.col("a"), F.col("b"))).where(F.col("score") >= least)
 
 
-def _unary(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(a 0 or 1 for the first, second, ... of each class of letters, letters beyond DEEP of their class): products of rows count what two texts share at most."""
-    counts = np.zeros((len(texts), 97), np.int32)
-    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    np.add.at(counts, (np.repeat(np.arange(len(texts)), [len(t) for t in texts]), letters % 97), 1)
-    return (counts[:, :, None] > np.arange(DEEP)).reshape(len(texts), -1), np.maximum(counts - DEEP, 0).sum(1)
-
-
-def _nearest(asked: list[str], names: list[str], least: float, within: float, most: int):
-    """(string, name, score) of each string's nearest names in this cell, as nearest_names has them."""
-    alike = lambda texts: sorted((t for t in texts if t.split()), key=lambda t: "".join(sorted(t, reverse=True)))
-    asked, names = alike(asked), alike(names)  # of letters alike, so that whole tiles fall out
-    if not asked or not names:
-        return
-    plain = [[" ".join(sorted(set(t.split()))) for t in texts] for texts in (asked, names)]
-    (q, tail), (n, _) = _unary(plain[0]), _unary(plain[1])
-    used = q.any(0) & n.any(0)
-    q, n = q[:, used].astype(np.float32), n[:, used]
-    q_len, n_len = (np.array([len(t) for t in texts], np.float32) for texts in plain)
-    held: dict[str, list[int]] = {}
-    for i, t in enumerate(plain[1]):
-        for w in t.split(" "):
-            held.setdefault(w, []).append(i)
-    common = sorted(w for w, at in held.items() if len(at) > RARE)  # other words lead to their few names
-    tiles = np.arange(0, len(names), TILE)
-    n_any, least_len = np.maximum.reduceat(n, tiles, 0).astype(np.float32), np.minimum.reduceat(n_len, tiles)
-
-    for start in range(0, len(asked), CHUNK):
-        part = range(start, min(start + CHUNK, len(asked)))
-        words = [set(plain[0][i].split(" ")) for i in part]
-        best: list[list[tuple[float, str]]] = [[] for _ in part]
-        floor, met = np.full(len(part), least), [set() for _ in part]
-
-        def compare(k, i):
-            met[k].add(i)
-            score = S.token_set_of(asked[start + k], names[i])
-            if score >= floor[k]:
-                best[k] = sorted([*best[k], (-score, names[i])])[:most]
-                floor[k] = max(least, -best[k][0][0] - within, -best[k][-1][0] if len(best[k]) == most else least)
-
-        for k, own in enumerate(words):
-            for i in {i for w in own for i in held.get(w, ()) if len(held[w]) <= RARE}:
-                compare(k, i)
-        here = [w for w in common if any(w in own for own in words)]
-        shares = np.array([[len(w) + 1 if w in own else 0 for w in here] for own in words], np.float32).reshape(len(part), len(here))
-        has = np.zeros((len(names), len(here)), bool)
-        for at, w in enumerate(here):
-            has[held[w], at] = True
-        mine, over, own_len = q[part.start : part.stop], tail[part.start : part.stop, None].astype(np.float32), q_len[part.start : part.stop, None]
-
-        def bound(letters, held_words, lengths):
+class _Laid:
+    """Strings side by side, like ones together: their words in order, the letters of those and what is alike but for digits."""
+
+    def __init__(self, texts: list[str], vocabulary: dict[str, int]):
+        texts = [t for t in texts if t.split()]
+        plain = [" ".join(sorted(set(t.split()))) for t in texts]
+        shapes = [p.translate(_DIGITS) for p in plain]
+        seen = Counter(shapes)
+        self.shapes = sorted(x for x, n in seen.items() if n >= TILE)
+        number = {x: i for i, x in enumerate(self.shapes)}
+        shape = np.array([number.get(x, -1) for x in shapes], np.int32)
+        order = np.lexsort((np.argsort(np.argsort(["".join(sorted(p, reverse=True)) for p in plain], kind="stable")), shape)) if plain else np.zeros(0, np.int64)
+        self.texts, self.plain, self.shape = [texts[i] for i in order], [plain[i] for i in order], shape[order]
+        self.length = np.array([len(p) for p in self.plain], np.int64)
+        of = [p.split(" ") for p in self.plain]
+        self.n_words = np.array([len(ws) for ws in of], np.int64)
+        self.all_words = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in of for w in ws], np.int64)
+        self.first_word = np.cumsum(self.n_words) - self.n_words
+        self.words = np.full((len(of), min(self.n_words.max(initial=1), WIDE // 2)), -1, np.int64)  # all words of strings below WIDE
+        row, word = self.words_of(np.arange(len(of)))
+        at = np.arange(len(row)) - self.first_word[row]
+        self.words[row[at < WIDE // 2], at[at < WIDE // 2]] = word[at < WIDE // 2]
+        self.counts = np.zeros((len(of), CLASSES), np.uint8)
+        self.tail = np.zeros(len(of), np.int64)
+        for i in range(0, len(of), 8_192):
+            some = self.plain[i : i + 8_192]
+            letters = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
+            cells = np.repeat(np.arange(len(some)), self.length[i : i + 8_192]) * CLASSES + letters % CLASSES
+            found = np.bincount(cells, minlength=len(some) * CLASSES).reshape(-1, CLASSES)
+            self.counts[i : i + 8_192], self.tail[i : i + 8_192] = np.minimum(found, DEEP), np.maximum(found - DEEP, 0).sum(1)
+
+    def words_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in at, word) of the words of some strings."""
+        n = self.n_words[at]
+        return np.repeat(np.arange(len(at)), n), self.all_words[np.arange(n.sum()) + np.repeat(self.first_word[at] - (np.cumsum(n) - n), n)]
+
+    def lettered(self, numbers: np.ndarray) -> None:
+        """The letters as numbers, a blank before each word, a row of WIDE at most for each string; which places are whose word's."""
+        wide = np.minimum(self.length + 1, WIDE)
+        self.codes = np.zeros((len(wide), wide.max(initial=1)), numbers.dtype)
+        self.covers = np.zeros(self.words.shape, np.uint64)
+        places = np.arange(self.codes.shape[1])
+        bit = np.uint64(1) << places.astype(np.uint64)
+        for i in range(0, len(wide), 8_192):
+            at = places < wide[i : i + 8_192, None]
+            joined = "".join(" " + p[: WIDE - 1] for p in self.plain[i : i + 8_192])
+            self.codes[i : i + 8_192][at] = numbers[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            word = np.cumsum((self.codes[i : i + 8_192] == numbers[32]) & at, 1, dtype=np.uint8) * at  # 1 for the first word
+            for w in range(self.words.shape[1]):
+                self.covers[i : i + 8_192, w] = ((word == w + 1) * bit).sum(1, dtype=np.uint64)
+
+
+class _Chunk:
+    """The nearest names so far of a few strings, and the least score that still counts for each."""
+
+    def __init__(self, n: int, least: float, within: float, most: int, rank: np.ndarray):
+        self.least, self.within, self.most, self.rank = least, within, most, rank
+        self.floor = np.full(n, least)
+        self.k, self.i, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, k: np.ndarray, i: np.ndarray, score: np.ndarray) -> None:
+        keep = score >= self.floor[k]
+        if not keep.any():
+            return
+        k, i, score = (np.concatenate(x) for x in ((self.k, k[keep]), (self.i, i[keep]), (self.score, score[keep])))
+        order = np.lexsort((self.rank[i], -score, k))
+        k, i, score = k[order], i[order], score[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]
+        k, i, score = k[new], i[new], score[new]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        place = np.arange(len(k)) - np.repeat(starts, np.diff(np.r_[starts, len(k)]))
+        self.floor[k[starts]] = np.maximum(self.floor[k[starts]], score[starts] - self.within)
+        last = place == self.most - 1
+        self.floor[k[last]] = np.maximum(self.floor[k[last]], score[last])
+        keep = (place < self.most) & (score >= self.floor[k])
+        self.k, self.i, self.score = k[keep], i[keep], score[keep]
+
+
+def _scores(asked: _Laid, names: _Laid, letters: np.ndarray, word_length: np.ndarray, start: int, k: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """token_set of the strings start + k and the names i; letters: bits of each string's places by letter."""
+    out = np.zeros(len(k))
+    for lo in range(0, len(k), PAIRS):
+        kk, q, n = k[lo : lo + PAIRS], k[lo : lo + PAIRS] + start, i[lo : lo + PAIRS]
+        gone, cut, both, left, right = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint64), np.zeros(len(q), np.int64), asked.n_words[q], names.n_words[n]
+        theirs = names.words[n, : right.max()]
+        for w in range(min(left.max(), asked.words.shape[1])):
+            mine = asked.words[q, w]
+            at, place = np.nonzero((theirs == mine[:, None]) & (mine >= 0)[:, None])
+            if len(at):
+                gone[at] |= asked.covers[q[at], w]
+                cut[at] |= names.covers[n[at], place]
+                both[at] += word_length[mine[at]] + 1
+                left[at] -= 1
+                right[at] -= 1
+        wide = int(min(names.length[n].max() + 1, names.codes.shape[1]))
+        codes = names.codes[n, :wide]
+        if both.any():
+            codes = codes * (1 - np.unpackbits(cut.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, count=wide, bitorder="little"))
+        codes, base, may = np.ascontiguousarray(codes.T), kk * letters.shape[1], ~gone
+        row, flat = np.full(len(q), ~np.uint64(0)), letters.ravel()
+        for column in codes:
+            hit = flat[base + column]
+            hit &= may
+            hit &= row
+            row = (row + hit) | (row - hit)
+        common = np.bitwise_count(~row).astype(np.int64) - 1  # without the blank before the first words
+        la, lb, shared = asked.length[q], names.length[n], np.maximum(both - 1, 0)
+        score = 200.0 * np.where(both > 0, shared + 1 + common, common) / (la + lb)
+        score = np.maximum(score, np.where(both > 0, np.maximum(200.0 * shared / (shared + la), 200.0 * shared / (shared + lb)), 0.0))
+        score[(both > 0) & ((left == 0) | (right == 0))] = 100.0
+        for x in np.flatnonzero((la >= WIDE) | (lb >= WIDE)).tolist():
+            score[x] = S.token_set_of(asked.texts[q[x]], names.texts[n[x]])
+        out[lo : lo + PAIRS] = score
+    return out
+
+
+def _nearest(asked: list[str], names: list[str], least: float, within: float, most: int) -> tuple[list[str], list[str], list[float]]:
+    """(strings, names, scores): each string's nearest names in this cell, as nearest_names has them."""
+    vocabulary: dict[str, int] = {}
+    y, x = _Laid(names, vocabulary), _Laid(asked, vocabulary)
+    if not x.texts or not y.texts:
+        return [], [], []
+    alphabet = sorted({ord(c) for p in (x.plain, y.plain) for c in set().union(*p)} | {32})
+    numbers = np.zeros(alphabet[-1] + 1, np.min_scalar_type(len(alphabet)))
+    numbers[alphabet] = np.arange(1, len(alphabet) + 1)
+    x.lettered(numbers)
+    y.lettered(numbers)
+    word_length = np.array([len(w) for w in vocabulary], np.int64)
+    rank = np.empty(len(y.texts), np.int64)
+    rank[sorted(range(len(y.texts)), key=y.texts.__getitem__)] = np.arange(len(y.texts))
+    # letters as a 0 or 1 for the first, second, ... of each class: products of rows count what two strings share at most
+    deepest = np.minimum(x.counts.max(0), y.counts.max(0))
+    kind, depth = (np.array(v, np.int64) for v in zip(*((c, d) for c in range(CLASSES) for d in range(deepest[c])))) if deepest.any() else (np.zeros(0, np.int64),) * 2
+    unary = lambda counts: counts[:, kind] > depth
+    tiles = np.arange(0, len(y.texts), TILE)
+    any_count, least_len = np.maximum.reduceat(y.counts, tiles, 0), np.minimum.reduceat(y.length, tiles).astype(np.float32)
+    any_letter = unary(any_count).astype(np.float32)
+    one_shape = np.where(np.minimum.reduceat(y.shape, tiles) == np.maximum.reduceat(y.shape, tiles), np.minimum.reduceat(y.shape, tiles), -1)
+    # words: those of few names lead to them, the others are counted by tile
+    row, word = y.words_of(np.arange(len(y.texts)))
+    held = np.bincount(word, minlength=len(vocabulary))
+    by_word, word_start = row[np.argsort(word, kind="stable")], np.cumsum(held) - held
+    frequent = np.flatnonzero(held > RARE)
+    numbered = np.full(len(vocabulary), len(frequent), np.int64)  # the last is for other words
+    numbered[frequent] = np.arange(len(frequent))
+    in_tile = np.zeros((len(tiles), len(frequent) + 1), bool)
+    in_tile[row // TILE, numbered[word]] = True
+    shape_bounds: dict[int, np.ndarray] = {}
+
+    def by_shape(p: int) -> np.ndarray:
+        """No score of a string of shape p is above this in a tile: without a word in common, what two texts share stays in order when digits are taken as equal."""
+        if p not in shape_bounds:
+            bounds = np.full(len(y.shapes) + 1, 200.0, np.float32)
+            for r in np.unique(one_shape[one_shape >= 0]).tolist():
+                a, b = x.shapes[p], y.shapes[r]
+                if not set(a.split(" ")) & set(b.split(" ")):
+                    bounds[r] = S.ratio_of(a, b)
+            shape_bounds[p] = bounds[one_shape]
+        return shape_bounds[p]
+
+    found = []
+    for start in range(0, len(x.texts), CHUNK):
+        part = slice(start, min(start + CHUNK, len(x.texts)))
+        size = part.stop - start
+        best = _Chunk(size, least, within, most, rank)
+        letters = np.zeros((size, len(alphabet) + 1), np.uint64)
+        for j in range(x.codes.shape[1]):
+            letters[np.arange(size), x.codes[part, j]] |= np.uint64(1 << j)
+        letters[:, 0] = 0
+        scored = lambda k, i: best.add(k, i, _scores(x, y, letters, word_length, start, k, i))  # noqa: B023, E731
+        ks, ws = x.words_of(np.arange(start, part.stop))
+        rare = held[ws] <= RARE
+        if (n := held[ws[rare]]).any():
+            scored(np.repeat(ks[rare], n), by_word[np.repeat(word_start[ws[rare]] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        here, at = np.unique(numbered[ws[~rare]], return_inverse=True)
+        shares = np.zeros((size, len(here)), np.float32)
+        shares[ks[~rare], at] = word_length[ws[~rare]] + 1
+        most_shared = np.maximum(shares.sum(1, keepdims=True) - 1, 0)
+        local = np.full(len(frequent) + 1, len(here), np.int64)
+        local[here] = np.arange(len(here))
+        q, over, q_len = unary(x.counts[part]).astype(np.float32), x.tail[part, None].astype(np.float32), x.length[part, None].astype(np.float32)
+
+        def bound(of_letters, of_words, lengths):
             """No score is above this: letters in common over both lengths, or the shared words over the shorter side."""
-            by_letters = 200 * (mine @ letters.T + over) / (own_len + lengths)
-            shared = np.maximum(shares @ held_words.T - 1, 0)
-            return np.maximum(by_letters, 200 * shared / (shared + np.minimum(own_len, lengths)))
-
-        rough = bound(n_any, np.maximum.reduceat(has, tiles, 0).astype(np.float32), least_len)
-        open_tiles = tiles[(rough >= floor[:, None] - 1e-3).any(0)]
-        for first in range(0, len(open_tiles), 64):
-            at = (open_tiles[first : first + 64, None] + np.arange(TILE)).ravel()
-            at = at[at < len(names)]
-            fine = bound(n[at].astype(np.float32), has[at].astype(np.float32), n_len[at])
-            ks, js = np.nonzero(fine >= floor[:, None] - 1e-3)
-            ub = fine[ks, js]
-            for o in np.lexsort((-ub, ks)).tolist():  # the likeliest first, so that the floor rises early
-                k, i = int(ks[o]), int(at[js[o]])
-                if ub[o] >= floor[k] - 1e-3 and i not in met[k]:
-                    compare(k, i)
-        for k, found in enumerate(best):
-            yield from ((asked[start + k], name, -score) for score, name in found if -score >= floor[k])
+            by_letters = q @ of_letters.T  # noqa: B023
+            by_letters += over  # noqa: B023
+            by_letters *= 200 / (q_len + lengths)  # noqa: B023
+            if (200 * most_shared < (best.floor[:, None] - 1e-3) * (most_shared + np.minimum(q_len, lengths.min()))).all():  # noqa: B023
+                return by_letters
+            shared = np.maximum(shares @ of_words.T - 1, 0)  # noqa: B023
+            return np.maximum(by_letters, 200 * shared / (shared + np.minimum(q_len, lengths)))  # noqa: B023
+
+        rough = bound(any_letter, in_tile[:, here].astype(np.float32), least_len)
+        for p in np.unique(x.shape[part]).tolist():
+            if p >= 0:
+                own = x.shape[part] == p
+                rough[own] = np.minimum(rough[own], by_shape(p))
+        is_open = rough >= best.floor[:, None] - 1e-3
+
+        def opened(which, of):
+            """Scores the names of tiles for the strings that have them open, the likeliest first."""
+            at = (tiles[of, None] + np.arange(TILE)).ravel()
+            real = at < len(y.texts)  # the last tile may be shorter
+            at = at[real]
+            words = np.zeros((len(at), len(here) + 1), np.float32)  # noqa: B023
+            of_name, word = y.words_of(at)
+            words[of_name, local[numbered[word]]] = 1  # noqa: B023
+            fine = bound(unary(y.counts[at]).astype(np.float32), words[:, : len(here)], y.length[at].astype(np.float32))  # noqa: B023
+            k, j = np.nonzero((fine >= best.floor[:, None] - 1e-3) & np.repeat(which, TILE, axis=1)[:, real])  # noqa: B023
+            upper, i = fine[k, j], at[j]
+            if len(k) > PAIRS:
+                order = np.argsort(-upper)
+                upper, k, i = upper[order], k[order], i[order]
+            for lo in range(0, len(k), PAIRS):
+                some = slice(lo, lo + PAIRS)
+                still = upper[some] >= best.floor[k[some]] - 1e-3  # noqa: B023
+                scored(k[some][still], i[some][still])  # noqa: B023
+
+        likely = rough.argmax(1)  # a tile of each string's own, so that its floor rises early
+        own = is_open[np.arange(size), likely]
+        firsts = np.unique(likely[own])
+        for lo in range(0, len(firsts), TILES):
+            of = firsts[lo : lo + TILES]
+            opened(own[:, None] & (likely[:, None] == of), of)
+        is_open[np.arange(size), likely] = False
+        is_open &= rough >= best.floor[:, None] - 1e-3
+        others = np.flatnonzero(is_open.any(0))
+        others = others[np.argsort(-rough[:, others].max(0), kind="stable")]
+        for lo in range(0, len(others), TILES):
+            of = others[lo : lo + TILES]
+            which = is_open[:, of] & (rough[:, of] >= best.floor[:, None] - 1e-3)
+            if (some := which.any(0)).any():
+                opened(which[:, some], of[some])
+        keep = best.score >= best.floor[best.k]
+        found.append((best.k[keep] + start, best.i[keep], best.score[keep]))
+    k, i, score = (np.concatenate(v).tolist() for v in zip(*found, strict=True))
+    return [x.texts[j] for j in k], [y.texts[j] for j in i], score
 
 
 def nearest_names(left: DataFrame, right: DataFrame, least: float, within: float, most: int = 5) -> DataFrame:
@@ -215,15 +385,16 @@ def nearest_names(left: DataFrame, right: DataFrame, least: float, within: float
     one = lambda df, c: df.select(F.col(df.columns[0]).alias(c)).where(f"{c} <> ''").distinct()
     a, b = one(left, "a"), one(right, "b")
     n_a, n_b = a.count(), b.count()
-    rows, columns = max(ceil(n_a / CELL_STRINGS), min(64, ceil(n_a / LEAST_STRINGS)), 1), max(ceil(n_b / CELL_NAMES), 1)
+    at_once = 2 * left.sparkSession.sparkContext.defaultParallelism
+    rows, columns = max(ceil(n_a / CELL_STRINGS), min(at_once, ceil(n_a / LEAST_STRINGS)), 1), max(ceil(n_b / CELL_NAMES), 1)
     dealt = lambda df, c, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(c), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
     cells = min(rows * columns, 4_000)
     x = dealt(a, "a", "row", rows, "column", columns).repartition(cells, "row", "column")
     y = dealt(b, "b", "column", columns, "row", rows).repartition(cells, "row", "column")
 
     def compared(strings: pa.Table, names: pa.Table) -> pa.Table:
-        found = list(_nearest(strings.column("a").to_pylist(), names.column("b").to_pylist(), least, within, most))
-        return pa.table({c: pa.array([f[i] for f in found], t) for i, (c, t) in enumerate((("a", pa.string()), ("b", pa.string()), ("score", pa.float64())))})
+        found = _nearest(strings.column("a").to_pylist(), names.column("b").to_pylist(), least, within, most)
+        return pa.table({c: pa.array(found[i], t) for i, (c, t) in enumerate((("a", pa.string()), ("b", pa.string()), ("score", pa.float64())))})
 
     met = x.groupBy("row", "column").cogroup(y.groupBy("row", "column")).applyInArrow(compared, "a string, b string, score double")
     w = W.partitionBy("a")

@@ -136,3 +136,22 @@ def test_nearest_names_match_all_pairs(spark, monkeypatch, cells):
         if near:
             want[a] = [(s, b) for s, b in near if s <= near[0][0] + 5.0]
     assert {a: sorted(found) for a, found in got.items()} == want and len(want) > 150
+
+
+def test_names_that_differ_in_digits_are_not_compared_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    known = {f"nation {rng.randrange(4)} {rng.randrange(3_000):09d} works limited" for _ in range(500)} | {f"works s{i}" for i in range(1_000, 1_500)}
+    odd = {"é" * 70, " ".join(f"w{i}" for i in range(40)), "x\U0001f600y works", "works", "a" * 30 + " nation", " ", " nation 1"}
+    known, asked = sorted(known | odd), sorted(odd | {f"zs{i}" for i in range(1_000, 1_500, 11)} | {f"customer#{i:09d}" for i in range(30)} | {bent(rng, n.replace("limited", "ltd")) for n in sorted(known)[::12]} | {f"w{i} w{i + 1}" for i in range(3)})
+    plainly = []
+    monkeypatch.setattr(similar.S, "token_set_of", lambda a, b: plainly.append((a, b)) or token_set_of(a, b))
+    got = {}
+    for a, b, s in zip(*similar._nearest(list(asked), list(known), 57.0, 5.0, 5), strict=True):
+        got.setdefault(a, []).append((-s, b))
+    want = {}
+    for a in asked:
+        near = sorted((-s, b) for b in known if (s := token_set_of(a, b)) >= 57.0)[:5]
+        if near:
+            want[a] = [(s, b) for s, b in near if s <= near[0][0] + 5.0]
+    assert {a: sorted(found) for a, found in got.items()} == want and len(want) > 100
+    assert all(max(len(a), len(b)) > 60 for a, b in plainly)
