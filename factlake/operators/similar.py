@@ -40,9 +40,9 @@ SCORES = {"ratio": S.ratio, "token_sort": S.token_sort, "token_set": S.token_set
 #: Most strings and names that a cell of nearest_names has on average, and fewest strings worth a cell of their own.
 CELL_STRINGS, CELL_NAMES, LEAST_STRINGS = 65_536, 262_144, 256
 #: Names of a tile, strings compared with tiles at once, names that a rare word may be in, and how often a letter of a class is counted.
-TILE, CHUNK, RARE, DEEP, CLASSES = 32, 64, 64, 16, 97
+TILE, CHUNK, RARE, DEEP, CLASSES = 16, 64, 64, 16, 97
 #: Tiles looked at together, pairs scored together, and letters of a string in a machine word.
-TILES, PAIRS, WIDE = 128, 16_384, 64
+TILES, PAIRS, WIDE = 512, 4_096, 64
 _DIGITS = {ord(c): "0" for c in "123456789"}
 
 
